@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,5 +54,45 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")  # the table replaces the shuffle files, which would else stay on disk
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes that a task gathers before it deals them out.
+DEAL_BYTES = 48 << 20
+
+
+def dealt(arrays: Iterator[dict[str, np.ndarray]], by: str, parts: int) -> Iterator[pd.DataFrame]:
+    """Deal parallel arrays out by the hash ``by``: a row for each part that got some, as binary columns.
+
+    A shuffle of such rows moves the bare numbers, without a row's overhead for each.
+    """
+
+    def rows(held: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+        x = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        part = ((x[by] >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        ends = np.flatnonzero(np.concatenate([part[order][1:] != part[order][:-1], [True]])) + 1
+        cuts = list(zip([0, *ends[:-1]], ends))
+        return pd.DataFrame({"part": part[order][ends - 1]} | {c: [v[order[a:z]].tobytes() for a, z in cuts] for c, v in x.items()})
+
+    held, size = [], 0
+    for x in arrays:
+        if len(x[by]):
+            held.append(x)
+            size += sum(v.nbytes for v in x.values())
+        if size > DEAL_BYTES:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
+
+
+def blobs_of(part: pd.DataFrame, kinds: dict) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(b"".join(part[c]), kind) for c, kind in kinds.items()}

@@ -10,6 +10,7 @@ from .common import read
 from .decontaminate import decontaminate
 from .packing import pack
 from .quality_rules import RULES, STOP_WORDS, quality_rules
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .url_filter import url_filter
 
@@ -37,6 +38,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
