@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,7 +68,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 DEAL_BYTES = 48 << 20
 
 
-def dealt(arrays: Iterator[dict[str, np.ndarray]], by: str, parts: int) -> Iterator[pd.DataFrame]:
+def dealt(arrays: Iterable[dict[str, np.ndarray]], by: str, parts: int, kind: int = 0) -> Iterator[pd.DataFrame]:
     """Deal parallel arrays out by the hash ``by``: a row for each part that got some, as binary columns.
 
     A shuffle of such rows moves the bare numbers, without a row's overhead for each.
@@ -80,7 +80,7 @@ def dealt(arrays: Iterator[dict[str, np.ndarray]], by: str, parts: int) -> Itera
         order = np.argsort(part, kind="stable")
         ends = np.flatnonzero(np.concatenate([part[order][1:] != part[order][:-1], [True]])) + 1
         cuts = list(zip([0, *ends[:-1]], ends))
-        return pd.DataFrame({"part": part[order][ends - 1]} | {c: [v[order[a:z]].tobytes() for a, z in cuts] for c, v in x.items()})
+        return pd.DataFrame({"kind": np.int8(kind), "part": part[order][ends - 1]} | {c: [v[order[a:z]].tobytes() for a, z in cuts] for c, v in x.items()})
 
     held, size = [], 0
     for x in arrays:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat_format import chat_digest, chat_examples
 from .common import read
 from .decontaminate import decontaminate
+from .jaccard_join import jaccard_join
 from .packing import pack
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .suffix_dedup import suffix_dedup
@@ -46,6 +47,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["conv_id", "turn", "role", "text"]
     table = read(spark, sf_dir, "conversations").select(*names)
