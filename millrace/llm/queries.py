@@ -9,6 +9,7 @@ from .chat_format import chat_digest, chat_examples
 from .common import read
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
+from . import quality_model, toxicity
 from .packing import pack
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .suffix_dedup import suffix_dedup
@@ -57,6 +58,22 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(chat_examples(table.unionByName(spark.createDataFrame(PROBE, table.schema))))
 
 
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), _remainder(5) == 0
+    net = quality_model.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return quality_model.quality(docs, net, extra={"held_out": held_out}).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), _remainder(3) == 1
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.toxicity(docs, model, extra={"held_out": held_out}).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -73,7 +90,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
