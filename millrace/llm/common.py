@@ -61,11 +61,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes that a task gathers before it deals them out.
-DEAL_BYTES = 48 << 20
+DEAL_BYTES = 8 << 20
 
 
 def dealt(arrays: Iterable[dict[str, np.ndarray]], by: str, parts: int, kind: int = 0) -> Iterator[pd.DataFrame]:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blobs_of, dealt, narrowed, saved, small_batches
+from .common import blobs_of, dealt, discard, narrowed, saved, small_batches
 
 _M1, _M2, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 #: Windows of one pass over a long document.
@@ -123,12 +123,16 @@ def anchors(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def doubled(rows: DataFrame) -> DataFrame:
-    """The anchors whose chain of phrases, as far as equal strings must share it, occurs twice."""
+    """The anchors whose chain of phrases, as far as equal strings must share it, occurs twice.
+
+    ``rows`` is a saved table, and is deleted once its repeated part is saved.
+    """
     spark, out, step = rows.sparkSession, None, 1
     pairs = rows.withColumn("next", F.lit(0).cast("long"))
     while True:
         named = saved(pairs.groupBy("rank", "next").count().filter("count > 1").select("rank", "next").orderBy("rank", "next").withColumn("name", F.monotonically_increasing_id()), "ranks")
         pairs = saved(pairs.join(named, ["rank", "next"]).select(*(F.col("name").alias("rank") if c == "rank" else F.col(c) for c in rows.columns)), "repeated")
+        discard(named, *([rows] if step == 1 else []))
         done = pairs.filter((F.col("phrases") < 2 * step) & (F.col("hi") >= F.col("lo")))
         out = done if out is None else out.unionAll(done)
         if pairs.filter(F.col("phrases") >= 2 * step).isEmpty():
@@ -195,18 +199,21 @@ def _cut(text: str, lo, hi, at, length: int, keep_text: bool) -> tuple:
     return n, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Returns a row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
-    ``keep_text``, kept: the remaining text without characters that were cut in part. A null text is
+    ``keep_text``, kept: the remaining text without characters that were cut in part; and the columns
+    named in ``carry``, as they are. A null text is
     empty; texts shorter than ``length`` stay whole. Repeated rows are documents of their own, so
     long ones repeat each other and go; rows of one id and other texts are told apart. Very long
     texts are passed over in pieces. Empty tables give empty results; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = narrowed(docs, id_col, text_col).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    carried = F.struct(*(F.col(c) for c in carry or [])) if carry else F.lit(None).cast("string")
+    renamed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
+    keyed = renamed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "carried")
     long_enough = keyed.filter(F.octet_length("text") >= length).select("key", "text")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -221,15 +228,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a = whole.groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     b = single.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"))
     cover = saved(a.join(b, "key", "full"), "cover")
+    discard(counted, single)
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = [_cut(*r, length, keep_text) for r in zip(x["text"], x["lo"], x["hi"], x["at"])]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
-            out.insert(0, "doc_id", x["doc_id"].to_numpy())
-            yield out
+            out.insert(0, "doc_id", x["doc_id"].astype(object).where(x["doc_id"].notna(), None).to_numpy())
+            yield out.assign(carried=x["carried"].to_numpy())
 
-    joined = keyed.join(cover, "key", "left").select("doc_id", "text", "lo", "hi", "at")
-    out = joined.mapInPandas(run, f"doc_id {kind}, {_OUT}")
-    return out if keep_text else out.drop("kept")
+    joined = keyed.join(cover, "key", "left").select("doc_id", "text", "lo", "hi", "at", "carried")
+    out = joined.mapInPandas(run, f"doc_id {kind}, {_OUT}, carried {keyed.schema['carried'].dataType.simpleString()}")
+    names = [c.split()[0] for c in _OUT.split(", ")[: 5 if keep_text else 4]]
+    return out.select("doc_id", *names, *(F.col(f"carried.{c}") for c in carry or []))
