@@ -61,7 +61,7 @@ class Automaton:
                     node = self.next[node][c]
                 ends[node] = True
         self.chars = sorted({c for n in self.next for c in n})
-        self.classes = np.zeros(0x3000, np.int64)  # 0: not in the lexicon
+        self.classes = np.zeros(0x3000, np.int16)  # 0: not in the lexicon
         for i, c in enumerate(self.chars):
             if ord(c) < 0x3000:
                 self.classes[ord(c)] = i + 1
@@ -105,7 +105,7 @@ class Automaton:
         alive, state = np.arange(len(start)), np.full(len(start), self.start)
         place = 0
         while len(alive):
-            cls = classes[start[alive] + place]
+            cls = classes[start[alive] + place].astype(np.int64)
             new = self.table[state, cls]
             if (new < 0).any():
                 for code in np.unique(state[new < 0] * self.width + cls[new < 0]).tolist():
@@ -130,6 +130,17 @@ class Scanner:
         self.automaton, self.letters = Automaton(words, stems), _letters()
 
     def features(self, texts: list[str]) -> np.ndarray:
+        """A row for each text; texts are scanned in runs of about a million characters, so that memory is bounded by one text."""
+        out, run, size = [np.zeros((0, FEATURES))], [], 0
+        for t in texts:
+            run.append(t)
+            size += len(t)
+            if size > 1 << 20:
+                out.append(self._features(run))
+                run, size = [], 0
+        return np.concatenate([*out, self._features(run)]) if run else np.concatenate(out)
+
+    def _features(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
         lowered = [t.lower() for t in texts]
         x = np.frombuffer(" ".join([*lowered, ""]).encode("utf-32-le"), np.uint32)
@@ -221,13 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, size: int = SAMPLE,
     return Model(words, stems, tuple(logistic(x, y)))
 
 
-def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """Score every whole text: doc_id, the columns of ``extra`` (over doc_id), score from 0 to 1.
-
-    A row for each input row, repeated ones alike. Null and empty texts have no terms and get the
-    model's score for that. Other columns are ignored; an empty table gives an empty result.
-    """
-    small_batches(docs.sparkSession)
+def score_column(spark, model: Model):
+    """The score as a function of a text column without nulls."""
+    small_batches(spark)
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -235,4 +242,14 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for b in texts:
             yield pd.Series(1 / (1 + np.exp(-np.clip(scanner.features(list(b)) @ w[:-1] + w[-1], -30, 30))))
 
+    return scored
+
+
+def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    """Score every whole text: doc_id, the columns of ``extra`` (over doc_id), score from 0 to 1.
+
+    A row for each input row, repeated ones alike. Null and empty texts have no terms and get the
+    model's score for that. Other columns are ignored; an empty table gives an empty result.
+    """
+    scored = score_column(docs.sparkSession, model)
     return narrowed(docs, id_col, text_col).select("doc_id", *(c.alias(n) for n, c in (extra or {}).items()), scored("text").alias("score"))
