@@ -175,7 +175,7 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, parts: int) ->
         by = np.lexsort((x["at"][hit], x["key"][hit]))
         key, at = x["key"][hit][by], x["at"][hit][by]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
-        return pd.DataFrame({"key": key[cut], "at": np.split(at, cut[1:]) if len(cut) else []})
+        return pd.DataFrame({"key": key[cut], "at": pd.Series(np.split(at, cut[1:]) if len(cut) else [], dtype=object)})
 
     blobs = texts.mapInPandas(hashed, "kind tinyint, part int, h1 binary, h2 binary, key binary, at binary, twice binary")
     return blobs.groupBy("part").applyInPandas(met, "key long, at array<int>")

@@ -62,5 +62,5 @@ def url_filter(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", ur
 
     active = (F.col("key") == F.col("entry")) & (F.col("bucket") == F.col("in_bucket")) & (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
     met = probes.join(listed, active, "left")
-    out = met.groupBy("page_id", "url", "fetched", "host").agg(F.count("entry").alias("n_active"), F.max(F.when(F.col("entry").isNotNull(), F.struct(F.length("entry").alias("n"), "entry"))).alias("best"))
+    out = met.groupBy("page_id", "url", "fetched", "host").agg(F.size(F.collect_set("entry")).cast("long").alias("n_active"), F.max(F.when(F.col("entry").isNotNull(), F.struct(F.length("entry").alias("n"), "entry"))).alias("best"))
     return out.select("page_id", "url", "fetched", "host", "n_active", F.col("best.entry").alias("matched"), (F.col("n_active") > 0).alias("blocked"))
