@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .functions import stats as A
+from .operators import entities as N
+from .operators import models as M
 from .operators import prepare as P
 from .operators import relational as R
 from .operators import text as T
 from .operators import vectors as V
 from .operators import windows as W
-from .plans.features import customer_features
+from .plans import catalog
+from .plans.features import SPEC, customer_features
 from .sources.tables import table
 from .streaming import events as E
 
@@ -514,3 +517,107 @@ def event_sessions(t):
 def pipeline_customer_features(t):
     out = customer_features({"customer": t("customer"), "orders": t("orders"), "lineitem": t("lineitem")})
     return out.select("c_custkey", "n_orders", r("spent", 2).alias("spent"), r("place", 6).alias("place"))
+
+
+@query("""SELECT o_custkey, count(*) AS ord_n, round(sum(o_totalprice) + 1e-7, 2) AS ord_o_totalprice_sum, round(max(o_totalprice), 2) AS ord_o_totalprice_max, round(stddev_samp(o_totalprice) + 1e-7, 2) AS ord_o_totalprice_std FROM orders GROUP BY 1""")
+def child_numeric_aggregates(t):
+    df = N.aggregate_children(t("orders"), ["o_custkey"], "ord", ["sum", "max", "std"], ["o_totalprice"])
+    return df.select("o_custkey", "ord_n", *(up(f"ord_o_totalprice_{f}", 2).alias(f"ord_o_totalprice_{f}") for f in ("sum", "max", "std")))
+
+
+@query("""WITH a AS (SELECT l_suppkey, avg(l_quantity) FILTER (l_discount >= 0.09) AS x, avg(l_quantity) FILTER (l_discount < 0.09) AS y FROM lineitem GROUP BY 1)
+          SELECT l_suppkey, round(coalesce(x / y, 1) + 1e-7, 6) AS uplift FROM a""")
+def event_uplift(t):
+    return N.uplift(t("lineitem"), ["l_suppkey"], "l_quantity", F.col("l_discount") >= 0.09).withColumn("uplift", up("uplift", 6))
+
+
+@query("""SELECT l_orderkey, l_linenumber, date_diff('day', min(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_partkey), CAST(l_shipdate AS DATE)) AS age_days FROM lineitem""")
+def days_since_first_sale(t):
+    return N.since_first(t("lineitem").withColumn("d", day("l_shipdate")), ["l_partkey"], "d").select("l_orderkey", "l_linenumber", "age_days")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(avg(l_quantity) OVER (PARTITION BY l_suppkey) + 1e-7, 4) AS a, round(avg(l_quantity) OVER (PARTITION BY l_returnflag, l_linestatus) + 1e-7, 4) AS b FROM lineitem""")
+def level_means(t):
+    df = N.level_means(t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"), "l_quantity", [["l_suppkey"], ["l_returnflag", "l_linestatus"]])
+    return df.select("l_orderkey", "l_linenumber", up("l_quantity_by_l_suppkey").alias("a"), up("l_quantity_by_l_returnflag_l_linestatus").alias("b"))
+
+
+@query("""WITH s AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1, 2), f AS (SELECT l_suppkey, l_partkey, q / sum(q) OVER (PARTITION BY l_suppkey) AS share FROM s),
+          w AS (SELECT l_suppkey, sum(l_quantity) AS total FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
+          SELECT l_suppkey, l_partkey, round(total * share + 1e-7, 4) AS part FROM f JOIN w USING (l_suppkey)""")
+def disaggregated_forecast(t):
+    past, new = P.time_split(t("lineitem"), "l_shipdate", "1998-01-01")
+    shares = W.group_share(past, "l_quantity", ["l_suppkey"], ["l_partkey"])
+    df = N.disaggregate(new.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("total")), shares, ["l_suppkey"], "total")
+    return df.select("l_suppkey", "l_partkey", up("part").alias("part"))
+
+
+@query(f"""WITH {DAILY} SELECT l_suppkey, CAST(d AS VARCHAR) AS d, round(avg(v) OVER a + 1e-7, 4) AS far FROM daily WINDOW a AS (PARTITION BY l_suppkey ORDER BY d ROWS BETWEEN 34 PRECEDING AND 28 PRECEDING)""")
+def rolling_far_shifted(t):
+    return W.rolling(_daily(t), "v", ["l_suppkey"], ["d"], [7], ["mean"], shift=28).select("l_suppkey", F.col("d").cast("string").alias("d"), up("v_roll_mean_7").alias("far"))
+
+
+@query("""SELECT count(*) FILTER (CAST(l_shipdate AS DATE) <= m - 28) AS n_old, count(*) FILTER (CAST(l_shipdate AS DATE) > m - 28) AS n_new FROM lineitem, (SELECT max(CAST(l_shipdate AS DATE)) AS m FROM lineitem)""")
+def last_weeks_split(t):
+    old, new = N.last_weeks(t("lineitem"), "l_shipdate", 4)
+    return old.agg(F.count("*").alias("n_old")).join(new.agg(F.count("*").alias("n_new")))
+
+
+@query("""WITH a AS (SELECT l_orderkey, list(CAST(l_quantity AS INT) ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY 1),
+          d AS (SELECT l_orderkey, q, list_transform(range(1, len(q)), lambda i: q[i + 1] - q[i]) AS d FROM a),
+          s AS (SELECT *, list_transform(list_filter(d, lambda x: x <> 0), lambda x: sign(x)) AS s FROM d)
+          SELECT l_orderkey, coalesce(list_sum(list_transform(d, lambda x: abs(x))), 0)::BIGINT AS path, len(list_filter(range(1, len(s)), lambda i: s[i + 1] <> s[i])) AS turns,
+          (len(list_filter(d, lambda x: x < 0)) = 0 OR len(list_filter(d, lambda x: x > 0)) = 0) AS monotone FROM s""")
+def sequence_features(t):
+    a = t("lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))), lambda x: x["q"]).alias("q"))
+    path = F.aggregate(S.differences(F.col("q")), F.lit(0).cast("long"), lambda s, x: s + F.abs(x).cast("long"))
+    return a.select("l_orderkey", path.alias("path"), S.sign_changes(F.col("q")).alias("turns"), S.is_monotone(F.col("q")).alias("monotone"))
+
+
+@query("""WITH a AS (SELECT c_custkey, radians(c_custkey % 180 - 90) AS y1, radians(c_custkey % 360 - 180) AS x1, radians((c_custkey * 7) % 180 - 90) AS y2, radians((c_custkey * 13) % 360 - 180) AS x2 FROM customer)
+          SELECT c_custkey, round(2 * 6371 * asin(sqrt(least(1, sin((y2 - y1) / 2) ** 2 + cos(y1) * cos(y2) * sin((x2 - x1) / 2) ** 2))) + 1e-7, 3) AS km FROM a""")
+def geo_distance(t):
+    at = lambda k, m, h: (F.pmod(F.col("c_custkey") * k, F.lit(m)) - h).cast("double")
+    return t("customer").select("c_custkey", up(S.haversine(at(1, 180, 90), at(1, 360, 180), at(7, 180, 90), at(13, 360, 180)), 3).alias("km"))
+
+
+@query("""SELECT o_custkey, string_agg(o_orderkey, ' ' ORDER BY o_totalprice DESC, o_orderkey) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 5 GROUP BY 1""")
+def best_labels(t):
+    return N.best_of(t("orders"), "o_custkey", "o_orderkey", "o_totalprice", 5)
+
+
+@query("""WITH a AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier), b AS (SELECT s_suppkey AS k, s_acctbal * 2 + s_suppkey AS v FROM supplier)
+          SELECT a.k, round((a.v + 3 * b.v) / 4 + 1e-7, 4) AS v FROM a JOIN b USING (k)""")
+def blended_predictions(t):
+    a = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    b = t("supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") * 2 + F.col("s_suppkey")).alias("v"))
+    return M.blend([a, b], "k", "v", weights=[1.0, 3.0]).select("k", up("v").alias("v"))
+
+
+@query("""SELECT * FROM (VALUES ('merge.features', 'rank.in_group', 1, 1), ('rollup.lines', 'rollup.orders', 1, 1), ('rollup.orders', 'merge.features', 1, 1)) AS g(giver, taker, n_edges, n_pipelines)""")
+def service_graph(t):
+    return catalog.service_graph(catalog.steps_table(t("region").sparkSession, {"customer_features": SPEC}))
+
+
+def _labelled(t) -> DataFrame:
+    """Orders with numeric features and whether they are finished."""
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.avg("l_discount").alias("discount"))
+    orders = t("orders").select("o_orderkey", "o_totalprice", F.datediff("o_orderdate", F.lit("1995-01-01")).alias("age"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return P.folded(orders.join(lines, "o_orderkey"), "o_orderkey", 3)
+
+
+@query()
+def ml_logistic_out_of_fold(t):
+    return M.out_of_fold(_labelled(t), ["o_totalprice", "age", "n", "discount"], "y", "logistic", "fold", 3, ["o_orderkey", "y"], maxIter=20)
+
+
+@query()
+def ml_forest(t):
+    df = _labelled(t)
+    model = M.train(df.filter("fold > 0"), ["o_totalprice", "age", "n", "discount"], "y", "forest", numTrees=10, maxDepth=5)
+    return M.predict(model, df.filter("fold = 0"), ["o_orderkey", "y"])
+
+
+@query()
+def ml_kmeans(t):
+    return M.cluster(_labelled(t), ["o_totalprice", "age", "n"], "kmeans", 4, ["o_orderkey"])
