@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -20,8 +26,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once for each application, wherever they were started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    root, folder = Path(__file__).resolve().parents[2], tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch the file when they need it
+    target = os.path.join(folder, "millrace_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "millrace").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(target)
+    sc._millrace_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, unless the session already says how."""
+    """Prepare the workers, and bound Arrow batches by bytes unless the session already says how."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in (None, "67108864b", "64MB"):  # unset, or Spark's default
         spark.conf.set(key, str(BATCH_BYTES))
