@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -28,5 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         new = saved(small, "edges")
         if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
             break
+        discard(now)
         now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -19,12 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blobs_of, dealt, narrowed, saved, small_batches
+from .common import DEAL_BYTES, blobs_of, dealt, discard, narrowed, saved, small_batches
 from .components import components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Documents of one index entry up to which all pairs are taken; larger groups go by a representative.
 PAIRS = 8
+#: Ids of candidates up to which they are broadcast to the texts (under 32 MB); beyond, texts are shuffled.
+BROADCAST_IDS = 1_000_000
+#: An entry's row holds a set's size and, as a multiple of this, how many entries its links share.
+NEED = 1 << 26
 #: How a group's size grows from band to band.
 BAND = 1.5
 
@@ -92,29 +96,42 @@ class Scheme:
     slack: int
 
 
+def _poisson(mean: float, most: int) -> float:
+    """Chance of at most ``most`` events."""
+    term = total = math.exp(-mean)
+    for i in range(1, most + 1):
+        term *= mean / i
+        total += term
+    return min(1.0, total)
+
+
 def allocate(band: int, low: int, high: int, per_cent: int, n_docs: int, share: float = 1e-4) -> Scheme:
     """Budgets of a band that cost least: index entries of a set, and false candidates expected by them.
 
     ``share`` is the chance that two unrelated sets share a given shingle. Empty and one-shingle
-    segments collide most, so few large segments of budget 2, or slack for empty ones, can pay.
+    segments collide most, so few large segments of budget 2, or slack for empty ones, can pay. An
+    eighth more segments than that are slack as well: then links share several entries, which
+    tells them from chance in large groups.
     """
     reach = high * 100 // per_cent
     h = max(most_apart(t, per_cent) for t in range(max(2, high + reach - 3), high + reach + 1))
     n, best = math.sqrt(low * high), None
     for double in range(0, min(h + 1, 24) + 1):
-        for slack in range(0, 9):
+        for slack in range(0, 9 + h // 12):
             m = h + 1 + slack - double
             if m < max(1, double):
                 continue
             full = n / m
             empty = m * math.exp(-low / m)
-            tail = 1 - sum(math.exp(-empty) * empty**i / math.factorial(i) for i in range(slack + 1))
+            tail = 1 - _poisson(empty, slack)
             single = full * math.exp(-full)
             false = n_docs * (m * single * single * share + (m + double * full) * share ** max(1.0, full) + max(0.0, tail) ** 2)
             cost = m + double * full + false
             if best is None or cost < best[0]:
                 best = cost, Scheme(band, low, high, reach, m, double, slack)
-    return best[1]
+    chosen = best[1]
+    more = max(1, chosen.m // 8)
+    return replace(chosen, m=chosen.m + more, slack=chosen.slack + more)
 
 
 class Schemes:
@@ -134,9 +151,9 @@ class Schemes:
         return [own] if b == 0 or n > (before := self.make(b - 1)).reach else [before, own]
 
 
-def entries(shingles: np.ndarray, schemes: Schemes) -> np.ndarray:
-    """The index entries of one set."""
-    out, value = [], _mix(shingles + _A)
+def entries(shingles: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, int]:
+    """The index entries of one set, and how many of them any set that links with it must share."""
+    out, value, need = [], _mix(shingles + _A), 31
     for s in schemes.of(len(shingles)):
         segment = ((shingles >> np.uint64(16)) % np.uint64(s.m)).astype(np.int64)
         sums = np.zeros(s.m, np.uint64)
@@ -147,14 +164,16 @@ def entries(shingles: np.ndarray, schemes: Schemes) -> np.ndarray:
         keep = np.ones(s.m, bool)
         without = segment < s.double
         # What an empty segment could match by is left out while the slack makes up for it.
-        if budget[size == 0].sum() + (size[: s.double] == 1).sum() <= s.slack:
+        left_out = int(budget[size == 0].sum() + (size[: s.double] == 1).sum())
+        need = min(need, max(1, 1 + s.slack - left_out))
+        if left_out <= s.slack:
             keep = size > 0
             without &= size[segment] > 1
         out.append(_mix(sums[keep] ^ salt[keep]))
         if without.any():
             seg = segment[without]
             out.append(_mix((sums[seg] - value[without]) ^ salt[seg]))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), need
 
 
 _MET = "kind string, a long, b long, n long, entry long"
@@ -162,7 +181,7 @@ _MET = "kind string, a long, b long, n long, entry long"
 
 def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int) -> DataFrame:
     """Rows of four kinds: set (document a has n shingles), same (a equals b), pair, and member (a, of n
-    shingles, is in the large group ``entry``).
+    shingles, is in the large group ``entry``; what links with it shares b entries).
 
     A task sends one of its equal sets, and of a large group with one entry one representative, so
     no part of the shuffle holds more of a hot group than a few rows from each task.
@@ -174,7 +193,7 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         schemes, size = Schemes(per_cent, n_docs), 0
-        keys, ns, prints, sigs = [], [], [], []
+        keys, ns, needs, prints, sigs = [], [], [], [], []
 
         def flush() -> Iterator[pd.DataFrame]:
             key, n, fp = np.array(keys, np.int64), np.array(ns, np.int64), np.array(prints, np.uint64)
@@ -191,10 +210,10 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
             lead = np.repeat(cut, count)
             large = np.repeat(count > PAIRS, count)
             send = ~large | (np.arange(len(sig)) == lead)
-            sizes = n[who].astype(np.int32)
+            sizes = (n + np.array(needs, np.int64) * NEED)[who].astype(np.int32)
             yield from dealt([{"x": sig[send], "a": key[who[send]], "n": np.where(large, -sizes, sizes)[send]}], "x", parts, kind=0)
             if large.any():  # the group's other members go straight on; its size, below zero, says that there are some
-                yield from dealt([{"x": _mix(key[who[large]].view(np.uint64)), "b": sig[large], "a": key[who[large]], "n": n[who[large]]}], "x", parts, kind=3)
+                yield from dealt([{"x": _mix(key[who[large]].view(np.uint64)), "b": sig[large], "a": key[who[large]], "n": sizes[large]}], "x", parts, kind=3)
 
         for b in batches:
             for key, s in zip(b["key"], shingle_sets(list(b["text"]), k)):
@@ -202,11 +221,13 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
                 ns.append(len(s))
                 own = _mix(s + _C)
                 prints.append(_mix(np.array([own.sum() + np.uint64(len(s))]))[0] if len(s) else np.uint64(key % (1 << 64)))
-                sigs.append(entries(s, schemes) if len(s) else np.zeros(0, np.uint64))
+                own, need = entries(s, schemes) if len(s) else (np.zeros(0, np.uint64), 1)
+                sigs.append(own)
+                needs.append(need)
                 size += sigs[-1].nbytes
-            if size > 32 << 20:
+            if size > DEAL_BYTES:
                 yield from flush()
-                keys, ns, prints, sigs, size = [], [], [], [], 0
+                keys, ns, needs, prints, sigs, size = [], [], [], [], [], 0
         if keys:
             yield from flush()
 
@@ -228,8 +249,8 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
             other = rep != x["a"]
             out.append(rows("same", x["a"][other], rep[other]))
         if 3 in by:
-            x = blobs_of(by[3], {"b": np.int64, "a": np.int64, "n": np.int64})
-            out.append(rows("member", x["a"], n=x["n"], entry=x["b"]))
+            x = blobs_of(by[3], {"b": np.int64, "a": np.int64, "n": np.int32})
+            out.append(rows("member", x["a"], x["n"] // NEED, x["n"] % NEED, x["b"]))
         if 0 in by:
             x = blobs_of(by[0], {"x": np.uint64, "a": np.int64, "n": np.int32})
             order = np.argsort(x["x"], kind="stable")
@@ -237,7 +258,7 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
             cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             count = np.diff(np.append(cut, len(sig)))
             large = (count > PAIRS) | (np.minimum.reduceat(n, cut) < 0)
-            n = np.abs(n)
+            need, n = np.divmod(np.abs(n), NEED)
             for g in range(2, PAIRS + 1):  # all groups of one size at once
                 begin = cut[(count == g) & ~large]
                 for i in range(g):
@@ -249,7 +270,7 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
                             out.append(rows("pair", *np.unique(np.stack([lo, hi]), axis=1)))
             many = np.repeat(large, count)
             if many.any():
-                out.append(rows("member", key[many], n=n[many], entry=sig[many].view(np.int64)))
+                out.append(rows("member", key[many], need[many], n[many], sig[many].view(np.int64)))
         return pd.concat(out) if out else rows("set", np.zeros(0, np.int64))
 
     blobs = keyed.mapInPandas(indexed, "kind tinyint, part int, x binary, a binary, b binary, n binary")
@@ -257,72 +278,92 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, k: int, per_cent: int, differences: bool = False) -> DataFrame:
-    """(a, b, apart, linked) of each pair, from both whole sets: ``apart`` is the Jaccard distance.
+    """Each pair (a, b) with whether it links, its Jaccard distance ``apart`` and sizes, from both whole sets.
 
-    With ``differences``, also what only one of two sets has.
+    With ``differences``, also what a has and b lacks (``added``), and the reverse (``missing``).
+    Without, pairs first meet with half of each hash, which can only make sets look more alike, and
+    only what still looks linked is verified and returned.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"key": x["key"], "s": [s.tobytes() for s in shingle_sets(list(x["text"]), k)]})
+    def joined(pairs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                sets = shingle_sets(list(x["text"]), k)
+                yield pd.DataFrame({"key": x["key"], "s": [(s >> np.uint64(64 - bits)).astype(f"u{bits // 8}").tobytes() for s in sets]})
 
-    sets = saved(keyed.join(nodes, "key").mapInPandas(made, "key long, s binary"), "sets")
-    sets = sets.groupBy("key").agg(F.first("s").alias("s"))
-    both = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
+        nodes = saved(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "nodes")
+        few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+        table = saved(keyed.join(few, "key").mapInPandas(made, "key long, s binary"), "sets")
+        sets = table.groupBy("key").agg(F.first("s").alias("s"))
+        both = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
+        return both.select("a", "b", "sa", "sb"), table
+
+    def screened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            on = []
+            for sa, sb in zip(x["sa"], x["sb"]):
+                a, b = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
+                common = max(int(np.isin(a, b).sum()), int(np.isin(b, a).sum()))
+                on.append(100 * common >= per_cent * (len(a) + len(b) - common))
+            yield x.loc[on, ["a", "b"]]
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = []
             for sa, sb in zip(x["sa"], x["sb"]):
-                a, b = np.frombuffer(sa, np.int64), np.frombuffer(sb, np.int64)
+                a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 shared = np.intersect1d(a, b, assume_unique=True)
                 common, union = len(shared), len(a) + len(b) - len(shared)
-                apart = 1 - common / union
-                only = [np.setdiff1d(v, shared, assume_unique=True) if differences else [] for v in (a, b)]
-                rows.append((apart, 100 * common >= per_cent * union, *only))
-            apart, linked, only_a, only_b = zip(*rows)
-            yield pd.DataFrame({"a": x["a"], "b": x["b"], "apart": apart, "linked": linked, "only_a": only_a, "only_b": only_b})
+                only = [(np.setdiff1d(v, shared, assume_unique=True) >> np.uint64(32)).astype(np.uint32).view(np.int32) if differences else [] for v in (a, b)]
+                rows.append((100 * common >= per_cent * union, 1 - common / union, len(a), len(b), *only))
+            yield pd.DataFrame(rows, columns=["linked", "apart", "na", "nb", "added", "missing"]).assign(a=x["a"], b=x["b"])
 
-    return saved(both.select("a", "b", "sa", "sb").mapInPandas(compared, "a long, b long, apart double, linked boolean, only_a array<long>, only_b array<long>"), "verified")
+    if not differences:
+        both, table = joined(pairs, 32)
+        pairs = saved(both.mapInPandas(screened, "a long, b long"), "screened")
+        discard(table)
+    both, made_sets = joined(pairs, 64)
+    out = "a long, b long, linked boolean, apart double, na int, nb int, added array<int>, missing array<int>"
+    verified = saved(both.mapInPandas(compared, out), "verified")
+    discard(made_sets)
+    return verified
 
 
-def _beyond(stars: DataFrame, first: DataFrame, roots: DataFrame, sizes: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) in large groups that may still link two components.
+def _beyond(stars: DataFrame, roots: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) in large groups that may still link two components; ``stars`` are verified (member, representative) pairs.
 
     Let c be a group's representative, x a member outside its component, and D(x) = x △ c. As x does
     not link with c, it can link with y only if D(x) and D(y) share at least
     t = (|D(x)| + |D(y)| - H(x, y)) / 2 > 0 shingles: either some of those that c lacks, at least t less
     the missing ones that they can share, or else t of the missing ones. Both are prefix-filtered: with
     the group's rarest shingles first, k common ones of m include one of the first m - k + 1.
+    Shingles are told apart by 32 bits here, which can only add candidates.
     """
-    limit = 1 - per_cent / 100 + 1e-9
+    limit, alpha = 1 - per_cent / 100 + 1e-9, (100 - per_cent) / (100 + per_cent)
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    sized = sizes.select(F.col("key").alias("x"), "n")
-    sides = first.select(F.col("a").alias("x"), F.col("b").alias("c"), "apart", F.col("only_a").alias("added"), F.col("only_b").alias("missing"))
-    sides = sides.unionAll(first.select(F.col("b").alias("x"), F.col("a").alias("c"), "apart", F.col("only_b").alias("added"), F.col("only_a").alias("missing")))
-    of = stars.select(F.col("a").alias("x"), F.col("b").alias("c")).distinct().join(sides, ["x", "c"]).join(sized, "x")
-    of = of.join(named("x"), "x", "left").join(named("c"), "c", "left").select("x", "c", "n", "apart", "added", "missing", F.size("added").alias("na"), F.size("missing").alias("nm"), F.coalesce("x_root", "x").alias("root"), F.coalesce("c_root", "c").alias("c_root"))
+    of = stars.select(F.col("a").alias("x"), F.col("b").alias("c"), F.col("na").alias("n"), "apart", F.size("added").alias("added"), F.size("missing").alias("missing"))
+    of = of.join(named("x"), "x", "left").join(named("c"), "c", "left").select("x", "c", "n", "apart", "added", "missing", F.coalesce("x_root", "x").alias("root"), F.coalesce("c_root", "c").alias("c_root"))
     of = saved(of, "sides")
-    outside = of.filter("root != c_root")
-    if outside.isEmpty():
-        return outside.select(F.col("x").alias("a"), F.col("c").alias("b"))
+    open_groups = of.filter("root != c_root").select(F.col("c").alias("b")).distinct()
+    if open_groups.isEmpty():
+        return of.select(F.col("x").alias("a"), F.col("c").alias("b")).limit(0)
+    stars = stars.join(open_groups, "b")
     pair = [F.least("x", "y_x").alias("a"), F.greatest("x", "y_x").alias("b")]
     apart = (F.col("root") != F.col("y_root")) & (F.abs(F.col("apart") - F.col("y_apart")) <= limit)
-    alpha = (100 - per_cent) / (100 + per_cent)
     room = F.floor((F.col("n") + F.col("y_n")) * alpha + 1e-9)
-    most = F.floor(F.col("n") * (1 + 100 / per_cent) * alpha + 1e-9)  # room with any y
-    t = F.ceil((F.col("na") + F.col("nm") + F.col("y_na") + F.col("y_nm") - room) / 2)
-    kinds = {"added": ("na", most + 1, t - F.least("nm", "y_nm")), "missing": ("nm", most - F.col("na") + 1, t)}
+    most = F.floor(F.col("na") * (1 + 100 / per_cent) * alpha + 1e-9)  # room with any y
+    t = F.ceil((F.col("added") + F.col("missing") + F.col("y_added") + F.col("y_missing") - room) / 2)
+    kinds = {"added": (most + 1, t - F.least("missing", "y_missing")), "missing": (most - F.size("added") + 1, t)}
     out = None
-    for kind, (size, first_ones, common) in kinds.items():
-        cast = of.select(*(v for v in of.columns if v not in kinds), F.explode(kind).alias("el"))
+    for kind, (first_ones, common) in kinds.items():
+        cast = stars.select(F.col("a").alias("x"), F.col("b").alias("c"), first_ones.alias("ones"), F.explode(kind).alias("el")).filter("ones > 0")
         rarity = cast.groupBy("c", "el").count()
         order = F.row_number().over(Window.partitionBy("c", "x").orderBy("count", "el"))
-        ranked = saved(cast.join(rarity, ["c", "el"]).withColumn("rank", order).filter(F.col("rank") <= first_ones).drop("count"), "prefixes")
+        ranked = cast.join(rarity, ["c", "el"]).withColumn("rank", order).filter("rank <= ones").select("x", "c", "el", "rank")
+        ranked = saved(ranked.join(of, ["x", "c"]), "prefixes")
         other = ranked.select("c", "el", *(F.col(v).alias(f"y_{v}") for v in ranked.columns if v not in ("c", "el", "c_root")))
         k = F.greatest(common, F.lit(1))
-        inside = (F.col("rank") <= F.col(size) - k + 1) & (F.col("y_rank") <= F.col(f"y_{size}") - k + 1)
+        inside = (F.col("rank") <= F.col(kind) - k + 1) & (F.col("y_rank") <= F.col(f"y_{kind}") - k + 1)
         met = ranked.filter("root != c_root").join(other, ["c", "el"]).filter(apart & inside).select(*pair).distinct()
         out = met if out is None else out.unionAll(met)
     return out.distinct()
@@ -348,25 +389,38 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = saved(_candidates(texts, words, per_cent, docs.count(), parts), "candidates")
 
-    # A large group's representative is the member in most large groups: it is nearest to what they copy.
-    member = found.filter("kind = 'member'").select("a", "n", "entry").distinct()
+    # A link that no small group shows shares only entries of large ones, ``need`` at least. So a
+    # document with fewer has none, and of k entries the k - need + 1 in the smallest groups are enough
+    # (with one order for all, the rarest shared entry is among these for both).
+    member = saved(found.filter("kind = 'member'").select("a", "n", F.col("b").alias("need"), "entry").distinct(), "members")
+    sizes_of = member.groupBy("entry").agg(F.count("*").alias("size"))
+    rarest, own = Window.partitionBy("a").orderBy("size", "entry"), Window.partitionBy("a")
+    ranked = member.join(sizes_of, "entry").withColumn("at", F.row_number().over(rarest)).withColumn("k", F.count("*").over(own))
+    ranked = saved(ranked.filter("at <= k - need + 1").select("a", "n", "entry"), "rarest")
+    discard(member)
+    member = ranked.join(ranked.groupBy("entry").count().filter("count > 1").select("entry"), "entry")
+    # A group's representative: of its member in most groups, the neighbour in most groups. That is near
+    # to what they all copy, and the same for most groups of one family.
     central = member.groupBy("a").count()
-    best = member.join(central, "a").groupBy("entry").agg(F.max(F.struct("count", "a")).alias("best")).select("entry", F.col("best.a").alias("b"))
+    best = saved(member.join(central, "a").groupBy("entry").agg(F.max(F.struct("count", "a")).alias("best")), "best")
+    above = member.join(best, "entry").groupBy("a").agg(F.max("best").alias("above")).select(F.col("a").alias("of"), F.col("above.a").alias("b"))
+    best = best.join(above, F.col("best.a") == F.col("of")).select("entry", "b")
     member = saved(member.join(best, "entry"), "stars")
     sizes = found.filter("kind = 'set'").select(F.col("a").alias("key"), "n").distinct()
-    star = member.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    star = _verified(star, texts, words, per_cent, differences=True)
-    pairs = found.filter("kind = 'pair'").select("a", "b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = _verified(saved(pairs, "pairs"), texts, words, per_cent)
+    star = _verified(member.filter("a != b").select("a", "b").distinct(), texts, words, per_cent, differences=True)
+    in_order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    met = star.select(*in_order)
+    pairs = saved(found.filter("kind = 'pair'").select("a", "b").distinct().join(met, ["a", "b"], "left_anti"), "pairs")
+    others = _verified(pairs, texts, words, per_cent)
     same = found.filter("kind = 'same'").select("a", "b").distinct()
-    links = star.unionAll(pairs).filter("linked").select("a", "b").unionAll(same)
+    links = star.filter("linked").select("a", "b").unionAll(others.filter("linked").select("a", "b")).unionAll(same)
     roots = saved(components(links), "roots")
 
-    again = _beyond(member, star, roots, sizes, per_cent)
-    again = saved(again.join(star.unionAll(pairs).select("a", "b"), ["a", "b"], "left_anti"), "again")
+    again = saved(_beyond(star, roots, per_cent).join(met.unionAll(pairs), ["a", "b"], "left_anti"), "again")
     if not again.isEmpty():
         links = links.unionAll(_verified(again, texts, words, per_cent).filter("linked").select("a", "b"))
         roots = saved(components(links), "roots")
+    discard(star, others, pairs, member, ranked)
 
     ids = keyed.select("doc_id", "key")
     rooted = ids.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
