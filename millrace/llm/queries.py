@@ -97,6 +97,22 @@ def queries() -> dict:
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+OP2 = """
+WITH d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS k FROM d, range(0, n - 399) AS r(i) WHERE n >= 400),
+twice AS (SELECT k FROM p GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p WHERE k IN (FROM twice)),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM hit GROUP BY doc_id, g),
+flag AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM run),
+num AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS m FROM flag),
+span AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM num GROUP BY doc_id, m),
+edge AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+part AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM edge JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN part USING (doc_id)
+"""
+
 OP3 = f"""
 WITH d AS (SELECT doc_id, {_WORDS3.format('text')} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS3.format('text')} AS w FROM benchmark),
@@ -115,6 +131,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS B
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP4 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS sh FROM d, range(1, greatest(len(w) - 3, 1) + 1) AS r(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN least ON d.doc_id = a
+"""
+
 _SAFE = r"replace(replace(replace({0}, '\', '\\'), '<', '\<'), '###', '\###')"
 OP5 = rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -167,4 +194,4 @@ FROM m GROUP BY page_id, url, fetched, host
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3, "op5_chat_format": OP5, "op9_quality_rules": OP9, "op10_url_filter": OP10}
+    return {"op2_suffix_dedup": OP2, "op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_chat_format": OP5, "op9_quality_rules": OP9, "op10_url_filter": OP10}

@@ -41,7 +41,7 @@ def test_run_equals_the_stages(spark, stages):
     assert set(cols) <= set(stages["packing"].columns)
 
 
-@pytest.mark.parametrize("name", ["op3_decontaminate", "op5_chat_format", "op9_quality_rules", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_decontaminate", "op4_jaccard_join", "op5_chat_format", "op9_quality_rules", "op10_url_filter"])
 def test_query_equals_its_sql(spark, name):
     from millrace.llm.queries import oracle_sql, queries
 
