@@ -206,8 +206,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``keep_text``, kept: the remaining text without characters that were cut in part; and the columns
     named in ``carry``, as they are. A null text is
     empty; texts shorter than ``length`` stay whole. Repeated rows are documents of their own, so
-    long ones repeat each other and go; rows of one id and other texts are told apart. Very long
-    texts are passed over in pieces. Empty tables give empty results; other columns are ignored.
+    long ones repeat each other and go; rows of one id and other texts are told apart. A task's
+    memory grows with its longest text, by about 80 bytes for each of its bytes. Empty tables give empty results; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)

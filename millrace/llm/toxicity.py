@@ -15,6 +15,8 @@ from .common import narrowed, saved, small_batches
 
 #: Labelled rows that a model is fitted on at most, and terms of its lexicon at most.
 SAMPLE, TERMS = 16_000, 1_000
+#: Characters of a text that is learned from at most; with the rows it bounds what a model is fitted on.
+SAMPLE_CHARS = 65_536
 #: Words to either side of a term that make its context.
 WINDOW = 10
 EXACT, STEM, FUZZY = 3, 2, 1
@@ -166,11 +168,14 @@ class Scanner:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, trains: Column, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(text, label) of at most ``size`` labelled rows of which ``trains`` holds, by the hash of their ids. Rows without id, text or label give nothing."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & trains)
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(size)
-    texts = narrowed(docs, id_col, text_col)
-    return saved(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", F.col("label").cast("int").alias("label")), "sample")
+    """(text, label) of at most ``size`` labelled rows of which ``trains`` holds, by the hash of their ids.
+
+    Rows without id or label, and texts of more than ``SAMPLE_CHARS`` characters, are not learned from.
+    """
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & trains)
+    chosen = known.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(size)
+    texts = narrowed(docs, id_col, text_col).filter(F.length("text") <= SAMPLE_CHARS)
+    return saved(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "label"), "sample")
 
 
 def learn_terms(sample: DataFrame, limit: int = TERMS) -> tuple[tuple[str, ...], tuple[str, ...]]:
