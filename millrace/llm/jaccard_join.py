@@ -116,8 +116,9 @@ def allocate(band: int, low: int, high: int, per_cent: int, n_docs: int, share:
     reach = high * 100 // per_cent
     h = max(most_apart(t, per_cent) for t in range(max(2, high + reach - 3), high + reach + 1))
     n, best = math.sqrt(low * high), None
-    for double in range(0, min(h + 1, 24) + 1):
-        for slack in range(0, 9 + h // 12):
+    slacks = sorted({*range(9), *(round(8 * 1.25**i) for i in range(1, 80))} & set(range(9 + h // 12)))
+    for double in [d for d in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24) if d <= h + 1]:
+        for slack in slacks:
             m = h + 1 + slack - double
             if m < max(1, double):
                 continue
@@ -377,6 +378,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     so nor through others then meets the members that its difference from the representative allows
     (see ``_beyond``). No link is lost that would join two components.
 
+    A task's memory grows with its longest text, by about 40 bytes for each of its bytes.
+
     Returns a row for each input row: doc_id, n_shingles, component_id (the smallest id reachable by
     links). Null and empty texts have no shingles and no links. Repeated rows link with each other.
     Rows without an id take part; their component_id is the smallest id they reach, or null. Other
@@ -423,6 +426,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(star, others, pairs, member, ranked)
 
     ids = keyed.select("doc_id", "key")
-    rooted = ids.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").join(sizes, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least = roots.join(ids, F.col("node") == F.col("key")).groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = roots.join(saved(least, "least"), "root").select("node", "component_id")
+    out = ids.join(sizes, "key").join(named, F.col("key") == F.col("node"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
