@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .functions import stats as A
 from .operators import entities as N
+from .operators import features as X
 from .operators import models as M
 from .operators import prepare as P
 from .operators import relational as R
@@ -621,3 +622,58 @@ def ml_forest(t):
 @query()
 def ml_kmeans(t):
     return M.cluster(_labelled(t), ["o_totalprice", "age", "n"], "kmeans", 4, ["o_orderkey"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity + l_tax + 1e-7, 4) AS a, round(0.5 * l_quantity + 2 * l_discount + 1e-7, 4) AS b, CAST(l_discount > 0.05 AS INT) AS hot, round(l_quantity * l_discount + 1e-7, 4) AS l_quantity_multiply_l_discount,
+          round(l_quantity ** 2, 4) AS l_quantity_pow_2, l_returnflag || '_' || l_linestatus AS crossed, round(cbrt(l_extendedprice) + 1e-7, 4) AS l_extendedprice_cbrt FROM lineitem""")
+def configured_features(t):
+    config = [
+        {"name": "a", "kind": "sum", "columns": ["l_quantity", "l_tax"]},
+        {"name": "b", "kind": "weighted", "columns": ["l_quantity", "l_discount"], "weights": [0.5, 2]},
+        {"name": "hot", "kind": "threshold", "columns": ["l_discount"], "value": 0.05},
+        {"name": "crossed", "kind": "cross", "columns": ["l_returnflag", "l_linestatus"]},
+    ]
+    df = X.engineer(t("lineitem"), config)
+    df = X.transform(X.polynomials(X.interactions(df, [("l_quantity", "l_discount")], ["multiply"]), ["l_quantity"], 2), ["l_extendedprice"], "cbrt")
+    return df.select("l_orderkey", "l_linenumber", up("a").alias("a"), up("b").alias("b"), "hot", up("l_quantity_multiply_l_discount").alias("l_quantity_multiply_l_discount"), r("l_quantity_pow_2").alias("l_quantity_pow_2"), "crossed", up("l_extendedprice_cbrt").alias("l_extendedprice_cbrt"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size >= p_retailprice / 50 AND p_size >= 20 THEN 'size' WHEN p_retailprice / 50 >= 20 THEN 'price' ELSE 'none' END AS label FROM part""")
+def labels_from_scores(t):
+    df = t("part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 50).alias("b"), F.lit(20.0).alias("c"))
+    return X.labels_from_scores(df, ["a", "b", "c"], "label", ["size", "price", "none"]).select("p_partkey", "label")
+
+
+@query("SELECT p_partkey, '[p_name] ' || p_name || ' [p_brand] ' || p_brand AS text FROM part")
+def combined_text(t):
+    return X.combine_text(t("part"), ["p_name", "p_brand"], "text", prefix=True).select("p_partkey", "text")
+
+
+@query("""WITH a AS (SELECT o_orderkey, 0.20439731 + date_diff('day', DATE '2001-01-01', CAST(o_orderdate AS DATE)) * 0.03386319269 AS p FROM orders)
+          SELECT o_orderkey, CAST(floor((CAST(p AS DOUBLE) - floor(CAST(p AS DOUBLE))) * 8 + 0.5) AS INT) % 8 AS moon FROM a""")
+def lunar_days(t):
+    return t("orders").select("o_orderkey", X.lunar_day(day("o_orderdate")).alias("moon"))
+
+
+@query(f"""WITH {DAILY} SELECT l_suppkey, CAST(d AS VARCHAR) AS d, round(avg(v) OVER a + 1e-7, 4) AS m, round(var_samp(v) OVER a + 1e-7, 4) AS s FROM daily WINDOW a AS (PARTITION BY l_suppkey, isodow(d) ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def cumulative_by_weekday(t):
+    df = X.cumulative_by(_daily(t).withColumn("dow", F.weekday("d")), "v", ["l_suppkey", "dow"], ["d"])
+    return df.select("l_suppkey", F.col("d").cast("string").alias("d"), up("v_so_far_mean").alias("m"), up("v_so_far_var").alias("s"))
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS m FROM orders GROUP BY ALL), l AS (SELECT k, d, lag(m, 7) OVER (PARTITION BY k ORDER BY d) AS x FROM m)
+          SELECT o_orderkey, round(x + 1e-7, 2) AS lag7 FROM orders JOIN l ON o_orderpriority = k AND CAST(o_orderdate AS DATE) = d""")
+def level_lags(t):
+    df = X.level_lags(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice", day("o_orderdate").alias("d")), "o_totalprice", "d", [["o_orderpriority"]], [7])
+    return df.select("o_orderkey", up("o_totalprice_o_orderpriority_lag_7", 2).alias("lag7"))
+
+
+@query("""WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i FROM supplier), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS i FROM part)
+          SELECT s_suppkey, p_partkey FROM a JOIN b USING (i)""")
+def positional_match(t):
+    return X.match_by_position(t("supplier").select("s_suppkey", "s_acctbal"), t("part").select("p_partkey", "p_retailprice"), ["s_acctbal", "s_suppkey"], [F.desc("p_retailprice"), "p_partkey"]).select("s_suppkey", "p_partkey")
+
+
+@query()
+def ml_principal_components(t):
+    return X.principal_components(_labelled(t), ["o_totalprice", "age", "n", "discount"], 2, ["o_orderkey"], whiten=True)
