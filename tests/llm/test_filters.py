@@ -118,3 +118,11 @@ def test_chat_digest(spark):
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert g.formatted_chars == sum(len(t) for t, _, _ in expand([(r or "", t or "") for _, r, t in own]))
     assert chat_examples(df.limit(0)).count() == 0
+
+
+def test_url_filter_of_empty_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", dt.date(2024, 1, 1))], "page_id long, url string, fetched date")
+    entries = spark.createDataFrame([("a.org", "add", dt.date(2023, 1, 1))], "entry string, action string, at date")
+    assert [tuple(r)[3:] for r in url_filter(pages, entries).collect()] == [("a.org", 1, "a.org", True)]
+    assert [tuple(r)[3:] for r in url_filter(pages, entries.limit(0)).collect()] == [("a.org", 0, None, False)]
+    assert url_filter(pages.limit(0), entries).count() == 0
