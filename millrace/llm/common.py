@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the word definitions of operators 4 and 9 take it.
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of one Arrow batch sent to a Python worker; bounds its memory with very long texts.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,7 +96,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Bytes that a task gathers before it deals them out.
-DEAL_BYTES = 8 << 20
+DEAL_BYTES = 4 << 20
 
 
 def dealt(arrays: Iterable[dict[str, np.ndarray]], by: str, parts: int, kind: int = 0) -> Iterator[pd.DataFrame]:

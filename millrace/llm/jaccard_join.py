@@ -45,7 +45,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
-    """Each text's distinct shingles of ``k`` words, as sorted 64-bit hashes; of fewer words, the whole."""
+    """Each text's distinct shingles of ``k`` words, as sorted 64-bit hashes; of fewer words, the whole.
+
+    Short texts are hashed together, about 256 thousand characters at once.
+    """
+    out, run, size = [], [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size > 1 << 18:
+            out += _shingle_sets(run, k)
+            run, size = [], 0
+    return out + _shingle_sets(run, k) if run else out
+
+
+def _shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     raws = [t.encode() for t in texts]
     x = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     inside = ~_SPACE[x]

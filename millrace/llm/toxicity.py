@@ -132,12 +132,12 @@ class Scanner:
         self.automaton, self.letters = Automaton(words, stems), _letters()
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """A row for each text; texts are scanned in runs of about a million characters, so that memory is bounded by one text."""
+        """A row for each text; texts are scanned in runs of about 256 thousand characters, so that memory is bounded by one text."""
         out, run, size = [np.zeros((0, FEATURES))], [], 0
         for t in texts:
             run.append(t)
             size += len(t)
-            if size > 1 << 20:
+            if size > 1 << 18:
                 out.append(self._features(run))
                 run, size = [], 0
         return np.concatenate([*out, self._features(run)]) if run else np.concatenate(out)
