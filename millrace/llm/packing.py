@@ -12,7 +12,6 @@ import pandas as pd
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import narrowed, small_batches
 
