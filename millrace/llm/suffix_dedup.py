@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs_of, dealt, discard, narrowed, saved, small_batches
+from .common import blobs_of, dealt, discard, saved, small_batches
 
 _M1, _M2, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 #: Windows of one pass over a long document.
@@ -137,8 +137,8 @@ def doubled(rows: DataFrame) -> DataFrame:
         out = done if out is None else out.unionAll(done)
         if pairs.filter(F.col("phrases") >= 2 * step).isEmpty():
             return out
-        at = Window.partitionBy("key").orderBy("idx").rangeBetween(step, step)
-        pairs = pairs.withColumn("next", F.first("rank").over(at)).filter((F.col("phrases") >= 2 * step) & F.col("next").isNotNull())
+        ahead = pairs.groupBy("key", (F.col("idx") - step).alias("idx")).agg(F.first("rank").alias("next"))
+        pairs = pairs.filter(F.col("phrases") >= 2 * step).join(ahead, ["key", "idx"])
         step *= 2
 
 
