@@ -372,7 +372,7 @@ def _beyond(stars: DataFrame, roots: DataFrame, per_cent: int) -> DataFrame:
     out = None
     for kind, (first_ones, common) in kinds.items():
         cast = stars.select(F.col("a").alias("x"), F.col("b").alias("c"), first_ones.alias("ones"), F.explode(kind).alias("el")).filter("ones > 0")
-        rarity = cast.groupBy("c", "el").count()
+        rarity = saved(cast.groupBy("c", "el").count(), "rarity")  # a table, so that the join can split hot shingles
         order = F.row_number().over(Window.partitionBy("c", "x").orderBy("count", "el"))
         ranked = cast.join(rarity, ["c", "el"]).withColumn("rank", order).filter("rank <= ones").select("x", "c", "el", "rank")
         ranked = saved(ranked.join(of, ["x", "c"]), "prefixes")
