@@ -1,8 +1,8 @@
 """Operator 5: chat formatting by prefix-target expansion.
 
 A turn is written as ``<turn ROLE>\\nTEXT</turn>\\n``. Inside roles and texts a backslash becomes two,
-``<`` becomes ``\\<`` and ``###`` becomes ``\\###``; in roles a line end becomes ``\\n`` and ``>``
-becomes ``\\>``. So no control string can come from a text, and reading back is exact.
+``<`` becomes ``\\l`` and ``###`` becomes ``\\h``; in roles a line end becomes ``\\n`` and ``>``
+becomes ``\\g``. So no control string is left in a text, and reading back is exact.
 """
 
 from __future__ import annotations
@@ -24,20 +24,20 @@ _TURN = re.compile(r"<turn ((?:[^\\<>\n]|\\.)*)>\n((?:[^\\<]|\\.)*)</turn>\n", r
 _HAND_ON = 8 << 20
 
 
+#: What stands after a backslash for what.
+_CODES = {"\\": "\\", "l": "<", "h": "###", "n": "\n", "g": ">"}
+
+
 def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("<", "\\<").replace("###", "\\###")
+    return text.replace("\\", "\\\\").replace("<", "\\l").replace("###", "\\h")
 
 
 def escape_role(role: str) -> str:
-    return escape(role).replace("\n", "\\n").replace(">", "\\>")
+    return escape(role).replace("\n", "\\n").replace(">", "\\g")
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
-
-
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.S)
+    return re.sub(r"\\(.)", lambda m: _CODES[m[1]], text) if "\\" in text else text
 
 
 def expand(turns: Iterable[tuple[str, str]]) -> Iterator[tuple[str, int, int]]:
@@ -107,7 +107,7 @@ def read_back(examples: Iterable[tuple[str, int, int]]) -> tuple[list[tuple[str,
         while at < len(text):
             if not (m := _TURN.match(text, at)):
                 raise ValueError(f"no turn at character {at}")
-            turns.append((unescape_role(m[1]), unescape(m[2])))
+            turns.append((unescape(m[1]), unescape(m[2])))
             at = m.end()
         if end > begin or (turns and turns[-1][0] == "assistant" and begin):
             trained.append(unescape(text[begin:end]))

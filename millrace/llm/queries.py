@@ -142,12 +142,12 @@ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN least ON d.doc_id = a
 """
 
-_SAFE = r"replace(replace(replace({0}, '\', '\\'), '<', '\<'), '###', '\###')"
+_SAFE = r"replace(replace(replace({0}, '\', '\\'), '<', '\l'), '###', '\h')"
 OP5 = rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 t AS (SELECT *, role = 'assistant' AS reply,
-             6 + length(replace(replace({_SAFE.format('role')}, chr(10), '\n'), '>', '\>')) + 2 + length({_SAFE.format('text')}) + 8 AS chars FROM c),
+             6 + length(replace(replace({_SAFE.format('role')}, chr(10), '\n'), '>', '\g')) + 2 + length({_SAFE.format('text')}) + 8 AS chars FROM c),
 u AS (SELECT *, sum(chars) OVER w AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS from_end
       FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, count(*) AS n_turns,

@@ -9,7 +9,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.chat_format import chat_digest, chat_examples, escape, escape_role, expand, read_back, unescape, unescape_role
+from millrace.llm.chat_format import chat_digest, chat_examples, escape, escape_role, expand, read_back, unescape
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.quality_rules import quality_rules
 from millrace.llm.url_filter import url_filter
@@ -102,7 +102,7 @@ def test_chat_reads_back(turns):
     assert back == turns
     assert trained == [t for r, t in turns if r == "assistant"]
     assert all(unescape(escape(t)) == t and "</turn>" not in escape(t) and "### " not in re.sub(r"\\###", "", escape(t)) for _, t in turns)
-    assert all(unescape_role(escape_role(r)) == r for r, _ in turns)
+    assert all(unescape(escape_role(r)) == r for r, _ in turns)
 
 
 def test_chat_digest(spark):
