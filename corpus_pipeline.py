@@ -6,7 +6,7 @@ return the columns of ``documents``; the last returns packed pieces. Null texts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import toxicity as toxic
@@ -27,13 +27,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("_score", toxic.score_column(spark, model)(F.coalesce("text", F.lit("")))).filter(F.col("_score") < REJECT).select(*COLUMNS)
 
 
+def _row() -> Column:
+    """A row by its id and text, never null: ids may be missing, and one id may have several texts."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4, with five words and a similarity of 0.8: one document of each group stays, that of the smallest id.
+    """Operator 4, with five words and a similarity of 0.8: one row of each group stays, that of the smallest id.
 
-    Documents without an id, and without words, stay.
+    Rows without an id come last in a group; of rows equal in id and text one stays. Rows without words stay.
     """
-    found = jaccard_join(docs, words=5, per_cent=80).filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), _row().alias("row"))
+    found = jaccard_join(docs.select(place.alias("place"), "text"), id_col="place", words=5, per_cent=80).filter("n_shingles > 0")
+    # What a group's least row is not goes; what it is may still be there several times.
+    marked = found.groupBy(F.col("doc_id.row").alias("_row")).agg(F.max(F.col("component_id.row") != F.col("doc_id.row")).alias("lost"), F.count("*").alias("n"))
+    marked = saved(marked.filter("lost OR n > 1").select("_row", "lost"), "marked")
+    keyed = docs.select(*COLUMNS, _row().alias("_row"))
+    single = keyed.join(marked.select("_row"), "_row", "left_anti").select(*COLUMNS)
+    repeated = keyed.join(marked.filter("NOT lost").select("_row"), "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("one"))
+    return single.unionAll(repeated.select("one.*"))
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +54,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents that hold a window of a benchmark item go."""
-    hit = decontaminate(docs, read(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Operator 3: rows that hold a window of a benchmark item go, with or without an id."""
+    keyed = docs.select(*COLUMNS, _row().alias("_row"))
+    hit = decontaminate(keyed, read(spark, sf_dir, "benchmark"), id_col="_row").filter("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(hit, "_row", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,44 @@ def test_run_equals_the_stages(spark, stages):
     assert set(cols) <= set(stages["packing"].columns)
 
 
+def words(name: str, n: int = 60) -> str:
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def made(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "made", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_near_duplicates_decide_by_row(spark):
+    import corpus_pipeline as P
+
+    a, b, c, d = map(words, "abcd")
+    rows = [
+        (1, a), (2, a + " end"), (2, b),  # one id with two texts, of which one is a near copy
+        (3, c), (3, c), (3, c),  # repeated rows
+        (None, d), (None, d + " end"), (None, d + " end"),  # a group without ids
+        (None, a), (None, words("e")),  # a copy and a single row without ids
+        (4, ""), (4, ""), (None, None), (None, None),  # no words
+    ]
+    got = kept(P.near_duplicates(spark, made(spark, rows), DATA))
+    of_d = [r for r in got if r[1] in (d, d + " end")]
+    assert len(of_d) == 1 and of_d[0][0] is None
+    assert [r for r in got if r not in of_d] == sorted([(1, a), (2, b), (3, c), (None, words("e")), (4, ""), (4, ""), (None, None), (None, None)], key=str)
+
+
+def test_benchmark_passages_decide_by_row(spark):
+    import corpus_pipeline as P
+
+    item = next(r.text for r in P.read(spark, DATA, "benchmark").collect() if len(r.text.split()) >= 12)
+    bad, good, other = f"{words('x')} {item} {words('y')}", words("g"), words("h")
+    rows = [(None, bad), (None, good), (1, bad), (1, good), (2, other), (2, other), (None, None)]
+    assert kept(P.benchmark_passages(spark, made(spark, rows), DATA)) == sorted([(None, good), (1, good), (2, other), (2, other), (None, None)], key=str)
+
+
 @pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_decontaminate", "op4_jaccard_join", "op5_chat_format", "op9_quality_rules", "op10_url_filter"])
 def test_query_equals_its_sql(spark, name):
     from millrace.llm.queries import oracle_sql, queries
