@@ -449,6 +449,12 @@ def shifted_text(t):
     return t("documents").groupBy("lang", S.shifted(F.substring("text", 1, 40), 3).alias("code")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, md5(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'defghijklmnopqrstuvwxyzabcDEFGHIJKLMNOPQRSTUVWXYZABC')) AS digest FROM documents")
+def shifted_documents(t):
+    """Whole texts, a row for each document; ``shifted_text`` groups them by their first 40 characters."""
+    return t("documents").select("doc_id", F.md5(S.shifted(F.col("text"), 3)).alias("digest"))
+
+
 # Vectors
 
 _SIM = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"

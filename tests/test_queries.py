@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import hashlib
 import math
 import os
 
@@ -39,6 +40,15 @@ def test_query_equals_its_sql(spark, con, name):
     assert a == b
 
 
+def test_shifted_documents_tell_late_differences(spark, tmp_path):
+    start = "a" * 40
+    rows = [(1, start + " Zebra, 7 xyz"), (2, start + " Zebra, 7 xya"), (None, start), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    digest = lambda s: hashlib.md5(s.encode()).hexdigest()
+    got = {tuple(r) for r in QUERIES["shifted_documents"](spark, str(tmp_path)).collect()}
+    assert got == {(1, digest("d" * 40 + " Cheud, 7 abc")), (2, digest("d" * 40 + " Cheud, 7 abd")), (None, digest("d" * 40)), (3, None)}
+
+
 def test_samples_are_stable(spark):
     for name in ("undersampled", "folds"):
         a, b = (sorted(map(tuple, QUERIES[name](spark, DATA).collect())) for _ in range(2))
