@@ -303,10 +303,16 @@ def expanding_features(t):
                  UNION ALL SELECT n.l_suppkey, n.i, CASE WHEN e.y IS NULL THEN e.v ELSE e.y * (1 - 2.0 / 8) + e.v * 2.0 / 8 END, n.v FROM e JOIN n ON n.l_suppkey = e.l_suppkey AND n.i = e.i + 1)
            SELECT l_suppkey, CAST(d AS VARCHAR) AS d, round(y, 4) AS ewm FROM e JOIN n USING (l_suppkey, i)""")
 def ewm_features(t):
-    """Twenty suppliers are the feature's own filter here: the smoothing of key suppliers."""
+    """The twenty suppliers of the SQL twin; ``ewm_all_suppliers`` has all."""
     return W.ewm(_daily(t).filter("l_suppkey <= 20"), "v", ["l_suppkey"], ["d"], 7).select("l_suppkey", F.col("d").cast("string").alias("d"), r("v_ewm").alias("ewm"))
 
 
+@query()
+def ewm_all_suppliers(t):
+    """As ``ewm_features``, over every supplier."""
+    return W.ewm(_daily(t), "v", ["l_suppkey"], ["d"], 7).select("l_suppkey", F.col("d").cast("string").alias("d"), r("v_ewm").alias("ewm"))
+
+
 @query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderkey % 11 = 0 GROUP BY 1),
           s AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM a), j AS (SELECT s.d, v, row_number() OVER (ORDER BY s.d) AS i FROM s LEFT JOIN a USING (d)),
           w AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS p, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, first_value(v IGNORE NULLS) OVER f AS n, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ni
@@ -318,6 +324,14 @@ def interpolate_spine(t):
     return df.select(F.col("d").cast("string").alias("d"), up("v_filled", 2).alias("v"))
 
 
+@query()
+def interpolate_customers(t):
+    """Mean order value of every customer, on each day from the first order to the last; ``interpolate_spine`` has its SQL twin's few orders."""
+    a = t("orders").groupBy("o_custkey", day("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("v"))
+    df = W.interpolate(W.spine(a, ["o_custkey"], "d").join(a, ["o_custkey", "d"], "left"), "v", ["o_custkey"], ["d"])
+    return df.select("o_custkey", F.col("d").cast("string").alias("d"), up("v_filled", 2).alias("v"))
+
+
 @query("""SELECT l_partkey, CAST(min(CAST(l_shipdate AS DATE)) AS VARCHAR) AS first_sale, round(max(l_extendedprice / l_quantity), 4) AS max_price, round(avg(l_extendedprice / l_quantity), 4) AS mean_price,
           count(DISTINCT round(l_extendedprice / l_quantity, 2)) AS n_prices FROM lineitem GROUP BY 1""")
 def price_features(t):

@@ -49,6 +49,29 @@ def test_shifted_documents_tell_late_differences(spark, tmp_path):
     assert got == {(1, digest("d" * 40 + " Cheud, 7 abc")), (2, digest("d" * 40 + " Cheud, 7 abd")), (None, digest("d" * 40)), (3, None)}
 
 
+def test_ewm_covers_all_suppliers(spark, tmp_path):
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(5)]
+    rows = [(s, days[i], float((s * 7 + i * i) % 11)) for s in (1, 20, 21, 500) for i in range(5)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for s in (1, 20, 21, 500):
+        y = None
+        for k, d, v in rows:
+            if k == s:
+                want[s, str(d.date())] = None if y is None else round(y, 4)
+                y = v if y is None else y * 0.75 + v * 0.25
+    got = {(r.l_suppkey, r.d): r.ewm for r in QUERIES["ewm_all_suppliers"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (v if v is None else pytest.approx(v, abs=1e-4)) for k, v in want.items())
+
+
+def test_interpolation_covers_all_orders(spark, tmp_path):
+    at = lambda n: dt.datetime(2024, 1, n)
+    rows = [(1, 7, at(1), 10.0), (2, 7, at(1), 30.0), (3, 7, at(5), 40.0), (4, 8, at(2), 5.0), (5, 8, at(4), 9.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.o_custkey, int(r.d[-2:])): r.v for r in QUERIES["interpolate_customers"](spark, str(tmp_path)).collect()}
+    assert got == {(7, 1): 20.0, (7, 2): 25.0, (7, 3): 30.0, (7, 4): 35.0, (7, 5): 40.0, (8, 2): 5.0, (8, 3): 7.0, (8, 4): 9.0}
+
+
 def test_samples_are_stable(spark):
     for name in ("undersampled", "folds"):
         a, b = (sorted(map(tuple, QUERIES[name](spark, DATA).collect())) for _ in range(2))
