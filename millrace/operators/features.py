@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import with_incomplete
 from .relational import COMPARE
 
 EPS = 1e-8
@@ -97,12 +98,13 @@ def match_by_position(a: DataFrame, b: DataFrame, order_a: list, order_b: list)
 
 
 def principal_components(df: DataFrame, cols: list[str], k: int, keep: list[str], whiten: bool = False) -> DataFrame:
-    """pca_0 ... of centred columns; with ``whiten`` each has variance 1. Signs are free."""
+    """pca_0 ... of centred columns, null where a column is; with ``whiten`` each has variance 1. Signs are free."""
     x = VectorAssembler(inputCols=cols, outputCol="__raw", handleInvalid="skip").transform(df)
     x = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=False).fit(x).transform(x)
     model = PCA(k=k, inputCol="__x", outputCol="__p").fit(x)
     out = model.transform(x).withColumn("__a", vector_to_array("__p"))
     out = out.select(*keep, *(F.get("__a", F.lit(i)).alias(f"pca_{i}") for i in range(k)))
+    out = with_incomplete(out, df, cols, keep)
     if not whiten:
         return out
     row = out.agg(*(F.stddev_samp(f"pca_{i}").alias(f"s{i}") for i in range(k))).first()

@@ -36,10 +36,16 @@ def train(df: DataFrame, features: list[str], label: str, kind: str, **params):
 
 
 def predict(model, df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, prediction and, of a classifier, the probability of the last class."""
+    """keep, prediction and, of a classifier, the probability of the last class; both null where a feature is null."""
     out = model.transform(df)
     more = [F.element_at(vector_to_array("probability"), -1).alias("probability")] if "probability" in out.columns else []
-    return out.select(*keep, F.col("prediction"), *more)
+    return with_incomplete(out.select(*keep, F.col("prediction"), *more), df, model.stages[0].getInputCols(), keep)
+
+
+def with_incomplete(out: DataFrame, df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """``out`` and the rows of ``df`` that the assembler skipped: those with a null or NaN feature."""
+    missing = reduce(lambda a, b: a | b, (F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in features))
+    return out.unionByName(df.filter(missing).select(*keep), allowMissingColumns=True)
 
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, kind: str, fold: str, folds: int, keep: list[str], **params) -> DataFrame:
@@ -49,9 +55,10 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, kind: str, fold:
 
 
 def cluster(df: DataFrame, features: list[str], kind: str, k: int, keep: list[str], seed: int = 42) -> DataFrame:
-    """Clusters of standardised features."""
+    """Clusters of standardised features; null where a feature is null."""
     steps = [VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip"), StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), CLUSTERERS[kind](k=k, seed=seed, featuresCol="__x")]
-    return Pipeline(stages=steps).fit(df).transform(df).select(*keep, F.col("prediction").alias("cluster"))
+    out = Pipeline(stages=steps).fit(df).transform(df).select(*keep, F.col("prediction").alias("cluster"))
+    return with_incomplete(out, df, features, keep)
 
 
 def blend(frames: list[DataFrame], key: str, value: str, how: str = "mean", weights: list[float] | None = None) -> DataFrame:

@@ -110,3 +110,19 @@ def test_scalars(spark):
     row = one.select(S.differences(c("a")), S.sign_changes(c("a")), S.is_monotone(c("a")), o["n_common"], S.haversine(c("y1"), c("x1"), c("y2"), c("x2")), S.cleaned(F.lit("A <b>x</b> http://q/ 1!")), S.easter(F.lit(2024)).cast("string"), S.shifted(F.lit("Zz a"), 1)).first()
     assert row[0] == [-2, 1, 0] and row[1] == 1 and row[2] is False and row[3] == 1
     assert abs(row[4] - 5577) < 20 and row[5] == "a x 1" and row[6] == "2024-03-31" and row[7] == "Aa b"
+
+
+def test_models_return_incomplete_rows(spark):
+    from millrace.operators import models as M
+
+    rows = [(i, float(i % 7), float(i % 5) if i % 6 else None, float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, label double").withColumn("fold", F.col("id") % 2)
+    out = M.out_of_fold(df, ["x", "y"], "label", "logistic", "fold", 2, ["id"]).collect()
+    assert sorted(r.id for r in out) == list(range(40)) and all((r.prediction is None) == (r.probability is None) == (r.id % 6 == 0) for r in out)
+    groups = M.cluster(df, ["x", "y"], "kmeans", 2, ["id"]).collect()
+    assert sorted(r.id for r in groups) == list(range(40)) and all((r.cluster is None) == (r.id % 6 == 0) for r in groups)
+    from millrace.operators import features as X
+
+    for whiten in (False, True):
+        parts = X.principal_components(df, ["x", "y"], 2, ["id"], whiten).collect()
+        assert sorted(r.id for r in parts) == list(range(40)) and all((r.pca_0 is None) == (r.id % 6 == 0) for r in parts)
