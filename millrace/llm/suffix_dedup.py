@@ -1,4 +1,4 @@
-"""Operator 2: removal of long repeated byte strings by distributed prefix doubling.
+"""Operator 2: removal of long repeated strings, of bytes or of words, by distributed prefix doubling.
 
 Sorting every suffix of a corpus moves each byte many times, so the positions that are ranked are
 anchors: in every ``w`` neighbouring k-grams the one of the least hash. Which anchors a string holds
@@ -12,6 +12,8 @@ The first anchor of a position, and the phrases between the next ones, stand for
 3. what is left is checked exactly: the positions of one anchor by the hash of the whole string
    that they span, and, where that is unique, position by position.
 
+A text is a row of symbols: its bytes, or its words, of which each stands as a hash of its bytes.
+
 Equality is by two 64-bit polynomial hashes of different multipliers (step 3), the chance of a false match
 at n compared strings is about n^2 / 2^97 or less.
 """
@@ -26,17 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs_of, dealt, discard, saved, small_batches
+from .common import SPACE, blobs_of, dealt, discard, saved, small_batches
 
 _M1, _M2, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 #: Windows of one pass over a long document.
 _PASS = 1 << 20
 
 
-def shape(length: int) -> tuple[int, int, int]:
-    """(k, w, reach): bytes of a gram, grams of a window, bytes after an anchor that equal strings share."""
+def shape(length: int, longest: int = 16) -> tuple[int, int, int]:
+    """(k, w, reach): symbols of a gram (at most ``longest``), grams of a window, symbols after an anchor that equal strings share."""
     k = 1
-    while k < 16 and 4 * k <= length:
+    while k < longest and 4 * k <= length:
         k *= 2
     w = max(1, (length - k + 2) // 3)
     return k, w, length - 2 * w - k + 2
@@ -64,6 +66,29 @@ class Powers:
         return h ^ (h >> np.uint64(29))
 
 
+#: Symbols of a gram at most: enough to tell grams apart.
+_GRAM = {"bytes": 16, "words": 4}
+#: Bytes that part words.
+_BLANK = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words between ASCII white space begin and end."""
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_BLANK[np.frombuffer(raw, np.uint8)]
+    turns = np.diff(inside)
+    return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+
+
+def symbols(raw: bytes, unit: str, one: Powers, two: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a text, twice; words are told apart by another hash each time."""
+    x = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+    if unit == "bytes":
+        return x, x
+    start, end = word_bounds(raw)
+    return one.of(one.sums(x), start, end), two.of(two.sums(x), start, end)
+
+
 def chosen(x: np.ndarray, k: int, w: int) -> np.ndarray:
     """For each window of ``w`` k-grams, where its leftmost gram of the least hash begins."""
     total, out, mask = len(x) - k - w + 2, [], np.uint64((1 << 22) - 1)
@@ -88,12 +113,12 @@ def chosen(x: np.ndarray, k: int, w: int) -> np.ndarray:
 _ANCHORS = "key long, idx int, phrases int, lo int, hi int, rank long, core long, b1 long, b2 long"
 
 
-def _anchors(key: int, raw: bytes, length: int, one: Powers, two: Powers) -> dict[str, np.ndarray] | None:
-    n = len(raw)
+def _anchors(key: int, raw: bytes, length: int, unit: str, one: Powers, two: Powers) -> dict[str, np.ndarray] | None:
+    x, y = symbols(raw, unit, one, two)
+    n = len(x)
     if n < length:
         return None
-    k, w, reach = shape(length)
-    x = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+    k, w, reach = shape(length, _GRAM[unit])
     sel = chosen(x, k, w)
     lo = np.flatnonzero(np.concatenate([[True], sel[1:] != sel[:-1]]))
     at = sel[lo]
@@ -101,7 +126,7 @@ def _anchors(key: int, raw: bytes, length: int, one: Powers, two: Powers) -> dic
     # The last anchor has no phrase; those past the last string's reach are not needed.
     m = min(len(at) - 1, int(np.searchsorted(at, at[hi >= lo][-1] + reach, "right")))
     at, nxt, lo, hi = at[:m], at[1 : m + 1], lo[:m], hi[:m]
-    s1, s2 = one.sums(x), two.sums(x)
+    s1, s2 = one.sums(x), two.sums(y)
     own = hi >= lo
     core, b1, b2 = (np.zeros(m, np.uint64) for _ in range(3))
     core[own] = one.of(s1, at[own], at[own] + length - w + 1)
@@ -111,11 +136,11 @@ def _anchors(key: int, raw: bytes, length: int, one: Powers, two: Powers) -> dic
     return {"key": np.full(m, key, np.int64)} | {c: v.astype(np.int32) if c in ("idx", "phrases", "lo", "hi") else v for c, v in cols.items()}
 
 
-def anchors(keyed: DataFrame, length: int) -> DataFrame:
+def anchors(keyed: DataFrame, length: int, unit: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = Powers(_M1), Powers(_M2)
         for b in batches:
-            parts = [p for key, text in zip(b["key"], b["text"]) if (p := _anchors(key, text.encode(), length, one, two))]
+            parts = [p for key, text in zip(b["key"], b["text"]) if (p := _anchors(key, text.encode(), length, unit, one, two))]
             if parts:
                 yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
 
@@ -142,8 +167,8 @@ def doubled(rows: DataFrame) -> DataFrame:
         step *= 2
 
 
-def _positions(keyed: DataFrame, ranges: DataFrame, length: int, parts: int) -> DataFrame:
-    """(key, at): the positions inside ``ranges`` whose string of ``length`` bytes occurs twice among them.
+def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, parts: int) -> DataFrame:
+    """(key, at): the positions inside ``ranges`` whose string of ``length`` symbols occurs twice among them.
 
     Ranges of blocks that are known to be repeated count twice and are not returned.
     """
@@ -156,8 +181,8 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, parts: int) ->
         def strings() -> Iterator[dict[str, np.ndarray]]:
             for b in batches:
                 for key, text, los, his, twice in zip(*(b[c] for c in ("key", "text", "lo", "hi", "twice"))):
-                    x = np.frombuffer(text.encode(), np.uint8).astype(np.uint64) + np.uint64(1)
-                    s1, s2 = one.sums(x), two.sums(x)
+                    x, y = symbols(text.encode(), unit, one, two)
+                    s1, s2 = one.sums(x), two.sums(y)
                     at = np.concatenate([np.arange(a, z + 1) for a, z in zip(los, his)])
                     flags = np.repeat(np.asarray(twice, np.uint8), np.asarray(his) - np.asarray(los) + 1)
                     yield {"h1": one.of(s1, at, at + length), "h2": two.of(s2, at, at + length).astype(np.uint32), "key": np.full(len(at), key, np.int64), "at": at.astype(np.int32), "twice": flags}
@@ -184,14 +209,17 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, parts: int) ->
 _OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def _cut(text: str, lo, hi, at, length: int, keep_text: bool) -> tuple:
+def _cut(text: str, lo, hi, at, length: int, unit: str, keep_text: bool) -> tuple:
     raw = text.encode()
     n = len(raw)
     edge = np.zeros(n + 1, np.int64)
+    first, last = word_bounds(raw) if unit == "words" else (None, None)
     for starts, ends in ((lo, hi), (at, at)):
         if starts is not None and len(starts):
-            np.add.at(edge, np.asarray(starts, np.int64), 1)
-            np.add.at(edge, np.asarray(ends, np.int64) + length, -1)
+            a, z = np.asarray(starts, np.int64), np.asarray(ends, np.int64) + length
+            a, z = (a, z) if unit == "bytes" else (first[a], last[z - 1])
+            np.add.at(edge, a, 1)
+            np.add.at(edge, z, -1)
     gone = np.cumsum(edge)[:n] > 0
     removed = int(gone.sum())
     spans = int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if n else 0))
@@ -199,13 +227,16 @@ def _cut(text: str, lo, hi, at, length: int, keep_text: bool) -> tuple:
     return n, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = True, carry: list[str] | None = None, unit: str = "bytes") -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
+    With ``unit="words"`` the strings are ``length`` words between ASCII white space; how much of it
+    stands between two words does not matter, and that between removed words goes with them.
+
     Returns a row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
     ``keep_text``, kept: the remaining text without characters that were cut in part; and the columns
     named in ``carry``, as they are. A null text is
-    empty; texts shorter than ``length`` stay whole. Repeated rows are documents of their own, so
+    empty; texts shorter than ``length`` stay whole. A text that goes in full is left as an empty one, and its row stays. Repeated rows are documents of their own, so
     long ones repeat each other and go; rows of one id and other texts are told apart. A task's
     memory grows with its longest text, by about 80 bytes for each of its bytes. Empty tables give empty results; other columns are ignored.
     """
@@ -214,16 +245,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carried = F.struct(*(F.col(c) for c in carry or [])) if carry else F.lit(None).cast("string")
     renamed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
     keyed = renamed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "carried")
-    long_enough = keyed.filter(F.octet_length("text") >= length).select("key", "text")
+    if unit not in ("bytes", "words"):
+        raise ValueError(f"unit is bytes or words, not {unit}")
+    long_enough = keyed.filter(F.octet_length("text") >= (length if unit == "bytes" else 2 * length - 1)).select("key", "text")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    found = doubled(saved(anchors(long_enough, length), "anchors"))
+    found = doubled(saved(anchors(long_enough, length, unit), "anchors"))
     blocks = ["core", "b1", "b2"]
     counted = saved(found.groupBy(*blocks).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("rep")), "blocks")
     shared = counted.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
     whole = found.join(counted.filter("n > 1").select(*blocks), blocks).select("key", "lo", "hi")
     ranges = counted.join(shared, "core").select("rep.key", "rep.lo", "rep.hi", (F.col("n") > 1).cast("byte").alias("twice"))
-    single = saved(_positions(long_enough, ranges, length, parts), "positions")
+    single = saved(_positions(long_enough, ranges, length, unit, parts), "positions")
 
     a = whole.groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     b = single.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"))
@@ -233,7 +266,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = [_cut(*r, length, keep_text) for r in zip(x["text"], x["lo"], x["hi"], x["at"])]
+            rows = [_cut(*r, length, unit, keep_text) for r in zip(x["text"], x["lo"], x["hi"], x["at"])]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
             out.insert(0, "doc_id", x["doc_id"].astype(object).where(x["doc_id"].notna(), None).to_numpy())
             yield out.assign(carried=x["carried"].to_numpy())

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -39,9 +40,49 @@ def test_suffix_dedup_equals_brute_force(spark, length):
         assert got[i] == want, (i, texts[i][:60])
 
 
+def removed_words(texts: list[str], length: int) -> list[tuple]:
+    """As ``removed``, by words: (bytes, bytes removed, runs, digest)."""
+    found = [list(re.finditer(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+    seen = Counter(tuple(m[0] for m in w[i : i + length]) for w in found for i in range(len(w) - length + 1))
+    out = []
+    for t, w in zip(texts, found):
+        gone = [False] * len(t)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(m[0] for m in w[i : i + length])] > 1:
+                gone[w[i].start() : w[i + length - 1].end()] = [True] * (w[i + length - 1].end() - w[i].start())
+        kept = "".join(c for c, g in zip(t, gone) if not g).encode()
+        spans = sum(g and not p for g, p in zip(gone, [False, *gone]))
+        out.append((len(t.encode()), len(t.encode()) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("length", [4, 9, 50])
+def test_suffix_dedup_of_words_equals_brute_force(spark, length):
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 4)))
+    passages = [" ".join(word() for _ in range(rng.randint(1, 2 * length))) for _ in range(14)]
+    texts = ["".join(rng.choice([*passages, word(), word(), word()]) + rng.choice([" ", "\n", " \t "]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    texts += ["a " * 300, "ab cd " * 60, " \n ", "", texts[3], "q " * (length - 1), "z " * length, "y " * (length + 1), "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup(df, "id", "body", length, keep_text=False, unit="words").collect()}
+    for i, want in enumerate(removed_words(texts, length)):
+        assert got[i] == want, (i, texts[i][:60])
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    """Texts over a million bytes cross the passes in which anchors are chosen."""
+    rng = random.Random(3)
+    filler = lambda n: bytes(rng.choices(b"abcdefghijklmnop ", k=n)).decode()
+    passage = filler(700)
+    texts = [filler((1 << 20) - 350) + passage + filler(4000), filler(90) + passage + filler(60), passage[:399], filler(1_200_000)]
+    got = {r.doc_id: r for r in suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in range(4)] == [700, 700, 0, 0]
+    assert got[0].kept == texts[0].replace(passage, "") and got[3].kept == texts[3]
+
+
 def test_shape_leaves_room_for_a_phrase():
-    for length in range(4, 600):
-        k, w, reach = shape(length)
+    for length, longest in [(n, k) for n in range(4, 600) for k in (4, 16)]:
+        k, w, reach = shape(length, longest)
         assert w + k - 1 <= length and reach >= w and k & (k - 1) == 0
 
 

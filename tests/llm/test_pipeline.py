@@ -79,6 +79,46 @@ def test_benchmark_passages_decide_by_row(spark):
     assert kept(P.benchmark_passages(spark, made(spark, rows), DATA)) == sorted([(None, good), (1, good), (2, other), (2, other), (None, None)], key=str)
 
 
+def test_repeated_spans_takes_short_passages_whole(spark):
+    """Passages of 51 words and under 400 bytes go from every document that holds them; documents without any stay as they are."""
+    import corpus_pipeline as P
+
+    passages = [" ".join(f"{n}{i:02d}ab" for i in range(51)) for n in ("p", "q")]
+    short = " ".join(f"s{i}" for i in range(49))  # fewer words than count
+    assert all(300 < len(x.encode()) < 400 for x in passages)
+    rows = [(i, f"{words(f'a{i}x', 40)}\n{passages[i % 2]}\n{words(f'z{i}x', 40)}") for i in range(20)]
+    clean = [(100 + i, f"{words(f'c{i}x')} {short} {words(f'd{i}x')}") for i in range(20)]
+    got = dict(kept(P.repeated_spans(spark, made(spark, rows + clean), DATA)))
+    assert got == {i: t.replace(passages[i % 2], "") for i, t in rows} | dict(clean)
+
+
+STRANGE = [
+    (None, None), (1, None), (2, ""), (3, " \n\t "), (4, words("k")), (4, words("k")), (4, words("m")), (None, words("n")), (5, "w" * 70_000), (6, words("v", 30_000)),
+]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "repeated_spans", "benchmark_passages", "packing"])
+def test_stage_on_strange_rows(spark, name):
+    """Null ids and texts, blanks, repeated and very long rows, clashing columns and empty tables."""
+    import corpus_pipeline as P
+
+    docs = made(spark, STRANGE).withColumns({c: P.F.lit("clash") for c in ("score", "_row", "kept", "component_id", "key", "token", "label")})
+    stage = dict(P.STAGES)[name]
+    got = kept(stage(spark, docs, DATA)) if name != "packing" else []
+    rows = sorted(STRANGE, key=str)
+    if name == "toxicity" or name == "benchmark_passages":
+        assert got == rows
+    elif name == "near_duplicates":
+        assert got == sorted(set(STRANGE), key=str)
+    elif name == "repeated_spans":  # the rows that repeat each other are emptied, null texts are empty
+        assert got == sorted([(i, "" if (i, t) == (4, words("k")) else t or "") for i, t in STRANGE], key=str)
+    else:
+        total = {(r[0], r[1]) for r in stage(spark, docs, DATA).groupBy("doc_id", "doc_tokens").count().select("doc_id", "doc_tokens").collect()}
+        assert {d for d, _ in total} == {d for d, _ in STRANGE} and (1, 1) in total and (2, 1) in total
+    empty = stage(spark, docs.limit(0), DATA)
+    assert empty.count() == 0 and (name == "packing" or empty.columns == P.COLUMNS)
+
+
 @pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_decontaminate", "op4_jaccard_join", "op5_chat_format", "op9_quality_rules", "op10_url_filter"])
 def test_query_equals_its_sql(spark, name):
     from millrace.llm.queries import oracle_sql, queries
