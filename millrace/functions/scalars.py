@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Seconds of the synodic month, and a new moon as seconds since the epoch (2000-01-06 18:14 UTC).
@@ -34,6 +34,17 @@ def mapped(c: Column, values: dict, default=None) -> Column:
     return whens.otherwise(F.lit(default))
 
 
+def coerced(c: Column, kind: str = "double") -> Column:
+    """Cast in which what doesn't parse becomes null."""
+    return F.trim(c).try_cast(kind)
+
+
+def hashed(key: Column | str, seed: int = 42) -> Column:
+    """A number from 0 to 2^32 - 1 from a key and a seed, by MD5, so that other engines can give it, too."""
+    c = F.col(key) if isinstance(key, str) else key
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(c.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
+
+
 def row_values(cols: list[str]) -> Column:
     return F.array_compact(F.array(*(F.col(c).cast("double") for c in cols)))
 
@@ -52,6 +63,27 @@ def row_var(cols: list[str]) -> Column:
     return F.when(F.size(v) > 1, F.aggregate(F.transform(v, lambda x: F.pow(x - m, F.lit(2.0))), F.lit(0.0), lambda a, x: a + x) / (F.size(v) - 1))
 
 
+def row_std(cols: list[str]) -> Column:
+    return F.sqrt(row_var(cols))
+
+
+def row_kurtosis(cols: list[str]) -> Column:
+    """Bias-corrected excess kurtosis across columns, without nulls; null under four values, 0 where all are equal."""
+    v, m = row_values(cols), row_mean(cols)
+    n = F.size(v).cast("double")
+    moment = lambda p: F.aggregate(F.transform(v, lambda x: F.pow(x - m, F.lit(p))), F.lit(0.0), lambda a, x: a + x) / n
+    excess = F.try_divide(moment(4.0), F.pow(moment(2.0), F.lit(2.0))) - 3
+    return F.when(n >= 4, F.coalesce((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * excess + 6), F.lit(0.0)))
+
+
+def row_missing(cols: list[str]) -> Column:
+    return F.size(F.filter(F.array(*(F.col(c).isNull() for c in cols)), lambda x: x))
+
+
+def row_nonzero(cols: list[str]) -> Column:
+    return F.size(F.filter(row_values(cols), lambda x: x != 0))
+
+
 def row_argmax(cols: list[str]) -> Column:
     """Position of the first largest column."""
     a = F.array(*(F.col(c).cast("double") for c in cols))
@@ -176,6 +208,27 @@ def url_parts(c: str) -> dict[str, Column]:
     }
 
 
+# JSON
+
+def json_names(cell: Column, field: str = "name") -> Column:
+    """A field of each dictionary of a list in a text cell; none where the cell doesn't parse."""
+    names = F.transform(F.from_json(cell, f"array<struct<`{field}`: string>>"), lambda x: x[field])
+    return F.coalesce(names, F.array().cast("array<string>"))
+
+
+def flattened(df: DataFrame, sep: str = ".") -> DataFrame:
+    """Nested records as columns of joined names, at any depth."""
+
+    def leaves(schema, path: tuple[str, ...]):
+        for f in schema.fields:
+            if f.dataType.typeName() == "struct":
+                yield from leaves(f.dataType, (*path, f.name))
+            else:
+                yield (*path, f.name)
+
+    return df.select(*(F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)) for path in leaves(df.schema, ())))
+
+
 # Arrays and vectors
 
 def differences(a: Column) -> Column:
@@ -193,6 +246,41 @@ def is_monotone(a: Column) -> Column:
     return F.forall(d, lambda x: x >= 0) | F.forall(d, lambda x: x <= 0)
 
 
+def last_elements(a: Column, n: int) -> Column:
+    """The last n elements, the last one first; 0 where there are fewer."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i <= F.size(a), F.get(a, F.size(a) - i)).otherwise(F.lit(0)))
+
+
+def repeated_differences(a: Column, order: int) -> Column:
+    for _ in range(order):
+        a = differences(a)
+    return a
+
+
+def is_constant(a: Column, least: int = 3) -> Column:
+    """Whether at least ``least`` elements are all equal."""
+    return (F.size(a) >= least) & F.forall(a, lambda x: x == F.get(a, F.lit(0)))
+
+
+def greatest_common_divisor(a: Column, rounds: int = 92) -> Column:
+    """Of the non-zero elements' sizes, 0 without any. Euclid's steps for two elements are bounded: 92 are enough for 64 bits."""
+
+    def step(s: Column, _: Column) -> Column:
+        return F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, F.lit(1)).otherwise(s["y"])).alias("y")))
+
+    def both(x: Column, y: Column) -> Column:
+        start = F.struct(x.alias("x"), y.alias("y"))
+        return F.when(x == 1, x).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["x"]))
+
+    return F.aggregate(F.transform(a, lambda x: F.abs(x).cast("long")), F.lit(0).cast("long"), lambda s, x: F.when(x == 0, s).otherwise(both(x, s)))
+
+
+def ratios(a: Column) -> Column:
+    """a[i+1] / a[i] where a[i] isn't 0."""
+    pairs = F.zip_with(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), a, lambda y, x: F.try_divide(y.cast("double"), x.cast("double")))
+    return F.filter(pairs, lambda r: r.isNotNull())
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

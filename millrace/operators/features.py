@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .models import with_incomplete
+from .order import numbered
 from .relational import COMPARE
 
 EPS = 1e-8
@@ -92,9 +93,8 @@ def submission(df: DataFrame, id_col: str, prediction: str, target: str) -> Data
 
 
 def match_by_position(a: DataFrame, b: DataFrame, order_a: list, order_b: list) -> DataFrame:
-    """Row i of one frame with row i of another, each by its own order. Positions are global, so the order is one sorted pass: for small frames."""
-    numbered = lambda df, o: df.withColumn("__i", F.row_number().over(Window.orderBy(*o)))
-    return numbered(a, order_a).join(numbered(b, order_b), "__i").drop("__i")
+    """Row i of one frame with row i of another, each by its own order; sorted in ranges, see ``numbered``."""
+    return numbered(a, order_a, "__i").join(numbered(b, order_b, "__i"), "__i").drop("__i")
 
 
 def principal_components(df: DataFrame, cols: list[str], k: int, keep: list[str], whiten: bool = False) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hashed
 from ..functions.stats import kurtosis, skew, smoothed_mean
+from .order import numbered
 
 STATISTICS = {"median": F.median, "mean": F.avg, "mode": lambda c: F.mode(c, True)}
 
@@ -31,10 +33,18 @@ def impute_by_group(df: DataFrame, c: str, keys: list[str]) -> DataFrame:
     return df.join(groups, keys, "left").withColumn(c, F.coalesce(F.col(c), F.col("__g"), F.lit(overall))).drop("__g")
 
 
+#: Distinct values up to which one task numbers them.
+FEW_VALUES = 100_000
+
+
 def _codes(df: DataFrame, c: str, order: Column) -> DataFrame:
-    """(value, code) of distinct values; numbered by a global sort of the few distinct values."""
+    """(value, code) of distinct values, in one task where they are few; beyond that by a sort in ranges."""
     values = df.filter(F.col(c).isNotNull()).groupBy(c).agg(order.alias("__o"))
-    return values.withColumn("__code", (F.row_number().over(Window.orderBy("__o", c)) - 1).cast("long")).select(F.col(c).alias("__v"), "__code")
+    if values.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        coded = values.withColumn("__code", F.row_number().over(Window.orderBy("__o", c)))
+    else:
+        coded = numbered(values, ["__o", c], "__code")
+    return coded.select(F.col(c).alias("__v"), (F.col("__code") - 1).cast("long").alias("__code"))
 
 
 def encode_labels(df: DataFrame, c: str, first_seen: str | None = None, new: str | None = None, like: DataFrame | None = None) -> DataFrame:
@@ -78,6 +88,46 @@ def target_mean_out_of_fold(df: DataFrame, c: str, target: str, fold: str, weigh
     return out.withColumn(f"{c}_target", value).drop("__fs", "__fn", "__s", "__n")
 
 
+def target_statistics_out_of_fold(df: DataFrame, c: str, target: str, fold: str, folds: int, functions: list[str]) -> DataFrame:
+    """Median, least or greatest target of a value's rows in the other folds, as c_target_FUNCTION; null where there are none.
+
+    Such statistics can't be subtracted, so each row counts once for every other fold.
+    """
+    kinds = {"median": F.median, "min": F.min, "max": F.max, "mean": F.avg}
+    others = df.select(c, target, F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col(fold))).alias("__for"))
+    stats = others.groupBy(c, "__for").agg(*(kinds[f](target).alias(f"{c}_target_{f}") for f in functions))
+    return df.join(stats.withColumnRenamed("__for", fold).withColumn(fold, F.col(fold).cast(df.schema[fold].dataType)), [c, fold], "left")
+
+
+def fit_one_hot(df: DataFrame, c: str, most: int) -> list:
+    """The categories that get a column: the most frequent ones."""
+    return top_values(df, c, most)
+
+
+def one_hot_top(df: DataFrame, c: str, values: list, other: str = "Other") -> DataFrame:
+    """A 0/1 column for each fitted category, and one for all other values."""
+    flags = {f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in sorted(values)}
+    rest = F.col(c).isNotNull() & ~F.col(c).isin(*values) if values else F.col(c).isNotNull()
+    return df.withColumns(flags | {f"{c}_{other}": rest.cast("int")})
+
+
+def impute_by_model(df: DataFrame, c: str, features: list[str]) -> DataFrame:
+    """Fill nulls by a linear regression on other columns, fitted on the rows that have both; rows without a feature keep their null."""
+    from .models import predict, train
+
+    model = train(df, features, c, "linear", solver="normal")
+    keys = df.withColumn("__known", F.col(c))
+    filled = predict(model, keys, keys.columns)
+    return filled.withColumn(c, F.coalesce("__known", "prediction")).select(*df.columns)
+
+
+def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(a, b, corr) of all pairs of columns, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    found = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs))
+    return df.agg(found.alias("p")).select(F.inline("p"))
+
+
 def scale(df: DataFrame, cols: list[str], how: str = "standard", sample_std: bool = False) -> DataFrame:
     """standard, minmax or robust scaling; a constant column becomes 0."""
     stats = {
@@ -136,12 +186,12 @@ def top_variance(df: DataFrame, cols: list[str], n: int) -> list[str]:
 
 def folded(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
     """A stable fold from the hash of a key: the same row, and all rows of a group key, always fall alike."""
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(k)).cast("int"))
+    return df.withColumn(name, F.pmod(hashed(key), F.lit(k)).cast("int"))
 
 
 def random_split(df: DataFrame, key: str, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(rest, sample): membership is a hash of key and seed, so both are the same in every run."""
-    mark = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)
+    mark = hashed(key, seed) < int(share * (1 << 32))
     return df.filter(~mark), df.filter(mark)
 
 
@@ -151,5 +201,5 @@ def time_split(df: DataFrame, when: str, at) -> tuple[DataFrame, DataFrame]:
 
 def undersample(df: DataFrame, label: str, keep_label, share: float, key: str, seed: int = 42) -> DataFrame:
     """All rows of one label, and a stable share of the others."""
-    mark = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)
+    mark = hashed(key, seed) < int(share * (1 << 32))
     return df.filter((F.col(label) == F.lit(keep_label)) | mark)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table is broadcast.
 BROADCAST_ROWS = 500_000
+#: Labels up to which every text is searched for every label.
+FEW_LABELS = 256
 
 COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
@@ -74,11 +76,47 @@ def not_in(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(other, on, "left_anti")
 
 
-def mentions(texts: DataFrame, text: str, labels: DataFrame, label: str, label_rows: int) -> DataFrame:
-    """(texts' columns, label) where a text contains a label; the labels are few, and are broadcast by a checked count."""
-    if label_rows > BROADCAST_ROWS:
-        raise ValueError(f"{label_rows} labels are too many for a containment join; tokenise and join on words")
-    return texts.join(F.broadcast(labels), F.col(text).contains(F.col(label)), "inner")
+def mentions(texts: DataFrame, text: str, labels: DataFrame, label: str, few: int = FEW_LABELS) -> DataFrame:
+    """(texts' columns, label) where a text contains a label, at most once for each row and label.
+
+    Up to ``few`` labels are tried on every text. More of them meet the texts in an equi-join on
+    their first characters, as many as the shortest one has, and what meets is verified. Null and
+    empty labels are in no text.
+    """
+    known = labels.filter(F.length(label) > 0).select(label).distinct()
+    n, shortest = known.agg(F.count("*"), F.min(F.length(label))).first()
+    if n <= few:
+        return texts.join(F.broadcast(known), F.col(text).contains(F.col(label)), "inner")
+    piece = F.greatest(F.lit(192), F.lit(2 * shortest))
+    keyed = texts.withColumn("__key", F.xxhash64(text))
+    # Texts are cut into overlapping pieces before they are opened, so that no row carries a whole text.
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - shortest) / piece)), lambda i: F.substring(F.col(text), i.cast("int") * piece + 1, piece + shortest - 1))
+    opened = keyed.filter(F.length(text) >= shortest).select("__key", F.explode(pieces).alias("__piece"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("__piece") - shortest + 1), lambda i: F.substring(F.col("__piece"), i, F.lit(shortest)))
+    headed = known.withColumn("__gram", F.substring(label, 1, shortest))
+    met = opened.select("__key", F.explode(grams).alias("__gram")).join(_sized(headed, n), "__gram").select("__key", label).distinct()
+    return keyed.join(met, "__key").filter(F.col(text).contains(F.col(label))).drop("__key")
+
+
+def with_prefix(df: DataFrame, *prefixes: str) -> list[str]:
+    """The columns whose names begin with any of the prefixes, in the table's order."""
+    return [c for c in df.columns if c.startswith(prefixes)]
+
+
+def split_by_marker(df: DataFrame, marker: str, value) -> tuple[DataFrame, DataFrame]:
+    """Rows of one marker and the others, a null marker among them; the marker goes."""
+    own = F.col(marker).eqNullSafe(F.lit(value))
+    return df.filter(own).drop(marker), df.filter(~own).drop(marker)
+
+
+def complete(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows without a null in the given columns."""
+    return df.dropna(subset=cols)
+
+
+def last_per_group(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The last n rows of each group."""
+    return top_per_group(df, keys, [F.desc(c) for c in order], n)
 
 
 def union_common(*frames: DataFrame) -> DataFrame:

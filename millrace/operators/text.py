@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import words
+
 
 def tokens(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     """(ids, i, tok, prev, next, place) of white-space tokens; neighbours come from the row's own array, without a shuffle."""
@@ -23,11 +25,42 @@ def tfidf(df: DataFrame, key: str, text: str, min_df: int = 1, max_df: float = 1
 
     Terms are lower-case words of two letters or digits or more, and runs of up to ``longest``.
     """
-    words = df.select(key, F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})"), F.lit(1)).alias("w"))
+    found = df.select(key, F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})"), F.lit(1)).alias("w"))
     terms = F.flatten(F.array(*(ngrams(F.col("w"), n) for n in range(1, longest + 1)))) if longest > 1 else F.col("w")
-    tf = words.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = found.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = tf.select(key).distinct().count()
     kept = tf.groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     weight = (1 + F.log("tf") if sublinear else F.col("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
     out = tf.join(kept, "term").select(key, "term", weight.alias("v"))
     return out.select(key, "term", (F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))).alias("weight"))
+
+
+def word_importance(df: DataFrame, text: str, chosen: str, label: str, least: int = 3) -> DataFrame:
+    """(label, word, importance): how often a word stands in the chosen span, over how often it stands in the text. Lower case; rarer words are left out."""
+    count = lambda c, n: df.select(label, F.explode(words(F.lower(F.coalesce(F.col(c), F.lit(""))))).alias("word")).groupBy(label, "word").agg(F.count("*").alias(n))
+    met = count(text, "n").filter(F.col("n") >= least).join(count(chosen, "k"), [label, "word"], "left")
+    return met.select(label, "word", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("importance"))
+
+
+def best_span(df: DataFrame, ids: list[str], text: str, label: str, importance: DataFrame, neutral: str, short: int, unknown: float = 0.5, longest: int = 64) -> DataFrame:
+    """(ids, span): the run of words with the best mean importance, less a little for its length; the first of equal ones.
+
+    Texts of the neutral label, of at most ``short`` words, or of a label without importances stay
+    whole. A text's runs number the square of its words, so those over ``longest`` words raise an error.
+    """
+    rows = df.select(*ids, F.col(label).alias("__label"), F.trim(F.coalesce(F.col(text), F.lit(""))).alias("__text")).withColumn("__words", words(F.col("__text")))
+    rows = rows.withColumn("__words", F.when(F.size("__words") <= longest, F.col("__words")).otherwise(F.raise_error(F.lit(f"a text has over {longest} words"))))
+    known = importance.select(F.col(label).alias("__label")).distinct().withColumn("__known", F.lit(True))
+    open_rows = rows.select(*ids, "__label", F.posexplode("__words").alias("i", "w"))
+    table = importance.select(F.col(label).alias("__l"), F.col("word").alias("__w"), "importance")
+    met = open_rows.join(table, (F.col("__label") == F.col("__l")) & (F.lower("w") == F.col("__w")), "left")
+    weights = met.groupBy(*ids).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("importance", F.lit(unknown)).alias("v")))), lambda s: s["v"]).alias("__v"))
+    out = rows.join(F.broadcast(known), "__label", "left").join(weights, ids, "left")
+    n = F.size("__words")
+    total = lambda a, z: F.aggregate(F.slice("__v", a + 1, z - a), F.lit(0.0), lambda s, x: s + x)
+    value = lambda a, z: total(a, z) / (z - a) * (F.lit(0.7) + F.lit(0.3) * (1 - F.lit(0.1) * ((z - a) / n)))
+    ends = lambda a: F.transform(F.sequence(a + 1, n), lambda z: F.struct(F.round(value(a, z), 12).alias("s"), (-a).alias("a"), (-z).alias("z")))
+    best = F.array_max(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), ends)))
+    whole = (F.col("__label") == F.lit(neutral)) | (n <= short) | F.col("__known").isNull() | F.col("__label").isNull()
+    run = F.array_join(F.slice("__words", 1 - F.col("__best.a"), F.col("__best.a") - F.col("__best.z")), " ")
+    return out.withColumn("__best", F.when(~whole, best)).select(*ids, F.when(whole, F.col("__text")).otherwise(run).alias("span"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,38 +40,72 @@ def expanding(df: DataFrame, value: str, keys: list[str], order: list[str], func
     return df.withColumns({f"{value}_exp_{f}": FUNCTIONS[f](value).over(frame) for f in functions})
 
 
+def _recurrence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """y[i] = a[i] * y[i-1] + b[i], all at once: steps are composed over distances 1, 2, 4, ..."""
+    a, b, step = a.copy(), b.copy(), 1
+    while step < len(a):
+        b[step:] += a[step:] * b[:-step]
+        a[step:] *= a[:-step].copy()
+        step *= 2
+    return b
+
+
 def ewm(df: DataFrame, value: str, keys: list[str], order: list[str], span: float, shift: int = 1) -> DataFrame:
-    """Exponentially weighted mean of earlier values (not adjusted); weights decay over gaps, too.
+    """Exponentially weighted mean of the values up to ``shift`` rows back (not adjusted); weights decay over gaps, too.
 
-    A recurrence, so each series is passed over once, in order, as a stream: memory doesn't grow with it.
+    Series are passed over once, in order, a batch at a time, each batch as one linear recurrence in
+    numpy; memory doesn't grow with a series. Null and NaN are gaps, which leave the mean as it was.
     """
     alpha, name = 2.0 / (span + 1), f"{value}_ewm"
     ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {name} double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, mean, weight, late = object(), None, 1.0, []
-        for b in batches:
-            out = []
-            for row in zip(*(b[c] for c in keys), b[value]):
-                k, v = row[:-1], row[-1]
-                if k != key:
-                    key, mean, weight, late = k, None, 1.0, []
-                if shift == 0:
-                    late = [v]
-                if len(late) >= max(1, shift):
-                    x = late.pop(0)
-                    if mean is None:
-                        mean = None if pd.isna(x) else float(x)
-                    elif pd.isna(x):
-                        weight *= 1 - alpha
-                    else:
-                        weight *= 1 - alpha
-                        mean, weight = (weight * mean + alpha * float(x)) / (weight + alpha), 1.0
-                if shift:
-                    late.append(v)
-                out.append(mean)
-            yield b.assign(**{name: pd.Series(out, index=b.index, dtype="float64")})
+        last_key, mean, since = None, np.nan, 0  # of the series that the batch before ended in
+        tail, tail_series = np.full(shift, np.nan), np.full(shift, -1)
+        series = 0
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for i, k in enumerate(keys):
+                c = batch[k].to_numpy(object)
+                before = np.concatenate([[last_key[i] if last_key else None], c[:-1]])
+                new |= (c != before) & ~(pd.isna(c) & pd.isna(before))
+            new[0] |= last_key is None
+            number = series + np.cumsum(new)
+            x = batch[value].to_numpy(float, na_value=np.nan)
+            seen = np.flatnonzero(~np.isnan(x))
+            filled = np.full(n, np.nan)
+            begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))  # -1: in the series carried over
+            if len(seen):
+                prior = np.concatenate([[-1], seen[:-1]])
+                first = prior < begin[seen]
+                carried = (begin[seen] < 0) & (prior < 0)
+                gap = np.where(carried, since + seen + 1, seen - prior)
+                w = (1 - alpha) ** np.maximum(gap, 1)
+                a, b = w / (w + alpha), alpha * x[seen] / (w + alpha)
+                start = first | (carried & np.isnan(mean))
+                a[start], b[start] = 0.0, x[seen][start]
+                if carried[0] and not start[0]:
+                    b[0] += a[0] * mean
+                y = _recurrence(a, b)
+                at = np.searchsorted(seen, np.arange(n), "right") - 1
+                held = (at >= 0) & (seen[np.maximum(at, 0)] >= np.maximum(begin, 0))
+                filled[held] = y[at[held]]
+            else:
+                held = np.zeros(n, bool)
+            filled[~held & (begin < 0)] = mean
+            values, owners = np.concatenate([tail, filled]), np.concatenate([tail_series, number])
+            out = np.where(owners[:n] == number, values[:n], np.nan)
+            yield batch.assign(**{name: pd.Series(out, index=batch.index).astype(object).where(~np.isnan(out), None)})
+            if len(seen) and seen[-1] >= max(begin[-1], 0):
+                since = n - 1 - seen[-1]
+            else:
+                since = since + n if begin[-1] < 0 else n - 1 - begin[-1]
+            mean, series, last_key = filled[-1], number[-1], tuple(batch[k].iloc[-1] for k in keys)
+            tail, tail_series = values[len(values) - shift :], owners[len(owners) - shift :]
 
     return ordered.mapInPandas(run, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -12,6 +12,7 @@ from .functions import stats as A
 from .operators import entities as N
 from .operators import features as X
 from .operators import models as M
+from .operators import order as O
 from .operators import prepare as P
 from .operators import relational as R
 from .operators import text as T
@@ -208,10 +209,13 @@ def encode_first_seen(t):
     return P.encode_labels(t("part"), "p_brand", first_seen="p_partkey", new="code").select("p_partkey", "code")
 
 
-@query("""WITH k AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 50 = 1))
-          SELECT p_partkey, coalesce(code, -1) AS code FROM part LEFT JOIN k USING (p_brand)""")
+@query("""WITH k AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS code FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'))
+          SELECT l_orderkey, l_linenumber, coalesce(code, -1) AS code FROM lineitem LEFT JOIN k ON CAST(l_shipdate AS DATE) = d""")
 def encode_unseen(t):
-    return P.encode_labels(t("part"), "p_brand", new="code", like=t("part").filter("p_partkey % 50 = 1")).select("p_partkey", "code")
+    """Codes of the days before a cut; later days are unseen."""
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", day("l_shipdate").alias("d"))
+    past, _ = P.time_split(lines, "l_shipdate", "1998-01-01")
+    return P.encode_labels(lines, "d", new="code", like=past).select("l_orderkey", "l_linenumber", "code")
 
 
 @query("""SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS o_orderstatus_F, CAST(o_orderstatus = 'O' AS INT) AS o_orderstatus_O, CAST(o_orderstatus = 'P' AS INT) AS o_orderstatus_P FROM orders""")
@@ -298,35 +302,37 @@ def expanding_features(t):
     return df.select("l_suppkey", F.col("d").cast("string").alias("d"), r("v_exp_mean").alias("m"), up("v_exp_var").alias("s"), "so_far")
 
 
-@query(f"""WITH RECURSIVE {DAILY}, n AS (SELECT l_suppkey, d, v, row_number() OVER (PARTITION BY l_suppkey ORDER BY d) AS i FROM daily WHERE l_suppkey <= 20),
-           e AS (SELECT l_suppkey, i, CAST(NULL AS DOUBLE) AS y, v FROM n WHERE i = 1
-                 UNION ALL SELECT n.l_suppkey, n.i, CASE WHEN e.y IS NULL THEN e.v ELSE e.y * (1 - 2.0 / 8) + e.v * 2.0 / 8 END, n.v FROM e JOIN n ON n.l_suppkey = e.l_suppkey AND n.i = e.i + 1)
-           SELECT l_suppkey, CAST(d AS VARCHAR) AS d, round(y, 4) AS ewm FROM e JOIN n USING (l_suppkey, i)""")
+_EWM = f"""WITH {DAILY}, l AS (SELECT l_suppkey, d, list(v) OVER (PARTITION BY l_suppkey ORDER BY d ROWS BETWEEN 200 PRECEDING AND {{0}}) AS v FROM daily)
+            SELECT l_suppkey, CAST(d AS VARCHAR) AS d, round(list_reduce(v, lambda y, x: y * 0.75 + x * 0.25) + 1e-7, 4) AS ewm FROM l"""
+
+
+@query(_EWM.format("1 PRECEDING"))
 def ewm_features(t):
-    """The twenty suppliers of the SQL twin; ``ewm_all_suppliers`` has all."""
-    return W.ewm(_daily(t).filter("l_suppkey <= 20"), "v", ["l_suppkey"], ["d"], 7).select("l_suppkey", F.col("d").cast("string").alias("d"), r("v_ewm").alias("ewm"))
+    return W.ewm(_daily(t), "v", ["l_suppkey"], ["d"], 7).select("l_suppkey", F.col("d").cast("string").alias("d"), up("v_ewm").alias("ewm"))
 
 
-@query()
+@query(_EWM.format("CURRENT ROW"))
 def ewm_all_suppliers(t):
-    """As ``ewm_features``, over every supplier."""
-    return W.ewm(_daily(t), "v", ["l_suppkey"], ["d"], 7).select("l_suppkey", F.col("d").cast("string").alias("d"), r("v_ewm").alias("ewm"))
+    """As ``ewm_features``, but each day counts for itself."""
+    return W.ewm(_daily(t), "v", ["l_suppkey"], ["d"], 7, shift=0).select("l_suppkey", F.col("d").cast("string").alias("d"), up("v_ewm").alias("ewm"))
 
 
-@query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderkey % 11 = 0 GROUP BY 1),
-          s AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM a), j AS (SELECT s.d, v, row_number() OVER (ORDER BY s.d) AS i FROM s LEFT JOIN a USING (d)),
-          w AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS p, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, first_value(v IGNORE NULLS) OVER f AS n, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ni
-                FROM j WINDOW b AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-          SELECT CAST(d AS VARCHAR) AS d, round(coalesce(v, p + (n - p) * (i - pi) / nullif(ni - pi, 0)) + 1e-7, 2) AS v FROM w""")
+@query("""WITH a AS (SELECT o_orderpriority AS p, o_orderstatus AS s, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
+          e AS (SELECT p, s, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM a GROUP BY 1, 2), j AS (SELECT e.*, v, row_number() OVER (PARTITION BY e.p, e.s ORDER BY e.d) AS i FROM e LEFT JOIN a USING (p, s, d)),
+          w AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, first_value(v IGNORE NULLS) OVER f AS nv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ni
+                FROM j WINDOW b AS (PARTITION BY p, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY p, s ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+          SELECT p AS o_orderpriority, s AS o_orderstatus, CAST(d AS VARCHAR) AS d, round(coalesce(v, pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0)) + 1e-7, 2) AS v FROM w""")
 def interpolate_spine(t):
-    a = t("orders").filter("o_orderpriority LIKE '1%' AND o_orderkey % 11 = 0").groupBy(F.lit(1).alias("g"), day("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("v"))
-    df = W.interpolate(W.spine(a, ["g"], "d").join(a, ["g", "d"], "left"), "v", ["g"], ["d"])
-    return df.select(F.col("d").cast("string").alias("d"), up("v_filled", 2).alias("v"))
+    """Mean order value of each priority and status, on every day from its first to its last."""
+    keys = ["o_orderpriority", "o_orderstatus"]
+    a = t("orders").groupBy(*keys, day("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("v"))
+    df = W.interpolate(W.spine(a, keys, "d").join(a, [*keys, "d"], "left"), "v", keys, ["d"])
+    return df.select(*keys, F.col("d").cast("string").alias("d"), up("v_filled", 2).alias("v"))
 
 
 @query()
 def interpolate_customers(t):
-    """Mean order value of every customer, on each day from the first order to the last; ``interpolate_spine`` has its SQL twin's few orders."""
+    """Mean order value of every customer, on each day from the first order to the last."""
     a = t("orders").groupBy("o_custkey", day("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("v"))
     df = W.interpolate(W.spine(a, ["o_custkey"], "d").join(a, ["o_custkey", "d"], "left"), "v", ["o_custkey"], ["d"])
     return df.select("o_custkey", F.col("d").cast("string").alias("d"), up("v_filled", 2).alias("v"))
@@ -340,10 +346,10 @@ def price_features(t):
 
 
 @query("""WITH m AS (SELECT l_suppkey, month(l_shipdate) AS mo, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
-          SELECT l_suppkey, sum(q) FILTER (mo = 1) AS "1", sum(q) FILTER (mo = 2) AS "2", sum(q) FILTER (mo = 3) AS "3" FROM m GROUP BY 1""")
+          SELECT l_suppkey, """ + ", ".join(f'sum(q) FILTER (mo = {i}) AS "{i}"' for i in range(1, 13)) + " FROM m GROUP BY 1")
 def pivot_months(t):
     m = t("lineitem").groupBy("l_suppkey", F.month("l_shipdate").alias("mo")).agg(F.sum("l_quantity").alias("q"))
-    return R.pivot(m, ["l_suppkey"], "mo", [1, 2, 3], F.sum("q"))
+    return R.pivot(m, ["l_suppkey"], "mo", list(range(1, 13)), F.sum("q"))
 
 
 @query("""SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part""")
@@ -426,13 +432,13 @@ def tfidf_weights(t):
     return df.select("conv_id", "term", r("weight", 6).alias("weight"))
 
 
-@query(r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\S+')) AS tok, unnest(range(len(regexp_extract_all(text, '\S+')))) AS i FROM conversations WHERE role = 'user')
-           SELECT conv_id, turn, i, lag(tok) OVER o AS prev, lead(tok) OVER o AS next, CAST(regexp_matches(tok, '^[0-9]+$') AS INT) AS is_digit, CAST(regexp_matches(tok, '^\p{L}+$') AS INT) AS is_alpha, length(tok) AS n_chars, right(tok, 3) AS suffix, round(i / (max(i) OVER (PARTITION BY conv_id, turn) + 1), 6) AS place
+@query(r"""WITH w AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '\S+')) AS tok, unnest(range(len(regexp_extract_all(text, '\S+')))) AS i FROM conversations)
+           SELECT conv_id, turn, role, i, lag(tok) OVER o AS prev, lead(tok) OVER o AS next, CAST(regexp_matches(tok, '^[0-9]+$') AS INT) AS is_digit, CAST(regexp_matches(tok, '^\p{L}+$') AS INT) AS is_alpha, length(tok) AS n_chars, right(tok, 3) AS suffix, round(i / (max(i) OVER (PARTITION BY conv_id, turn) + 1), 6) AS place
            FROM w WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)""")
 def token_features(t):
-    df = T.tokens(t("conversations").filter("role = 'user'"), ["conv_id", "turn"], "text")
+    df = T.tokens(t("conversations"), ["conv_id", "turn", "role"], "text")
     f = S.token_flags("tok")
-    return df.select("conv_id", "turn", F.col("i").cast("long").alias("i"), "prev", "next", *(f[n].alias(n) for n in ("is_digit", "is_alpha", "n_chars", "suffix")), r("place", 6).alias("place"))
+    return df.select("conv_id", "turn", "role", F.col("i").cast("long").alias("i"), "prev", "next", *(f[n].alias(n) for n in ("is_digit", "is_alpha", "n_chars", "suffix")), r("place", 6).alias("place"))
 
 
 @query(r"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
@@ -446,10 +452,10 @@ def html_text(t):
     return t("pages").select("page_id", F.md5(S.without_tags(F.col("html"))).alias("digest"))
 
 
-@query("SELECT doc_id, n_name FROM documents JOIN (SELECT lower(substr(n_name, 1, 4)) AS n_name FROM nation) ON contains(text, n_name)")
+@query("SELECT doc_id, n_name FROM documents JOIN (SELECT DISTINCT lower(substr(n_name, 1, 4)) AS n_name FROM nation) ON contains(text, n_name)")
 def label_mentions(t):
     labels = t("nation").select(F.lower(F.substring("n_name", 1, 4)).alias("n_name"))
-    return R.mentions(t("documents").select("doc_id", "text"), "text", labels, "n_name", labels.count()).select("doc_id", "n_name")
+    return R.mentions(t("documents").select("doc_id", "text"), "text", labels, "n_name").select("doc_id", "n_name")
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
@@ -458,14 +464,14 @@ def json_props(t):
     return t("events").groupBy("event_type", (k % 10).alias("k")).agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"))
 
 
-@query("SELECT lang, translate(substr(text, 1, 40), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'defghijklmnopqrstuvwxyzabcDEFGHIJKLMNOPQRSTUVWXYZABC') AS code, count(*) AS n FROM documents GROUP BY ALL")
+@query("SELECT lang, md5(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'defghijklmnopqrstuvwxyzabcDEFGHIJKLMNOPQRSTUVWXYZABC')) AS code, count(*) AS n FROM documents GROUP BY ALL")
 def shifted_text(t):
-    return t("documents").groupBy("lang", S.shifted(F.substring("text", 1, 40), 3).alias("code")).agg(F.count("*").alias("n"))
+    return t("documents").groupBy("lang", F.md5(S.shifted(F.col("text"), 3)).alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, md5(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'defghijklmnopqrstuvwxyzabcDEFGHIJKLMNOPQRSTUVWXYZABC')) AS digest FROM documents")
 def shifted_documents(t):
-    """Whole texts, a row for each document; ``shifted_text`` groups them by their first 40 characters."""
+    """Whole texts, a row for each document."""
     return t("documents").select("doc_id", F.md5(S.shifted(F.col("text"), 3)).alias("digest"))
 
 
@@ -489,8 +495,8 @@ def class_prototypes(t):
 @query("""WITH a AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS p FROM supplier), b AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_name, s_suppkey) AS p FROM supplier)
           SELECT id, round(1.0 / (60 + a.p) + 1.0 / (60 + b.p), 8) AS score FROM a JOIN b USING (id)""")
 def rank_fusion(t):
-    a = t("supplier").select(F.col("s_suppkey").alias("id"), F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("place"))
-    b = t("supplier").select(F.col("s_suppkey").alias("id"), F.row_number().over(Window.orderBy("s_name", "s_suppkey")).alias("place"))
+    rows = t("supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal", "s_name")
+    a, b = O.numbered(rows, [F.desc("s_acctbal"), "id"], "place"), O.numbered(rows, ["s_name", "id"], "place")
     return V.rank_fusion("id", a, b).select("id", r("score", 8).alias("score"))
 
 
@@ -502,12 +508,15 @@ def temporal_split(t):
     return R.merge(train.groupBy("event_type").agg(F.count("*").alias("n_train")), test.groupBy("event_type").agg(F.count("*").alias("n_test")), ["event_type"], "outer").fillna(0)
 
 
-@query()
+HASH = "('0x' || substr(md5('42:' || {0}), 1, 8))::BIGINT"
+
+
+@query(f"SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P' OR {HASH.format('o_orderkey')} < {int(0.1 * (1 << 32))}")
 def undersampled(t):
     return P.undersample(t("orders"), "o_orderstatus", "P", 0.1, "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
-@query()
+@query(f"SELECT o_orderkey, o_custkey, CAST({HASH.format('o_custkey')} % 5 AS INT) AS fold FROM orders")
 def folds(t):
     return P.folded(t("orders").select("o_orderkey", "o_custkey"), "o_custkey", 5)
 

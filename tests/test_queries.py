@@ -11,6 +11,8 @@ import os
 import duckdb
 import pytest
 
+import millrace.queries_models  # noqa: F401
+import millrace.queries_tables  # noqa: F401
 from millrace.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -60,7 +62,7 @@ def test_ewm_covers_all_suppliers(spark, tmp_path):
             if k == s:
                 want[s, str(d.date())] = None if y is None else round(y, 4)
                 y = v if y is None else y * 0.75 + v * 0.25
-    got = {(r.l_suppkey, r.d): r.ewm for r in QUERIES["ewm_all_suppliers"](spark, str(tmp_path)).collect()}
+    got = {(r.l_suppkey, r.d): r.ewm for r in QUERIES["ewm_features"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(got[k] == (v if v is None else pytest.approx(v, abs=1e-4)) for k, v in want.items())
 
 
