@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hashed
 from .chat_format import chat_digest, chat_examples
 from .common import read
 from .decontaminate import decontaminate
@@ -19,23 +20,6 @@ from .url_filter import url_filter
 #: The conversation that the contract adds: it holds the template's own control strings.
 PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
-#: A dated list: (entry, action, date).
-URL_LIST = [
-    ("casino-win.example.net", "add", "2023-11-05"),
-    ("spam-farm.example.org", "add", "2024-02-10"),
-    ("spam-farm.example.org", "remove", "2024-06-01"),
-    ("spam-farm.example.org", "add", "2024-09-15"),
-    ("tionsh.example.net/de", "add", "2024-03-01"),
-    ("tionsh.example.net/de", "remove", "2024-10-20"),
-    ("tionsh.example.net/es", "add", "2024-08-08"),
-    ("tionble.example.com", "add", "2024-01-20"),
-    ("tionble.example.com", "remove", "2024-02-20"),
-    ("tionble.example.com", "add", "2024-05-05"),
-    ("m.ththin.example.org", "add", "2024-04-04"),
-    ("ththth.example.org/fr", "add", "2024-07-14"),
-]
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
@@ -82,11 +66,26 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
+def url_list(pages: DataFrame) -> DataFrame:
+    """A dated list (entry, action, at) for want of a real one: a quarter of all hosts and path prefixes, by hash, added,
+    most of them removed again later and half of those added once more."""
+    steps = F.filter(F.split(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
+    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]*)", 1))
+    paths = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.concat_ws("/", host, F.array_join(F.when(i > 0, F.slice(steps, 1, F.greatest(i, F.lit(1)))), "/")))
+    entries = pages.select(F.explode(paths).alias("entry")).distinct().filter((hashed("entry", 1) % 4 == 0) & (F.col("entry") != ""))
+    added = F.date_add(F.lit("2023-07-01").cast("date"), (hashed("entry", 2) % 400).cast("int"))
+    removed = F.date_add(added, (hashed("entry", 3) % 200 + 30).cast("int"))
+    again = F.date_add(removed, (hashed("entry", 4) % 100 + 15).cast("int"))
+    change = lambda action, at: F.struct(F.lit(action).alias("action"), at.alias("at"))
+    third = F.when(hashed("entry", 4) % 2 == 0, change("add", again))
+    changes = F.when(hashed("entry", 3) % 5 == 0, F.array(change("add", added))).otherwise(F.array_compact(F.array(change("add", added), change("remove", removed), third)))
+    return entries.select("entry", F.inline(changes))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry no fetch time, so page n counts as fetched on day n mod 366 of 2024."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
-    entries = spark.createDataFrame(URL_LIST, "entry string, action string, at string").withColumn("at", F.col("at").cast("date"))
-    return url_filter(pages, entries)
+    return url_filter(pages, url_list(pages))
 
 
 def queries() -> dict:
@@ -178,12 +177,18 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM v
 """
 
+_HASH = "('0x' || substr(md5('{0}:' || entry), 1, 8))::BIGINT"
 OP10 = f"""
-WITH changes AS (SELECT entry, action, CAST(listed AS DATE) AS since FROM (VALUES {', '.join(f"('{e}', '{a}', '{d}')" for e, a, d in URL_LIST)}) AS t(entry, action, listed)),
+WITH u AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS h, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM pages),
+e AS (SELECT DISTINCT entry FROM (SELECT array_to_string(list_concat([h], s[1:i]), '/') AS entry FROM u, range(0, len(s) + 1) AS r(i)) WHERE entry <> '' AND {_HASH.format(1)} % 4 = 0),
+a AS (SELECT entry, DATE '2023-07-01' + CAST({_HASH.format(2)} % 400 AS INTEGER) AS added FROM e),
+b AS (SELECT *, added + CAST({_HASH.format(3)} % 200 + 30 AS INTEGER) AS removed, {_HASH.format(3)} % 5 > 0 AS goes, {_HASH.format(4)} % 2 = 0 AS returns FROM a),
+changes AS (SELECT entry, 'add' AS action, added AS since FROM b UNION ALL SELECT entry, 'remove', removed FROM b WHERE goes
+            UNION ALL SELECT entry, 'add', removed + CAST({_HASH.format(4)} % 100 + 15 AS INTEGER) FROM b WHERE goes AND returns),
 spans AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY entry ORDER BY since) AS until FROM changes) WHERE action = 'add'),
 p AS (SELECT DISTINCT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
       lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
-      lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
+      regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 m AS (SELECT p.*, s.entry FROM p LEFT JOIN spans s ON fetched >= since AND (until IS NULL OR fetched < until) AND
       CASE WHEN contains(s.entry, '/') THEN host || rtrim(path, '/') = s.entry OR starts_with(host || path, s.entry || '/')
            ELSE host = s.entry OR ends_with(host, '.' || s.entry) END)

@@ -24,17 +24,19 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     On one date a removal comes after additions. Changes without entry or date are ignored.
     """
-    clean = F.rtrim(F.regexp_replace(F.lower(F.trim("entry")), r"^(\*\.|\.)", ""), F.lit("/"))
+    bare = F.rtrim(F.regexp_replace(F.trim("entry"), r"^(\*\.|\.)", ""), F.lit("/"))
+    clean = F.concat(F.lower(F.substring_index(bare, "/", 1)), F.regexp_extract(bare, "(/.*)$", 1))
     rows = entries.select(clean.alias("entry"), (F.col("action") == "remove").alias("removes"), F.col("at").cast("date").alias("since"))
     rows = rows.filter("entry != '' AND since IS NOT NULL").groupBy("entry", "since").agg(F.max(F.coalesce("removes", F.lit(False))).alias("removes"))
     until = F.lead("since").over(Window.partitionBy("entry").orderBy("since"))
     return rows.withColumn("until", until).filter(~F.col("removes")).select("entry", "since", "until")
 
 
-def url_filter(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", fetched_col: str = "fetched", bucket_days: int = BUCKET_DAYS) -> DataFrame:
+def url_filter(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", fetched_col: str = "fetched", bucket_days: int = BUCKET_DAYS, broadcast_changes: int = BROADCAST_CHANGES) -> DataFrame:
     """Evaluate every capture against the list entries that were active when it was fetched.
 
-    An entry is a host (with its subdomains) or a host and a path prefix of whole segments. Its
+    An entry is a host (with its subdomains) or a host and a path prefix of whole segments; hosts are
+    compared without regard to case, paths as they are. Its
     dated additions and removals become validity intervals. Captures meet them by an equi-join on
     (entry, time bucket) with the interval as condition, so an entry with a long history costs a
     capture only the changes of one bucket, and the as-of match is at most one interval an entry.
@@ -49,14 +51,14 @@ def url_filter(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", ur
     last = day(F.lit(newest).cast("date"))
     final = F.coalesce(day(F.date_sub("until", 1)), last)
     listed = spans.select("entry", "since", "until", F.explode(F.sequence(day(F.col("since")), F.greatest(final, day(F.col("since"))))).alias("in_bucket"))
-    listed = F.broadcast(listed) if size <= BROADCAST_CHANGES else listed
+    listed = F.broadcast(listed) if size <= broadcast_changes else listed
 
     caught = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(fetched_col).cast("date").alias("fetched"))
     caught = caught.select("*", F.nullif(_host(F.col("url")), F.lit("")).alias("host"))
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = F.filter(F.split(_path(F.col("url")), "/"), lambda x: x != "")
-    paths = F.transform(F.filter(F.sequence(F.lit(0), F.size(steps)), lambda i: i > 0), lambda i: F.concat_ws("/", F.col("host"), F.lower(F.array_join(F.slice(steps, 1, i), "/"))))
+    paths = F.transform(F.filter(F.sequence(F.lit(0), F.size(steps)), lambda i: i > 0), lambda i: F.concat_ws("/", F.col("host"), F.array_join(F.slice(steps, 1, i), "/")))
     keys = F.when(F.col("host").isNotNull(), F.array_distinct(F.concat(domains, paths)))
     probes = caught.select("*", F.explode_outer(keys).alias("key"), F.least(day(F.col("fetched")), last).alias("bucket"))
 
