@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
@@ -58,9 +58,17 @@ def expand(turns: Iterable[tuple[str, str]]) -> Iterator[tuple[str, int, int]]:
         yield text, 0, 0
 
 
-def _by_conversation(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+def _by_conversation(batches: Iterator[pd.DataFrame], begins: Callable[[tuple], bool]) -> Iterator[tuple]:
+    """(id, rows) of neighbouring rows of one id; where ``begins`` holds of a row, it opens another group."""
     rows = (r for b in batches for r in zip(b["conv"].astype(object).where(b["conv"].notna(), None), *(b[c] for c in b.columns[1:])))
-    return groupby(rows, key=lambda r: r[0])
+    opened = 0
+
+    def group(r: tuple) -> tuple:
+        nonlocal opened
+        opened += begins(r)
+        return r[0], opened
+
+    return ((key[0], own) for key, own in groupby(rows, key=group))
 
 
 def chat_examples(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -68,7 +76,7 @@ def chat_examples(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Offsets are code points of ``text``; only the reply itself is trainable. Turns go by number, then
     role, then text (ties and repeated rows: each row is a turn of its own). Null roles and texts
-    are empty; rows without a conversation id form one conversation, null turns come first. Other
+    are empty; a row without a conversation id is a conversation of its own, null turns come first. Other
     columns are ignored; an empty table gives no examples. Conversations are dealt out whole, since
     every reply needs all turns before it; a task holds one conversation's text at a time.
     """
@@ -76,12 +84,13 @@ def chat_examples(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     turns = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("said"))
     kind = turns.schema["conv"].dataType.simpleString()
-    ordered = turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "said").select("conv", "role", "said")
+    alone = F.when(F.col("conv").isNull(), F.xxhash64("turn", "role", "said"))  # so that such rows don't meet in one task
+    ordered = turns.repartition("conv", alone).sortWithinPartitions("conv", "turn", "role", "said").select("conv", "role", "said")
     names = ["conv_id", "example", "text", "loss_start", "loss_end"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
-        for conv, own in _by_conversation(batches):
+        for conv, own in _by_conversation(batches, lambda r: r[0] is None):
             for i, (example, begin, end) in enumerate(expand((role, said) for _, role, said in own)):
                 rows.append((conv, i, example, begin, end))
                 size += len(example)
@@ -117,15 +126,15 @@ def read_back(examples: Iterable[tuple[str, int, int]]) -> tuple[list[tuple[str,
 
 
 def chat_digest(examples: DataFrame) -> DataFrame:
-    """Read ``chat_examples`` back, in the order it gives them: a row of counts and digests for each conversation."""
+    """Read ``chat_examples`` back, in the order it gives them: a row of counts and digests for each conversation, which begins with example 0."""
     kind = examples.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
-        for conv, own in _by_conversation(b.rename(columns={"conv_id": "conv"}) for b in batches):
-            turns, trained, size = read_back((text, begin, end) for _, text, begin, end in own)
+        for conv, own in _by_conversation((b.rename(columns={"conv_id": "conv"}) for b in batches), lambda r: r[1] == 0):
+            turns, trained, size = read_back((text, begin, end) for _, _, text, begin, end in own)
             loss = "".join(trained)
             rows.append((conv, len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss), size))
             if len(rows) == 5000:
@@ -134,4 +143,4 @@ def chat_digest(examples: DataFrame) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return examples.select("conv_id", "text", "loss_start", "loss_end").mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return examples.select("conv_id", "example", "text", "loss_start", "loss_end").mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -6,9 +6,8 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,10 +15,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, passing, release, saved, shared_dir
+
+__all__ = ["discard", "passing", "release", "saved", "shared_dir"]
+
 #: ASCII white space, as the word definitions of operators 4 and 9 take it.
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of one Arrow batch sent to a Python worker; bounds its memory with very long texts.
 BATCH_BYTES = 1 << 20
+#: Hashes that several rows share at most; 10^12 rows are expected to have 27,000.
+MOST_SHARED = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,47 +59,26 @@ def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def row_keys(df: DataFrame, *cols: str, first: Callable[..., Column] = F.xxhash64) -> Column:
+    """A 64-bit key of the columns' values: equal values have equal keys, and different ones have different keys.
+
+    Of 10^10 rows a few would share a 64-bit hash. Such hashes are found first, by a second one, in
+    one grouped pass over two numbers a row, and the rows that have them get the second hash as key.
+    """
+    key, other = first(*cols), F.xxhash64(F.lit(1), *cols)
+    seen = df.select(key.alias("key"), other.alias("other")).groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    shared = [r.key for r in seen.filter("lo != hi").select("key").limit(MOST_SHARED + 1).collect()]
+    if len(shared) > MOST_SHARED:
+        raise ValueError(f"more than {MOST_SHARED} row hashes are not unique")
+    return F.when(key.isin(shared), other).otherwise(key) if shared else key
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast built-in; other text a character map."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is set only where none is configured."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")  # the table replaces the shuffle files, which would else stay on disk
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``saved`` that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Bytes that a task gathers before it deals them out.
 DEAL_BYTES = 4 << 20
 

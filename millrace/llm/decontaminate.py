@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ascii_lower, narrowed, saved
+from .common import ascii_lower, narrowed, passing, saved
 
 #: What separates words. A word holds ASCII digits and letters and everything outside ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,22 +32,11 @@ def item_windows(items: DataFrame, item_id: str, text_col: str, window: int) ->
     return starts.select("item_id", F.slice("all", F.col("at") + 1, F.lit(window)).alias("words")).select("item_id", F.array_join("words", " ").alias("wkey"), "words").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 2) -> DataFrame:
-    """Find the benchmark windows that occur in each document, exactly.
-
-    Item windows are taken as ordered sets of ``shingle``-word shingles. Shingles are ordered by
-    their frequency over all documents; containment needs every shingle of a window, so the rarest
-    one alone is the necessary prefix. Documents meet windows on it, candidates outside the document
-    (position and length bounds) go, and the rest is verified word by word.
-
-    Returns a row for each input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-    Null or empty texts have no words; items without words have no windows; null item ids hit words
-    but are not listed. Repeated rows give repeated results, repeated items count once by id. Empty
-    tables and clashing columns are fine: only ids and texts are read.
-    """
+def _found(tokens: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, shingle: int, broadcast_windows: int) -> DataFrame:
+    """(hit_id, hit_key, n_hit, items) of the documents that hold a window."""
     windows = saved(item_windows(items, item_id, item_text, window), "windows")
     distinct = windows.select("wkey", "words").distinct()
-    few = distinct.count() <= BROADCAST_WINDOWS
+    few = distinct.count() <= broadcast_windows
     sized = F.broadcast if few else lambda x: x
     lengths = [k for k in range(1, shingle + 1) if k == shingle or not windows.filter(F.size("words") == k).isEmpty()]
 
@@ -57,10 +46,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         of_window = F.when((F.size("words") == k) if k < shingle else (F.size("words") >= k), _shingles(F.col("words"), k)).otherwise(of_window)
     placed = distinct.select("wkey", "words", F.posexplode(of_window).alias("at", "sh"))
 
-    tokens = narrowed(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tkey"), _words(F.col("text")).alias("dw"))
+    carried = ["dw"] if few else []  # within a stage the words cost nothing; shuffled, each position would take them along
     exploded = None
     for k in lengths:
-        part = tokens.select("doc_id", "tkey", "dw", F.posexplode(_shingles(F.col("dw"), k)).alias("pos", "sh"))
+        part = tokens.select("doc_id", "tkey", F.size("dw").alias("dn"), *carried, F.posexplode(_shingles(F.col("dw"), k)).alias("pos", "sh"))
         exploded = part if exploded is None else exploded.unionAll(part)
 
     rarity = exploded.select("sh").join(sized(placed.select("sh").distinct()), "sh").groupBy("sh").count()
@@ -69,9 +58,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     prefix = saved(prefix.select("sh", "at", "wkey", "words"), "prefix")
 
     start, m = F.col("pos") - F.col("at"), F.size("words")
-    inside = (start >= 0) & (start + m <= F.size("dw"))
-    hits = exploded.join(sized(prefix), "sh").filter(inside & (F.slice("dw", F.greatest(start, F.lit(0)) + 1, m) == F.col("words")))
-    hits = saved(hits.select("doc_id", "tkey", "wkey", start.alias("start"), (start + m).alias("end")).distinct(), "hits")
+    inside = (start >= 0) & (start + m <= F.col("dn"))
+    same = F.slice("dw", F.greatest(F.col("start"), F.lit(0)) + 1, m) == F.col("words")
+    met = exploded.join(sized(prefix), "sh").filter(inside).withColumn("start", start)
+    if not few:
+        found = met.select(F.col("doc_id").alias("in_id"), F.col("tkey").alias("in_key"), "start", "wkey", "words").distinct()
+        met = tokens.join(found, F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("tkey") == F.col("in_key")))
+    hits = saved(met.filter(same).select("doc_id", "tkey", "wkey", "start", (F.col("start") + m).alias("end")).distinct(), "hits")
 
     def grow(acc: Column, x: Column) -> Column:
         return F.struct((acc["n"] + F.greatest(x["end"] - F.greatest(x["start"], acc["to"]), F.lit(0))).cast("long").alias("n"), F.greatest(acc["to"], x["end"]).alias("to"))
@@ -79,8 +72,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     spans = F.sort_array(F.collect_set(F.struct("start", "end")))
     covered = hits.groupBy("doc_id", "tkey").agg(spans.alias("spans")).select("doc_id", "tkey", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), grow, lambda a: a["n"]).alias("n_hit"))
     found = hits.select("doc_id", "tkey", "wkey").distinct().join(windows.select("wkey", F.col("item_id").cast("string").alias("item")), "wkey").groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    both = covered.join(found, covered["doc_id"].eqNullSafe(found["doc_id"]) & (covered["tkey"] == found["tkey"])).select(covered["doc_id"].alias("hit_id"), covered["tkey"].alias("hit_key"), "n_hit", "items")
+    return saved(covered.join(found, covered["doc_id"].eqNullSafe(found["doc_id"]) & (covered["tkey"] == found["tkey"])).select(covered["doc_id"].alias("hit_id"), covered["tkey"].alias("hit_key"), "n_hit", "items"), "found")
+
 
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 2, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Find the benchmark windows that occur in each document, exactly.
+
+    Item windows are taken as ordered sets of ``shingle``-word shingles. Shingles are ordered by
+    their frequency over all documents; containment needs every shingle of a window, so the rarest
+    one alone is the necessary prefix. Documents meet windows on it, candidates outside the document
+    (position and length bounds) go, and the rest is verified word by word. Up to
+    ``broadcast_windows`` windows are sent to the documents; more of them meet the documents'
+    shingles in a shuffle of numbers, and only candidates are joined to the texts again.
+
+    Returns a row for each input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    Null or empty texts have no words; items without words have no windows; null item ids hit words
+    but are not listed. Repeated rows give repeated results, repeated items count once by id. Empty
+    tables and clashing columns are fine: only ids and texts are read.
+    """
+    tokens = narrowed(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tkey"), _words(F.col("text")).alias("dw"))
+    with passing() as keep:
+        both = _found(tokens, items, item_id, item_text, window, shingle, broadcast_windows)
+        keep(both)
     base = tokens.select("doc_id", "tkey", F.size("dw").cast("long").alias("n_words"))
     joined = base.join(both, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tkey") == F.col("hit_key")), "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrowed, small_batches
+from .common import narrowed, passing, small_batches
 from .toxicity import sampled
 
 #: Labelled rows of either label that a network is fitted on at most.
@@ -94,6 +94,25 @@ def score(net: Network, text: str) -> float:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def gradients(net: Network, s: np.ndarray, label: float, weight: float = 1.0) -> list[np.ndarray]:
+    """Of the weighted logistic loss of one text's symbols, for the filter table, the bias and the output."""
+    grads = [np.zeros_like(p) for p in (net.table, net.bias, net.out)]
+    z, at = _pooled(net, s, places=True)
+    logit, h, features = _combined(net, z)
+    d = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label)
+    grads[2][:-1] += d * features
+    grads[2][-1] += d
+    dh = np.repeat(d * net.out[None, :FILTERS] / len(h), len(h), 0)
+    dh[h.argmax(0), np.arange(FILTERS)] += d * net.out[FILTERS:-1]
+    dh = dh * (h > 0)
+    grads[1] += dh.sum(0)
+    f = np.broadcast_to(np.arange(FILTERS), at.shape)
+    for j in range(WIDTH):
+        np.add.at(grads[0][j], (s[at + j], f), dh)
+    grads[0][:, SYMBOLS - 1] = 0  # padding stays at 0
+    return grads
+
+
 def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.02, seed: int = 7) -> Network:
     """Fit filters and output by Adam on the logistic loss, both labels weighing alike."""
     rng = np.random.default_rng(seed)
@@ -112,20 +131,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
             grads = [np.zeros_like(p) for p in params]
             batch = order[begin : begin + 32]
             for i in batch:
-                s = inputs[i]
-                z, at = _pooled(net, s, places=True)
-                logit, h, features = _combined(net, z)
-                d = weight[i] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[i]) / len(batch)
-                grads[2][:-1] += d * features
-                grads[2][-1] += d
-                dh = np.repeat(d * net.out[None, :FILTERS] / len(h), len(h), 0)
-                dh[h.argmax(0), np.arange(FILTERS)] += d * net.out[FILTERS:-1]
-                dh = dh * (h > 0)
-                grads[1] += dh.sum(0)
-                f = np.broadcast_to(np.arange(FILTERS), at.shape)
-                for j in range(WIDTH):
-                    np.add.at(grads[0][j], (s[at + j], f), dh)
-            grads[0][:, SYMBOLS - 1] = 0
+                for total, g in zip(grads, gradients(net, inputs[i], y[i], weight[i] / len(batch))):
+                    total += g
             steps += 1
             step = rate * (1 - epoch / epochs)
             for p, g, m, v in zip(params, grads, first, second):
@@ -138,8 +145,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, size: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Network:
     """Train on at most ``size`` labelled rows of either label. The sample is bounded, so it fits the driver."""
     rows = []
-    for value in (0, 1):
-        rows += sampled(docs, labels, label, trains & (F.col(label) == value), size, id_col, text_col).collect()
+    with passing():
+        for value in (0, 1):
+            rows += sampled(docs, labels, label, trains & (F.col(label) == value), size, id_col, text_col).collect()
     rows.sort(key=lambda r: (r.text, r.label))
     return train([r.text for r in rows], [r.label for r in rows])
 
@@ -148,8 +156,8 @@ def quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     """Score every whole text, chunk by chunk: doc_id, the columns of ``extra`` (over doc_id), score from 0 to 1.
 
     A row for each input row, repeated ones alike. Null and empty texts are one chunk of padding and
-    get the network's score for that. Very long texts go through in pieces. Other columns are
-    ignored; an empty table gives an empty result.
+    get the network's score for that. Responses of very long texts are computed in pieces; their
+    bytes are held whole, with about 8 bytes of a task's memory for each. Other columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
 

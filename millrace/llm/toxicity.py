@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrowed, saved, small_batches
+from .common import narrowed, passing, saved, small_batches
 
-#: Labelled rows that a model is fitted on at most, and terms of its lexicon at most.
-SAMPLE, TERMS = 16_000, 1_000
+#: Labelled rows that a model is fitted on at most, and words and stems of its lexicon at most.
+SAMPLE, TERMS = 16_000, 10_000
 #: Characters of a text that is learned from at most; with the rows it bounds what a model is fitted on.
 SAMPLE_CHARS = 65_536
 #: Words to either side of a term that make its context.
@@ -22,7 +22,53 @@ WINDOW = 10
 EXACT, STEM, FUZZY = 3, 2, 1
 FEATURES = 6
 
-_QUOTES = frozenset("\"'`«»„“”‚‘’‹›")
+#: Marks that open or close a quotation by their kind, and marks whose turn decides.
+OPENING, CLOSING, EITHER = "«“„‹‚", "»”›", "\"`"
+#: The second of these opens, too, but closes what the first has opened.
+LOW = "„“"
+#: Marks that also stand inside words: they open before a letter and close after one, where no letter stands on the other side.
+APOSTROPHES = "'’‘"
+
+
+def quotations(x: np.ndarray, letters: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, opens, line) of the quotation marks of code points ``x``, in order.
+
+    ``letters`` says which code points belong to words; ``line_ends`` are the places where lines end,
+    at which turns of the marks that look alike begin anew.
+    """
+    kinds = [np.isin(x, [ord(c) for c in marks]) for marks in (OPENING, CLOSING, EITHER, APOSTROPHES)]
+    before, after = np.concatenate([[False], letters[:-1]]), np.append(letters[1:], False)
+    opens, closes = kinds[0] | (kinds[3] & after & ~before), kinds[1] | (kinds[3] & before & ~after)
+    low = np.flatnonzero((x == ord(LOW[0])) | (x == ord(LOW[1])))
+    ends = (x[low[1:]] == ord(LOW[1])) & (x[low[:-1]] == ord(LOW[0])) & (np.searchsorted(line_ends, low[1:]) == np.searchsorted(line_ends, low[:-1]))
+    opens[low[1:][ends]] = False
+    closes[low[1:][ends]] = True
+    either = np.flatnonzero(kinds[2])
+    line = np.searchsorted(line_ends, either)
+    for mark in EITHER:
+        own = x[either] == ord(mark)
+        at, of = either[own], line[own]
+        first = np.searchsorted(of, of)  # where the line's marks begin
+        turn = (np.arange(len(at)) - first) % 2 == 0
+        opens[at[turn]] = True
+        closes[at[~turn]] = True
+    place = np.flatnonzero(opens | closes)
+    return place, opens[place], np.searchsorted(line_ends, place)
+
+
+def quoted_terms(start: np.ndarray, end: np.ndarray, words: np.ndarray, marks: tuple[np.ndarray, np.ndarray, np.ndarray], line_ends: np.ndarray, window: int) -> np.ndarray:
+    """Which terms stand inside a quotation: the last mark before opens, the next one after closes, both on
+    the term's line and at most ``window`` words away. ``words`` are the places where all words begin."""
+    place, opens, line = marks
+    if not len(place):
+        return np.zeros(len(start), bool)
+    own_line = np.searchsorted(line_ends, start)
+    after = np.searchsorted(place, start)
+    left, right = np.maximum(after - 1, 0), np.minimum(np.searchsorted(place, end), len(place) - 1)
+    inside = (after > 0) & (place[right] >= end) & opens[left] & ~opens[right] & (line[left] == own_line) & (line[right] == own_line)
+    at = np.searchsorted(words, start)
+    near = (at - np.searchsorted(words, place[left]) <= window) & (np.searchsorted(words, place[right]) - at - 1 <= window)
+    return inside & near
 
 
 def _letters() -> np.ndarray:
@@ -157,10 +203,13 @@ class Scanner:
         n_words = np.bincount(doc, minlength=len(texts))
         hits = np.flatnonzero(kind)
         cuts = np.searchsorted(doc[hits], np.arange(len(texts) + 1))
+        line_ends = np.union1d(np.flatnonzero(x == 10), limits - 1)
+        in_quotes = np.zeros(len(kind), bool)
+        in_quotes[hits] = quoted_terms(start[hits], end[hits], start, quotations(x, inside[:-1], line_ends), line_ends, WINDOW)
         for i in np.unique(doc[hits]).tolist():
             own = hits[cuts[i] : cuts[i + 1]]
             sure = own[kind[own] != FUZZY]
-            quoted = sum(start[h] > 0 and chr(x[start[h] - 1]) in _QUOTES and end[h] < len(x) and chr(x[end[h]]) in _QUOTES for h in sure.tolist())
+            quoted = in_quotes[sure].sum()
             near = (np.searchsorted(sure, sure + WINDOW, "right") - np.searchsorted(sure, sure - WINDOW)).max(initial=0)
             counts = np.bincount(kind[own], minlength=4)
             out[i] = [math.log1p(counts[EXACT]), math.log1p(counts[STEM]), math.log1p(counts[FUZZY]), math.log1p(near), math.log1p(quoted), math.log1p(100 * len(sure) / max(1, n_words[i]))]
@@ -222,7 +271,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, size: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
     """Learn lexicon and weights from at most ``size`` labelled rows (see ``sampled``)."""
     small_batches(docs.sparkSession)
-    sample = sampled(docs, labels, label, trains, size, id_col, text_col)
+    with passing():
+        return _fitted(sampled(docs, labels, label, trains, size, id_col, text_col))
+
+
+def _fitted(sample: DataFrame) -> Model:
     words, stems = learn_terms(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

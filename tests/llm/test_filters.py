@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -32,7 +33,8 @@ def contaminated(docs, items, window=10):
     return sorted(out)
 
 
-def test_decontaminate_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast_windows", [0, 200_000])
+def test_decontaminate_equals_brute_force(spark, broadcast_windows):
     rng = random.Random(1)
     v = ["the", "of", "Über", "x1", "cat", "dog", "RARE", "é", "zeta", "omega"]
     text = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choice(v) for _ in range(n))
@@ -41,7 +43,7 @@ def test_decontaminate_equals_brute_force(spark):
     docs += [(100 + i, text(5) + " " + t + " " + text(5)) for i, t in items[:8] if t] + [(200, None), (201, ""), (202, "a word"), (203, "only here now two words"), (203, "only here now two words"), (None, "word"), (205, "word " * 5000)]
     d = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, items string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in decontaminate(d, b).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in decontaminate(d, b, broadcast_windows=broadcast_windows).collect())
     assert got == contaminated(docs, items)
     assert decontaminate(d.limit(0), b).count() == 0
     assert decontaminate(d, b.limit(0)).filter("contaminated").count() == 0
@@ -68,24 +70,26 @@ def test_quality_rules_base_counts(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
-def test_url_filter_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast_changes", [0, 200_000])
+def test_url_filter_equals_brute_force(spark, broadcast_changes):
     rng = random.Random(3)
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
     hosts = ["a.example.com", "b.a.example.com", "example.com", "notexample.com", "EXAMPLE.com", "x.org"]
-    entries = [("example.com", "add", day(10)), ("example.com", "remove", day(100)), ("*.example.com/", "add", day(200)), ("a.example.com/p/q", "add", day(50)), ("x.org", "add", day(5)), ("x.org", "add", day(6)), ("x.org", "remove", day(6)), (None, "add", day(1)), ("x.org", "add", None), ("b.a.example.com", "add", day(0))]
+    entries = [("example.com", "add", day(10)), ("example.com", "remove", day(100)), ("*.example.com/", "add", day(200)), ("a.example.com/p/q", "add", day(50)), ("x.org", "add", day(5)), ("x.org", "add", day(6)), ("x.org", "remove", day(6)), (None, "add", day(1)), ("x.org", "add", None), ("b.a.example.com", "add", day(0)), ("A.Example.com/P/Q", "add", day(70))]
     entries += [("a.example.com", rng.choice(["add", "remove"]), day(i)) for i in range(0, 300, 7)]
     pages = [(i, f"{rng.choice(['http', 'https'])}://{rng.choice(['', 'u:p@'])}{rng.choice(hosts)}{rng.choice(['', ':80'])}{rng.choice(['', '/', '/p', '/p/q', '/p/q/r?x=1', '/P/Q#f', '/pq'])}", day(rng.randint(0, 400))) for i in range(300)]
     pages += [(900, None, day(3)), (901, "nonsense", day(3)), (902, "http://x.org/", None), (903, "http://x.org/", day(5)), (903, "http://x.org/", day(5))]
-    got = {r.page_id: (r.n_active, r.matched) for r in url_filter(spark.createDataFrame([(*p, "y") for p in pages], "page_id long, url string, fetched date, blocked string"), spark.createDataFrame(entries, "entry string, action string, at date")).collect()}
+    got = {r.page_id: (r.n_active, r.matched) for r in url_filter(spark.createDataFrame([(*p, "y") for p in pages], "page_id long, url string, fetched date, blocked string"), spark.createDataFrame(entries, "entry string, action string, at date"), broadcast_changes=broadcast_changes).collect()}
     clean = {}
     for e, action, at in entries:
         if e and at:
-            clean.setdefault(re.sub(r"^(\*\.|\.)", "", e).rstrip("/"), {}).setdefault(at, []).append(action)
+            host, slash, path = re.sub(r"^(\*\.|\.)", "", e).rstrip("/").partition("/")
+            clean.setdefault(host.lower() + slash + path, {}).setdefault(at, []).append(action)
     for i, url, at in pages:
         found = []
         m = re.match(r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/:?#]*)[^/?#]*([^?#]*)", url or "")
         if m and at:
-            host, steps = m[1].lower(), [s.lower() for s in m[2].split("/") if s]
+            host, steps = m[1].lower(), [s for s in m[2].split("/") if s]
             for e, changes in clean.items():
                 past = [d for d in changes if d <= at]
                 active = bool(past) and "remove" not in changes[max(past)]
@@ -120,6 +124,12 @@ def test_chat_digest(spark):
     assert chat_examples(df.limit(0)).count() == 0
 
 
+def test_rows_without_conversation_are_their_own(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (None, None, None, None), (3, 0, "assistant", "c")]
+    got = chat_digest(chat_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in got) == [(0, 1, 0), (0, 1, 0), (0, 1, 1), (0, 1, 1), (3, 1, 1)]
+
+
 def test_url_filter_of_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x", dt.date(2024, 1, 1))], "page_id long, url string, fetched date")
     entries = spark.createDataFrame([("a.org", "add", dt.date(2023, 1, 1))], "entry string, action string, at date")
