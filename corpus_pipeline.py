@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import toxicity as toxic
-from millrace.llm.common import read, saved
+from millrace.llm.common import discard, read, row_keys, saved
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.jaccard_join import jaccard_join
 from millrace.llm.packing import pack
@@ -29,9 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("_score", toxic.score_column(spark, model)(F.coalesce("text", F.lit("")))).filter(F.col("_score") < REJECT).select(*COLUMNS)
 
 
-def _row() -> Column:
+def _row(docs: DataFrame) -> Column:
     """A row by its id and text, never null: ids may be missing, and one id may have several texts."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    return row_keys(docs, "doc_id", "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id come last in a group; of rows equal in id and text one stays. Rows without words stay.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), _row().alias("row"))
+    row = _row(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), row.alias("row"))
     found = jaccard_join(docs.select(place.alias("place"), "text"), id_col="place", words=5, per_cent=80).filter("n_shingles > 0")
     # What a group's least row is not goes; what it is may still be there several times.
     marked = found.groupBy(F.col("doc_id.row").alias("_row")).agg(F.max(F.col("component_id.row") != F.col("doc_id.row")).alias("lost"), F.count("*").alias("n"))
     marked = saved(marked.filter("lost OR n > 1").select("_row", "lost"), "marked")
-    keyed = docs.select(*COLUMNS, _row().alias("_row"))
+    keyed = docs.select(*COLUMNS, row.alias("_row"))
     single = keyed.join(marked.select("_row"), "_row", "left_anti").select(*COLUMNS)
     repeated = keyed.join(marked.filter("NOT lost").select("_row"), "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("one"))
     return single.unionAll(repeated.select("one.*"))
@@ -61,7 +62,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: rows that hold a window of a benchmark item go, with or without an id."""
-    keyed = docs.select(*COLUMNS, _row().alias("_row"))
+    keyed = docs.select(*COLUMNS, _row(docs).alias("_row"))
     hit = decontaminate(keyed, read(spark, sf_dir, "benchmark"), id_col="_row").filter("contaminated").select(F.col("doc_id").alias("_row")).distinct()
     return keyed.join(hit, "_row", "left_anti").select(*COLUMNS)
 
@@ -85,7 +86,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; what each returns is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DEAL_BYTES, blobs_of, dealt, discard, narrowed, saved, small_batches
+from .common import DEAL_BYTES, blobs_of, dealt, discard, narrowed, passing, row_keys, saved, small_batches
 from .components import components
 
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_A, _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 #: Documents of one index entry up to which all pairs are taken; larger groups go by a representative.
 PAIRS = 8
 #: Ids of candidates up to which they are broadcast to the texts (under 32 MB); beyond, texts are shuffled.
@@ -162,8 +162,11 @@ class Schemes:
         b = 0
         while self.edge(b + 1) <= n:
             b += 1
-        own = self.make(b)
-        return [own] if b == 0 or n > (before := self.make(b - 1)).reach else [before, own]
+        found = [self.make(b)]
+        while b and n <= (before := self.make(b - 1)).reach:
+            found.insert(0, before)
+            b -= 1
+        return found
 
 
 def entries(shingles: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, int]:
@@ -191,6 +194,22 @@ def entries(shingles: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, int]:
     return np.unique(np.concatenate(out)), need
 
 
+def fingerprint(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two independent sums over a set, 128 bits: equal sets have equal ones, and no other sets can be expected to."""
+    n = np.uint64(len(shingles))
+    return tuple(_mix(np.array([_mix(shingles + salt).sum() + n]))[0] for salt in (_C, _D))
+
+
+def equal_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, of): where each distinct row of two numbers first stands, and each row's place among these."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    ranked = pairs[order]
+    new = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(1)]) if len(pairs) else np.zeros(0, bool)
+    of = np.empty(len(pairs), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
 _MET = "kind string, a long, b long, n long, entry long"
 
 
@@ -212,10 +231,10 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
 
         def flush() -> Iterator[pd.DataFrame]:
             key, n, fp = np.array(keys, np.int64), np.array(ns, np.int64), np.array(prints, np.uint64)
-            _, at, of = np.unique(fp, return_index=True, return_inverse=True)
+            at, of = equal_pairs(fp)
             rep = key[at][of]
             yield from dealt([{"x": _mix(key.view(np.uint64)), "a": key, "b": rep, "n": n}], "x", parts, kind=1)
-            yield from dealt([{"x": fp[at], "a": key[at], "n": n[at]}], "x", parts, kind=2)
+            yield from dealt([{"x": fp[at, 0], "b": fp[at, 1].view(np.int64), "a": key[at]}], "x", parts, kind=2)
             sig = np.concatenate([sigs[i] for i in at])
             who = np.repeat(at, [len(sigs[i]) for i in at])
             order = np.argsort(sig, kind="stable")
@@ -234,8 +253,7 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
             for key, s in zip(b["key"], shingle_sets(list(b["text"]), k)):
                 keys.append(key)
                 ns.append(len(s))
-                own = _mix(s + _C)
-                prints.append(_mix(np.array([own.sum() + np.uint64(len(s))]))[0] if len(s) else np.uint64(key % (1 << 64)))
+                prints.append(fingerprint(s) if len(s) else (np.uint64(key % (1 << 64)), np.uint64(0)))
                 own, need = entries(s, schemes) if len(s) else (np.zeros(0, np.uint64), 1)
                 sigs.append(own)
                 needs.append(need)
@@ -258,8 +276,8 @@ def _candidates(keyed: DataFrame, k: int, per_cent: int, n_docs: int, parts: int
             other = x["a"] != x["b"]
             out.append(rows("same", x["a"][other], x["b"][other]))
         if 2 in by:
-            x = blobs_of(by[2], {"x": np.uint64, "a": np.int64})
-            _, at, of = np.unique(x["x"], return_index=True, return_inverse=True)
+            x = blobs_of(by[2], {"x": np.uint64, "b": np.uint64, "a": np.int64})
+            at, of = equal_pairs(np.column_stack([x["x"], x["b"]]))
             rep = x["a"][at][of]
             other = rep != x["a"]
             out.append(rows("same", x["a"][other], rep[other]))
@@ -384,27 +402,9 @@ def _beyond(stars: DataFrame, roots: DataFrame, per_cent: int) -> DataFrame:
     return out.distinct()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, per_cent: int = 85) -> DataFrame:
-    """Link documents whose shingle sets have a Jaccard similarity of ``per_cent`` or more, exactly.
-
-    Groups of up to ``PAIRS`` documents with a common entry give all pairs. In larger ones every
-    member is compared with a central representative; a member that comes into its component neither
-    so nor through others then meets the members that its difference from the representative allows
-    (see ``_beyond``). No link is lost that would join two components.
-
-    A task's memory grows with its longest text, by about 40 bytes for each of its bytes.
-
-    Returns a row for each input row: doc_id, n_shingles, component_id (the smallest id reachable by
-    links). Null and empty texts have no shingles and no links. Repeated rows link with each other.
-    Rows without an id take part; their component_id is the smallest id they reach, or null. Other
-    columns are ignored; empty tables give empty results.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    keyed = narrowed(docs, id_col, text_col).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    texts = keyed.select("key", "text")
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = saved(_candidates(texts, words, per_cent, docs.count(), parts), "candidates")
+def _linked(texts: DataFrame, words: int, per_cent: int, n_docs: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of linked texts and (key, n) of all."""
+    found = saved(_candidates(texts, words, per_cent, n_docs, parts), "candidates")
 
     # A link that no small group shows shares only entries of large ones, ``need`` at least. So a
     # document with fewer has none, and of k entries the k - need + 1 in the smallest groups are enough
@@ -423,7 +423,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     above = member.join(best, "entry").groupBy("a").agg(F.max("best").alias("above")).select(F.col("a").alias("of"), F.col("above.a").alias("b"))
     best = best.join(above, F.col("best.a") == F.col("of")).select("entry", "b")
     member = saved(member.join(best, "entry"), "stars")
-    sizes = found.filter("kind = 'set'").select(F.col("a").alias("key"), "n").distinct()
+    sizes = saved(found.filter("kind = 'set'").select(F.col("a").alias("key"), "n").distinct(), "sizes")
     star = _verified(member.filter("a != b").select("a", "b").distinct(), texts, words, per_cent, differences=True)
     in_order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     met = star.select(*in_order)
@@ -437,10 +437,37 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not again.isEmpty():
         links = links.unionAll(_verified(again, texts, words, per_cent).filter("linked").select("a", "b"))
         roots = saved(components(links), "roots")
-    discard(star, others, pairs, member, ranked)
+    return roots, sizes
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, per_cent: int = 85) -> DataFrame:
+    """Link documents whose shingle sets have a Jaccard similarity of ``per_cent`` or more, exactly.
+
+    Groups of up to ``PAIRS`` documents with a common entry give all pairs. In larger ones every
+    member is compared with a central representative; a member that comes into its component neither
+    so nor through others then meets the members that its difference from the representative allows
+    (see ``_beyond``). No link is lost that would join two components.
+
+    A task's memory grows with its longest text, by about 40 bytes for each of its bytes.
+
+    Returns a row for each input row: doc_id, n_shingles, component_id (the smallest id reachable by
+    links). Null and empty texts have no shingles and no links. Repeated rows link with each other.
+    Rows without an id take part; their component_id is the smallest id they reach, or null. Other
+    columns are ignored; empty tables give empty results.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    named = narrowed(docs, id_col, text_col)
+    keyed = named.select("doc_id", row_keys(named, "doc_id", "text").alias("key"), "text")
+    texts = keyed.select("key", "text")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with passing() as keep:
+        roots, sizes = _linked(texts, words, per_cent, docs.count(), parts)
+        keep(roots, sizes)
 
     ids = keyed.select("doc_id", "key")
     least = roots.join(ids, F.col("node") == F.col("key")).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = roots.join(saved(least, "least"), "root").select("node", "component_id")
+    # The table is small beside the texts: a row for each linked document.
+    named = roots.join(least, "root").select("node", "component_id")
     out = ids.join(sizes, "key").join(named, F.col("key") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

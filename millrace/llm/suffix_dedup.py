@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, blobs_of, dealt, discard, saved, small_batches
+from .common import SPACE, blobs_of, dealt, discard, passing, row_keys, saved, small_batches
 
 _M1, _M2, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 #: Windows of one pass over a long document.
@@ -206,6 +206,21 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, part
     return blobs.groupBy("part").applyInPandas(met, "key long, at array<int>")
 
 
+def _cover(long_enough: DataFrame, length: int, unit: str, parts: int) -> DataFrame:
+    """(key, lo, hi, at): where repeated strings start in each text, as ranges and as positions."""
+    found = doubled(saved(anchors(long_enough, length, unit), "anchors"))
+    blocks = ["core", "b1", "b2"]
+    counted = saved(found.groupBy(*blocks).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("rep")), "blocks")
+    shared = counted.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
+    whole = found.join(counted.filter("n > 1").select(*blocks), blocks).select("key", "lo", "hi")
+    ranges = counted.join(shared, "core").select("rep.key", "rep.lo", "rep.hi", (F.col("n") > 1).cast("byte").alias("twice"))
+    single = saved(_positions(long_enough, ranges, length, unit, parts), "positions")
+
+    a = whole.groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    b = single.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return saved(a.join(b, "key", "full"), "cover")
+
+
 _OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
@@ -244,24 +259,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     carried = F.struct(*(F.col(c) for c in carry or [])) if carry else F.lit(None).cast("string")
     renamed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
-    keyed = renamed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "carried")
+    keyed = renamed.select("doc_id", row_keys(renamed, "doc_id", "text").alias("key"), "text", "carried")
     if unit not in ("bytes", "words"):
         raise ValueError(f"unit is bytes or words, not {unit}")
     long_enough = keyed.filter(F.octet_length("text") >= (length if unit == "bytes" else 2 * length - 1)).select("key", "text")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    found = doubled(saved(anchors(long_enough, length, unit), "anchors"))
-    blocks = ["core", "b1", "b2"]
-    counted = saved(found.groupBy(*blocks).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("rep")), "blocks")
-    shared = counted.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
-    whole = found.join(counted.filter("n > 1").select(*blocks), blocks).select("key", "lo", "hi")
-    ranges = counted.join(shared, "core").select("rep.key", "rep.lo", "rep.hi", (F.col("n") > 1).cast("byte").alias("twice"))
-    single = saved(_positions(long_enough, ranges, length, unit, parts), "positions")
-
-    a = whole.groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    b = single.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"))
-    cover = saved(a.join(b, "key", "full"), "cover")
-    discard(counted, single)
+    with passing() as keep:
+        cover = _cover(long_enough, length, unit, parts)
+        keep(cover)
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

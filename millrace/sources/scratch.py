@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,9 +60,35 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+#: Tables saved in the scopes that are open.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[Callable[..., None]]:
+    """Tables saved inside are discarded at the end, and on failure, but for those given to ``keep``, which it yields."""
+    made, kept = [], []
+    _scopes.append(made)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _scopes.pop()
+        for df in made:
+            if any(df is k for k in kept):
+                if _scopes:
+                    _scopes[-1].append(df)
+            else:
+                discard(df)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``saved`` that nothing reads any more."""
     for df in tables:

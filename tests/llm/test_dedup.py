@@ -7,6 +7,9 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from millrace.llm.common import row_keys
 from millrace.llm.components import components
 from millrace.llm.jaccard_join import Schemes, entries, jaccard_join, most_apart, shingle_sets
 from millrace.llm.suffix_dedup import shape, suffix_dedup
@@ -120,7 +123,7 @@ def linked(rows: list[tuple], k: int, per_cent: int) -> dict:
     return sorted(((d if d is not None else -1), len(sets[i]), best.get(find(i))) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("k, per_cent, seed", [(4, 85, 1), (5, 80, 2), (1, 70, 3)])
+@pytest.mark.parametrize("k, per_cent, seed", [(4, 85, 1), (5, 80, 2), (1, 70, 3), (2, 50, 4)])
 def test_jaccard_join_equals_brute_force(spark, k, per_cent, seed):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(400)]
@@ -172,6 +175,31 @@ def test_entries_meet_for_all_linked_sizes():
             assert len(np.intersect1d(x, y)) >= max(need_x, need_y, 1), (n, m)
 
 
+def test_small_sets_far_apart_in_size_meet(spark):
+    rows = [(1, "a b c"), (2, "a b c d e"), (3, "v w x y"), (4, "v w x y z u"), (5, "k"), (6, "k l")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), words=1, per_cent=50).collect())
+    assert got == linked(rows, 1, 50)
+
+
+def test_row_keys_differ_where_hashes_do_not(spark):
+    rows = [(i % 40, f"t{i % 60}") for i in range(240)] + [(None, None), (None, ""), (1, None)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    key = row_keys(df, "id", "t", first=lambda *c: F.pmod(F.xxhash64(*c), F.lit(9)))
+    found = {(r.id, r.t): r.k for r in df.select("id", "t", key.alias("k")).collect()}
+    assert len(set(found.values())) == len(set(rows))
+    plain = {(r.id, r.t): r.k for r in df.select("id", "t", row_keys(df, "id", "t").alias("k")).collect()}
+    assert len(set(plain.values())) == len(set(rows))
+
+
+def test_one_header_in_very_many_documents(spark):
+    """A passage after different text in most documents: found everywhere, with few rows of it in any one task."""
+    rng = random.Random(8)
+    header = "".join(rng.choice("abcdefgh ") for _ in range(420))
+    rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(30 + i % 7)) + header + "".join(rng.choice("qrstuv ") for _ in range(50))) for i in range(3000)]
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), keep_text=False).select("n_removed", "n_spans").distinct().collect()
+    assert [tuple(r) for r in got] == [(420, 1)]
+
+
 def test_shingles_of_few_words():
     sets = shingle_sets(["", "  ", "a", "a b", "a b c d", "A B C D", "a b c d e", "a b c d a b c d"], 4)
     assert [len(s) for s in sets] == [0, 0, 1, 1, 1, 1, 2, 4 + 0]

@@ -119,3 +119,14 @@ def test_release_deletes_what_was_saved(spark, tmp_path):
     assert kept.count() == 5 and os.path.exists(kept.saved_at)
     scratch.discard(kept)
     assert not os.path.exists(kept.saved_at)
+    with scratch.passing() as keep:
+        with scratch.passing() as keep_inner:
+            a, b = scratch.saved(spark.range(1), "a"), scratch.saved(spark.range(1), "b")
+            keep_inner(a, b)
+        keep(b)
+    assert not os.path.exists(a.saved_at) and os.path.exists(b.saved_at)
+    with pytest.raises(KeyError), scratch.passing() as keep:
+        c = scratch.saved(spark.range(1), "c")
+        keep(c)
+        raise KeyError
+    assert not os.path.exists(c.saved_at)
