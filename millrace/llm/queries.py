@@ -25,7 +25,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(read(spark, sf_dir, "documents"), keep_text=False)
+    return suffix_dedup(read(spark, sf_dir, "documents"), keep_text=False, passages=50)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def queries() -> dict:
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
-OP2 = """
+OP2 = r"""
 WITH d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
 p AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS k FROM d, range(0, n - 399) AS r(i) WHERE n >= 400),
 twice AS (SELECT k FROM p GROUP BY 1 HAVING count(*) > 1),
@@ -106,10 +106,14 @@ flag AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id ORDER BY a RO
 num AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS m FROM flag),
 span AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM num GROUP BY doc_id, m),
 edge AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
-part AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM edge JOIN d USING (doc_id) GROUP BY 1)
-SELECT d.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+part AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM edge JOIN d USING (doc_id) GROUP BY 1),
+dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 49], ' ')) AS k FROM dw, range(1, len(w) - 48) AS r(i) WHERE len(w) >= 50),
+again AS (SELECT k FROM win GROUP BY 1 HAVING count(*) > 1),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_passage_words FROM win, range(i, i + 50) AS r(j) WHERE k IN (FROM again) GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_passage_words, 0) AS n_passage_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
        sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
-FROM d LEFT JOIN part USING (doc_id)
+FROM d LEFT JOIN part USING (doc_id) LEFT JOIN words USING (doc_id)
 """
 
 OP3 = f"""

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, blobs_of, dealt, discard, passing, row_keys, saved, small_batches
+from .common import DEAL_BYTES, SPACE, blobs_of, dealt, discard, passing, row_keys, saved, small_batches
 
 _M1, _M2, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 #: Windows of one pass over a long document.
@@ -44,6 +44,12 @@ def shape(length: int, longest: int = 16) -> tuple[int, int, int]:
     return k, w, length - 2 * w - k + 2
 
 
+def plain_shape(length: int) -> tuple[int, int, int]:
+    """As ``shape``, with grams of at least half a string: few anchors, each ranked by its own gram, and no chain."""
+    k = 1 << (2 * length // 3).bit_length() - 1
+    return k, length - k + 1, 0
+
+
 class Powers:
     """Prefix sums that give the hash of any substring in constant time."""
 
@@ -113,34 +119,74 @@ def chosen(x: np.ndarray, k: int, w: int) -> np.ndarray:
 _ANCHORS = "key long, idx int, phrases int, lo int, hi int, rank long, core long, b1 long, b2 long"
 
 
-def _anchors(key: int, raw: bytes, length: int, unit: str, one: Powers, two: Powers) -> dict[str, np.ndarray] | None:
+def in_order(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair (a, b): how many equal ones there are, and how many of them stand before it."""
+    order = np.lexsort((b, a))
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(a)]
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    size, place = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+    size[order], place[order] = np.diff(np.append(first, len(a)))[group], np.arange(len(a)) - first[group]
+    return size, place
+
+
+def _rows(key: int, n: int, **cols: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of ``_ANCHORS``; columns that aren't given are 0."""
+    kinds = {c: np.int32 if kind == "int" else np.int64 for c, kind in (x.split() for x in _ANCHORS.split(", "))}
+    return {c: np.full(n, key, np.int64) if c == "key" else cols[c].astype(k) if c in cols else np.zeros(n, k) for c, k in kinds.items()}
+
+
+def _anchors(key: int, raw: bytes, length: int, unit: str, chained: bool, one: Powers, two: Powers) -> Iterator[dict[str, np.ndarray]]:
+    """A text's anchors, and ranges (``idx`` -2) of positions whose strings it holds twice itself.
+
+    Of a block that occurs more than twice in the text, as in endless repetitions, only the first two
+    are anchors for others to meet; the rest stays only where the chain of a kept anchor runs through.
+    """
     x, y = symbols(raw, unit, one, two)
     n = len(x)
     if n < length:
-        return None
-    k, w, reach = shape(length, _GRAM[unit])
+        return
+    k, w, reach = shape(length, _GRAM[unit]) if chained else plain_shape(length)
     sel = chosen(x, k, w)
     lo = np.flatnonzero(np.concatenate([[True], sel[1:] != sel[:-1]]))
     at = sel[lo]
     hi = np.minimum(np.append(lo[1:] - 1, len(sel) - 1), n - length)
-    # The last anchor has no phrase; those past the last string's reach are not needed.
-    m = min(len(at) - 1, int(np.searchsorted(at, at[hi >= lo][-1] + reach, "right")))
-    at, nxt, lo, hi = at[:m], at[1 : m + 1], lo[:m], hi[:m]
     s1, s2 = one.sums(x), two.sums(y)
-    own = hi >= lo
+    if chained:  # the last anchor has no phrase; those past the last string's reach are not needed
+        m = min(len(at) - 1, int(np.searchsorted(at, at[hi >= lo][-1] + reach, "right")))
+        at, nxt, lo, hi = at[:m], at[1 : m + 1], lo[:m], hi[:m]
+        rank, phrases = one.of(s1, at, nxt), np.searchsorted(np.append(at, nxt[-1]), at + reach, "right") - 1 - np.arange(m)
+    else:
+        m = int((hi >= lo).sum())
+        at, lo, hi = at[:m], lo[:m], hi[:m]
+        rank, phrases = one.of(s1, at, at + k), np.zeros(m, np.int64)
+    own = np.flatnonzero(hi >= lo)
     core, b1, b2 = (np.zeros(m, np.uint64) for _ in range(3))
     core[own] = one.of(s1, at[own], at[own] + length - w + 1)
     b1[own], b2[own] = one.of(s1, lo[own], hi[own] + length), two.of(s2, lo[own], hi[own] + length)
-    phrases = np.searchsorted(np.append(at, nxt[-1]), at + reach, "right") - 1 - np.arange(m)
-    cols = {"idx": np.arange(m), "phrases": phrases, "lo": lo, "hi": hi, "rank": one.of(s1, at, nxt).view(np.int64), "core": core.view(np.int64), "b1": b1.view(np.int64), "b2": b2.view(np.int64)}
-    return {"key": np.full(m, key, np.int64)} | {c: v.astype(np.int32) if c in ("idx", "phrases", "lo", "hi") else v for c, v in cols.items()}
 
-
-def anchors(keyed: DataFrame, length: int, unit: str) -> DataFrame:
+    size, place = in_order(b1[own], b2[own])
+    again, asks = own[size > 1], own[place < 2]
+    if len(again):
+        cut = np.flatnonzero(lo[again][1:] != hi[again][:-1] + 1) + 1
+        a, z = again[np.concatenate([[0], cut])], again[np.append(cut - 1, len(again) - 1)]
+        yield _rows(key, len(a), idx=np.full(len(a), -2), lo=lo[a], hi=hi[z])
+    kept = np.zeros(m + 1, np.int64)
+    np.add.at(kept, asks, 1)
+    np.add.at(kept, np.minimum(asks + phrases[asks] + 1, m), -1)
+    kept = np.flatnonzero(np.cumsum(kept)[:m] > 0)
+    only_chain = np.ones(m, bool)
+    only_chain[asks] = False
+    hi = np.where(only_chain, lo - 1, hi)
+    cols = {"idx": np.arange(m), "phrases": phrases, "lo": lo, "hi": hi} | {c: v.view(np.int64) for c, v in (("rank", rank), ("core", core), ("b1", b1), ("b2", b2))}
+    yield _rows(key, len(kept), **{c: v[kept] for c, v in cols.items()})
+
+
+def anchors(keyed: DataFrame, length: int, unit: str, chained: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = Powers(_M1), Powers(_M2)
         for b in batches:
-            parts = [p for key, text in zip(b["key"], b["text"]) if (p := _anchors(key, text.encode(), length, unit, one, two))]
+            parts = [p for key, text in zip(b["key"], b["text"]) for p in _anchors(key, text.encode(), length, unit, chained, one, two)]
             if parts:
                 yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
 
@@ -152,10 +198,11 @@ def doubled(rows: DataFrame) -> DataFrame:
 
     ``rows`` is a saved table, and is deleted once its repeated part is saved.
     """
-    spark, out, step = rows.sparkSession, None, 1
-    pairs = rows.withColumn("next", F.lit(0).cast("long"))
+    out, step = None, 1
+    pairs = rows.filter("idx >= 0").withColumn("next", F.lit(0).cast("long"))
     while True:
-        named = saved(pairs.groupBy("rank", "next").count().filter("count > 1").select("rank", "next").orderBy("rank", "next").withColumn("name", F.monotonically_increasing_id()), "ranks")
+        twice = pairs.groupBy("rank", "next").count().filter("count > 1").select("rank", "next")
+        named = saved(twice.sortWithinPartitions("rank", "next").withColumn("name", F.monotonically_increasing_id()), "ranks")
         pairs = saved(pairs.join(named, ["rank", "next"]).select(*(F.col("name").alias("rank") if c == "rank" else F.col(c) for c in rows.columns)), "repeated")
         discard(named, *([rows] if step == 1 else []))
         done = pairs.filter((F.col("phrases") < 2 * step) & (F.col("hi") >= F.col("lo")))
@@ -167,10 +214,39 @@ def doubled(rows: DataFrame) -> DataFrame:
         step *= 2
 
 
+def runs_of(arrays: Iterator[dict[str, np.ndarray]], size: int) -> Iterator[dict[str, np.ndarray]]:
+    """Parallel arrays put together up to about ``size`` bytes at once."""
+    held, n = [], 0
+    for x in arrays:
+        held.append(x)
+        n += sum(v.nbytes for v in x.values())
+        if n > size:
+            yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            held, n = [], 0
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+
+def weighed(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each string, weight of each group): equal strings form a group; one that is known to occur twice weighs 2."""
+    order = np.lexsort((x["h2"], x["h1"]))
+    h1, h2 = x["h1"][order], x["h2"][order]
+    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(order)]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, np.bincount(group, weights=1 + x["twice"]) if len(order) else np.zeros(0)
+
+
+def spread(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) ^ np.uint64(_MIX)) * np.uint64(_M1)
+
+
 def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, parts: int) -> DataFrame:
     """(key, at): the positions inside ``ranges`` whose string of ``length`` symbols occurs twice among them.
 
-    Ranges of blocks that are known to be repeated count twice and are not returned.
+    Ranges of blocks that are known to be repeated count twice and are not returned. A task sends one of
+    the equal strings of each few megabytes that it makes, and says that there are several, so that a
+    string that very many texts share does not gather in one task.
     """
     asked = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "twice")).alias("ranges"))
     texts = keyed.join(asked, "key").select("key", "text", "ranges.lo", "ranges.hi", "ranges.twice")
@@ -187,18 +263,24 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, part
                     flags = np.repeat(np.asarray(twice, np.uint8), np.asarray(his) - np.asarray(los) + 1)
                     yield {"h1": one.of(s1, at, at + length), "h2": two.of(s2, at, at + length).astype(np.uint32), "key": np.full(len(at), key, np.int64), "at": at.astype(np.int32), "twice": flags}
 
-        yield from dealt(strings(), "h1", parts)
+        for x in runs_of(strings(), 4 * DEAL_BYTES):
+            group, weight = weighed(x)
+            known = weight[group] > 1
+            hit = known & (x["twice"] == 0)
+            own = {c: v[hit] for c, v in x.items()}
+            own["h1"] = spread(own["key"])
+            yield from dealt([own], "h1", parts, kind=1)
+            _, first = np.unique(group, return_index=True)
+            yield from dealt([{c: v[first] for c, v in x.items()} | {"twice": known[first].astype(np.uint8)}], "h1", parts)
 
     def met(part: pd.DataFrame) -> pd.DataFrame:
-        x = blobs_of(part, {"h1": np.uint64, "h2": np.uint32, "key": np.int64, "at": np.int32, "twice": np.uint8})
-        order = np.lexsort((x["h2"], x["h1"]))
-        x = {c: v[order] for c, v in x.items()}
-        new = np.concatenate([[True], (x["h1"][1:] != x["h1"][:-1]) | (x["h2"][1:] != x["h2"][:-1])])
-        group = np.cumsum(new) - 1
-        weight = np.bincount(group, weights=1 + x["twice"])
+        kinds = {"h1": np.uint64, "h2": np.uint32, "key": np.int64, "at": np.int32, "twice": np.uint8}
+        known, x = blobs_of(part[part["kind"] == 1], kinds), blobs_of(part[part["kind"] == 0], kinds)
+        group, weight = weighed(x)
         hit = (weight[group] > 1) & (x["twice"] == 0)
-        by = np.lexsort((x["at"][hit], x["key"][hit]))
-        key, at = x["key"][hit][by], x["at"][hit][by]
+        key, at = np.concatenate([known["key"], x["key"][hit]]), np.concatenate([known["at"], x["at"][hit]])
+        by = np.lexsort((at, key))
+        key, at = key[by], at[by]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
         return pd.DataFrame({"key": key[cut], "at": pd.Series(np.split(at, cut[1:]) if len(cut) else [], dtype=object)})
 
@@ -206,13 +288,15 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, part
     return blobs.groupBy("part").applyInPandas(met, "key long, at array<int>")
 
 
-def _cover(long_enough: DataFrame, length: int, unit: str, parts: int) -> DataFrame:
+def _cover(long_enough: DataFrame, length: int, unit: str, parts: int, chained: bool = True) -> DataFrame:
     """(key, lo, hi, at): where repeated strings start in each text, as ranges and as positions."""
-    found = doubled(saved(anchors(long_enough, length, unit), "anchors"))
+    rows = saved(anchors(long_enough, length, unit, chained), "anchors")
+    known = saved(rows.filter("idx = -2").select("key", "lo", "hi"), "known")
+    found = doubled(rows)
     blocks = ["core", "b1", "b2"]
     counted = saved(found.groupBy(*blocks).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("rep")), "blocks")
     shared = counted.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
-    whole = found.join(counted.filter("n > 1").select(*blocks), blocks).select("key", "lo", "hi")
+    whole = found.join(counted.filter("n > 1").select(*blocks), blocks).select("key", "lo", "hi").unionAll(known)
     ranges = counted.join(shared, "core").select("rep.key", "rep.lo", "rep.hi", (F.col("n") > 1).cast("byte").alias("twice"))
     single = saved(_positions(long_enough, ranges, length, unit, parts), "positions")
 
@@ -221,6 +305,17 @@ def _cover(long_enough: DataFrame, length: int, unit: str, parts: int) -> DataFr
     return saved(a.join(b, "key", "full"), "cover")
 
 
+def _covered(lo, hi, at, length: int) -> int:
+    """Symbols inside strings of ``length`` that start in the ranges and at the positions given."""
+    pairs = [(a, z) for a, z in ((lo, hi), (at, at)) if a is not None and len(a)]
+    if not pairs:
+        return 0
+    start, end = (np.concatenate([np.asarray(p[i], np.int64) for p in pairs]) for i in (0, 1))
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order] + length)
+    return int((end - np.maximum(start, np.concatenate([[0], end[:-1]]))).clip(0).sum())
+
+
 _OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
@@ -242,14 +337,18 @@ def _cut(text: str, lo, hi, at, length: int, unit: str, keep_text: bool) -> tupl
     return n, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = True, carry: list[str] | None = None, unit: str = "bytes") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = True, carry: list[str] | None = None, unit: str = "bytes", passages: int | None = None) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     With ``unit="words"`` the strings are ``length`` words between ASCII white space; how much of it
     stands between two words does not matter, and that between removed words goes with them.
 
+    With ``passages``, a number of words, n_passage_words counts a text's words that stand inside a run
+    of so many words that also starts anywhere else, whatever ``length`` is. They are found in the
+    same way, but anchors are fewer and ranked by long grams, which need no doubling.
+
     Returns a row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
-    ``keep_text``, kept: the remaining text without characters that were cut in part; and the columns
+    ``passages``, n_passage_words, with ``keep_text``, kept: the remaining text without characters that were cut in part; and the columns
     named in ``carry``, as they are. A null text is
     empty; texts shorter than ``length`` stay whole. A text that goes in full is left as an empty one, and its row stays. Repeated rows are documents of their own, so
     long ones repeat each other and go; rows of one id and other texts are told apart. A task's
@@ -262,11 +361,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = renamed.select("doc_id", row_keys(renamed, "doc_id", "text").alias("key"), "text", "carried")
     if unit not in ("bytes", "words"):
         raise ValueError(f"unit is bytes or words, not {unit}")
-    long_enough = keyed.filter(F.octet_length("text") >= (length if unit == "bytes" else 2 * length - 1)).select("key", "text")
+    enough = lambda n, unit: keyed.filter(F.octet_length("text") >= (n if unit == "bytes" else 2 * n - 1)).select("key", "text")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     with passing() as keep:
-        cover = _cover(long_enough, length, unit, parts)
+        cover = _cover(enough(length, unit), length, unit, parts)
+        if passages:
+            other = _cover(enough(passages, "words"), passages, "words", parts, chained=False)
+            cover = saved(cover.join(other.select("key", *(F.col(c).alias(f"w_{c}") for c in ("lo", "hi", "at"))), "key", "full"), "covers")
         keep(cover)
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
@@ -274,10 +375,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for x in batches:
             rows = [_cut(*r, length, unit, keep_text) for r in zip(x["text"], x["lo"], x["hi"], x["at"])]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
+            if passages:
+                out.insert(4, "n_passage_words", [_covered(*r, passages) for r in zip(x["w_lo"], x["w_hi"], x["w_at"])])
             out.insert(0, "doc_id", x["doc_id"].astype(object).where(x["doc_id"].notna(), None).to_numpy())
             yield out.assign(carried=x["carried"].to_numpy())
 
-    joined = keyed.join(cover, "key", "left").select("doc_id", "text", "lo", "hi", "at", "carried")
-    out = joined.mapInPandas(run, f"doc_id {kind}, {_OUT}, carried {keyed.schema['carried'].dataType.simpleString()}")
-    names = [c.split()[0] for c in _OUT.split(", ")[: 5 if keep_text else 4]]
+    more = ["w_lo", "w_hi", "w_at"] if passages else []
+    joined = keyed.join(cover, "key", "left").select("doc_id", "text", "lo", "hi", "at", *more, "carried")
+    schema = _OUT.replace(", kept string", ", n_passage_words long, kept string") if passages else _OUT
+    out = joined.mapInPandas(run, f"doc_id {kind}, {schema}, carried {keyed.schema['carried'].dataType.simpleString()}")
+    names = [c.split()[0] for c in schema.split(", ")[: None if keep_text else -1]]
     return out.select("doc_id", *names, *(F.col(f"carried.{c}") for c in carry or []))

@@ -36,7 +36,7 @@ def test_suffix_dedup_equals_brute_force(spark, length):
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 6)))
     passages = [" ".join(word() for _ in range(rng.randint(3, 60))) for _ in range(12)]
     texts = [" ".join(rng.choice([*passages, word(), word(), word(), word()]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
-    texts += ["a" * 300, "a" * 41, "ab" * 100, "xyz " * 90 + "end", "", texts[3], "q" * (length - 1), "z" * length, "y" * (length + 1)]
+    texts += ["a" * 300, "a" * 41, "ab" * 100, "tail" + "ab" * 60, "abc" * 200 + "end" + "abc" * 90, "xyz " * 90 + "end", "", texts[3], "q" * (length - 1), "z" * length, "y" * (length + 1)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup(df, "id", "body", length, keep_text=False).collect()}
     for i, want in enumerate(removed(texts, length)):
@@ -195,9 +195,26 @@ def test_one_header_in_very_many_documents(spark):
     """A passage after different text in most documents: found everywhere, with few rows of it in any one task."""
     rng = random.Random(8)
     header = "".join(rng.choice("abcdefgh ") for _ in range(420))
-    rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(30 + i % 7)) + header + "".join(rng.choice("qrstuv ") for _ in range(50))) for i in range(3000)]
-    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), keep_text=False).select("n_removed", "n_spans").distinct().collect()
-    assert [tuple(r) for r in got] == [(420, 1)]
+    rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(30 + i % 7)) + header + "".join(rng.choice("qrstuv ") for _ in range(50))) for i in range(500)]
+    got = sorted(tuple(r)[:5] for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), keep_text=False).collect())
+    assert got == [(i, *want) for i, want in enumerate(removed([t for _, t in rows], 400))]
+
+
+def test_words_in_repeated_passages(spark):
+    """Beside what is removed, the words of shorter passages are counted, in texts of any length."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passages = [own(rng.randint(50, 55)) for _ in range(15)]
+    rows = [f"{own(rng.randint(0, 60))}\n{passages[i % 15]} {own(rng.randint(0, 60))}" for i in range(30)]
+    repeats = own(60)
+    rows += [own(400), f"{repeats} {own(3)} {repeats}", own(49), None, "", passages[0].rsplit(" ", 25)[0], "z " * 50, "y " * 51, "x " * 3000, "v w " * 900 + own(70)]
+    got = suffix_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), keep_text=False, passages=50).collect()
+    words = [(t or "").split() for t in rows]
+    seen = Counter(tuple(w[i : i + 50]) for w in words for i in range(len(w) - 49))
+    want = [len({j for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}) for w in words]
+    assert [r.n_passage_words for r in sorted(got)] == want and sum(map(bool, want)) == 34
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(got)] == removed([t or "" for t in rows], 400)
 
 
 def test_shingles_of_few_words():
