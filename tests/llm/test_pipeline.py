@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import os
+import random
+import re
+from collections import Counter
 
 import duckdb
+import public_tokenizers
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -92,6 +96,54 @@ def test_repeated_spans_takes_short_passages_whole(spark):
     assert got == {i: t.replace(passages[i % 2], "") for i, t in rows} | dict(clean)
 
 
+def test_run_equals_brute_force(spark, tmp_path):
+    """The whole pipeline on a made corpus, each stage against plain Python."""
+    import corpus_pipeline as P
+    from test_dedup import linked
+    from test_filters import contaminated
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    bad, passages, items = ["grukzor", "blathix", "vermok"], [text(55) for _ in range(4)], [text(14) for _ in range(5)]
+    texts, toxic = [], set()
+    for i in range(420):
+        words = text(rng.randint(25, 70)).split(" ")
+        if i % 4 == 0:
+            toxic.add(i)
+            for _ in range(5):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        texts.append(" ".join(words))
+    for i in (401, 402, 403):
+        texts[i] = texts[i - 8] + " " + word()  # near copies
+    texts[405] = texts[406]
+    for i in (301, 302, 303, 305, 306):
+        texts[i] = f"{texts[i]}\n{passages[i % 4]}\n{text(20)}"
+    for i in (309, 310):
+        texts[i] = f"{texts[i]} {items[i % 5]} {text(9)}"
+    rows = list(enumerate(texts))
+    made(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [(i, t) for i, t in rows if i not in toxic]
+    left = [(i, t) for (i, t), (d, _, root) in zip(left, linked(left, 5, 80)) if d == i == root]
+    found = [list(re.finditer(r"\S+", t)) for _, t in left]
+    seen = Counter(tuple(m[0] for m in w[i : i + 50]) for w in found for i in range(len(w) - 49))
+    cut = []
+    for (i, t), w in zip(left, found):
+        spans = [(w[k].start(), w[k + 49].end()) for k in range(len(w) - 49) if seen[tuple(m[0] for m in w[k : k + 50])] > 1]
+        cut.append((i, "".join(c for at, c in enumerate(t) if not any(a <= at < z for a, z in spans))))
+    assert sum(a != b for a, b in zip(left, cut)) == 4
+    dirty = {r[0] for r in contaminated(cut, list(enumerate(items))) if r[-1]}
+    assert dirty == {309, 310}
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in cut if i not in dirty}
+    got = P.run(spark, str(tmp_path)).groupBy("doc_id", "doc_tokens").agg(P.F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == want and all(r.n == r.doc_tokens for r in got)
+
+
 STRANGE = [
     (None, None), (1, None), (2, ""), (3, " \n\t "), (4, words("k")), (4, words("k")), (4, words("m")), (None, words("n")), (5, "w" * 70_000), (6, words("v", 30_000)),
 ]
