@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: List changes up to which the intervals (under 200 bytes each) are broadcast; beyond, they are shuffled.
-BROADCAST_CHANGES = 200_000
+#: List changes up to which the intervals are broadcast; beyond, they are shuffled. A change stands in
+#: every bucket that it is active in, a dozen a year, with under 200 bytes each.
+BROADCAST_CHANGES = 10_000
 #: Days of one time bucket of the as-of join.
 BUCKET_DAYS = 32
 
