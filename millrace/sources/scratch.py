@@ -65,6 +65,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def saved_apart(df: DataFrame, name: str, by: str, values: list) -> list[DataFrame]:
+    """As ``saved``, in one pass, but a table of its own, without the column ``by``, for each of its few values."""
+    spark, path, key = df.sparkSession, place(df.sparkSession, name), "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(len(values)))  # so that rows need not be sorted by value
+    try:
+        df.write.partitionBy(by).parquet(path)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    out, schema = [], df.drop(by).schema
+    for v in values:
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={v}")
+        there = own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+        part = spark.read.schema(schema).parquet(f"{path}/{by}={v}") if there else spark.createDataFrame([], schema)
+        part.saved_at = f"{path}/{by}={v}"
+        if _scopes:
+            _scopes[-1].append(part)
+        out.append(part)
+    return out
+
+
 #: Tables saved in the scopes that are open.
 _scopes: list[list[DataFrame]] = []
 
