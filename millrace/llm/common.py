@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import discard, passing, release, saved, shared_dir
+from ..sources.scratch import discard, passing, release, saved, saved_apart, shared_dir
 
-__all__ = ["discard", "passing", "release", "saved", "shared_dir"]
+__all__ = ["discard", "passing", "release", "saved", "saved_apart", "shared_dir"]
 
 #: ASCII white space, as the word definitions of operators 4 and 9 take it.
 SPACE = " \t\n\x0b\x0c\r"

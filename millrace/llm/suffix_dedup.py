@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DEAL_BYTES, SPACE, blobs_of, dealt, discard, passing, row_keys, saved, small_batches
+from .common import DEAL_BYTES, SPACE, blobs_of, dealt, discard, passing, row_keys, saved, saved_apart, small_batches
 
 _M1, _M2, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 #: Windows of one pass over a long document.
@@ -45,8 +46,8 @@ def shape(length: int, longest: int = 16) -> tuple[int, int, int]:
 
 
 def plain_shape(length: int) -> tuple[int, int, int]:
-    """As ``shape``, with grams of at least half a string: few anchors, each ranked by its own gram, and no chain."""
-    k = 1 << (2 * length // 3).bit_length() - 1
+    """As ``shape``, with grams of a sixth to a third of a string: few anchors, each ranked by its own gram, and no chain."""
+    k = 1 << max(length // 3, 1).bit_length() - 1
     return k, length - k + 1, 0
 
 
@@ -86,13 +87,24 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
 
 
-def symbols(raw: bytes, unit: str, one: Powers, two: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of a text, twice; words are told apart by another hash each time."""
+@dataclass
+class Symbols:
+    """A text's symbols and their prefix sums for both hashes; words are told apart by another hash for each."""
+
+    x: np.ndarray
+    s1: np.ndarray
+    s2: np.ndarray
+
+
+def symbols(raw: bytes, units: list[str], one: Powers, two: Powers) -> dict[str, Symbols]:
+    """The symbols of a text for each unit."""
     x = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
-    if unit == "bytes":
-        return x, x
-    start, end = word_bounds(raw)
-    return one.of(one.sums(x), start, end), two.of(two.sums(x), start, end)
+    out = {"bytes": Symbols(x, one.sums(x), two.sums(x))}
+    if "words" in units:
+        start, end = word_bounds(raw)
+        words = one.of(out["bytes"].s1, start, end)
+        out["words"] = Symbols(words, one.sums(words), two.sums(two.of(out["bytes"].s2, start, end)))
+    return out
 
 
 def chosen(x: np.ndarray, k: int, w: int) -> np.ndarray:
@@ -136,13 +148,13 @@ def _rows(key: int, n: int, **cols: np.ndarray) -> dict[str, np.ndarray]:
     return {c: np.full(n, key, np.int64) if c == "key" else cols[c].astype(k) if c in cols else np.zeros(n, k) for c, k in kinds.items()}
 
 
-def _anchors(key: int, raw: bytes, length: int, unit: str, chained: bool, one: Powers, two: Powers) -> Iterator[dict[str, np.ndarray]]:
+def _anchors(key: int, text: Symbols, length: int, unit: str, chained: bool, one: Powers, two: Powers) -> Iterator[dict[str, np.ndarray]]:
     """A text's anchors, and ranges (``idx`` -2) of positions whose strings it holds twice itself.
 
     Of a block that occurs more than twice in the text, as in endless repetitions, only the first two
     are anchors for others to meet; the rest stays only where the chain of a kept anchor runs through.
     """
-    x, y = symbols(raw, unit, one, two)
+    x, s1, s2 = text.x, text.s1, text.s2
     n = len(x)
     if n < length:
         return
@@ -151,7 +163,6 @@ def _anchors(key: int, raw: bytes, length: int, unit: str, chained: bool, one: P
     lo = np.flatnonzero(np.concatenate([[True], sel[1:] != sel[:-1]]))
     at = sel[lo]
     hi = np.minimum(np.append(lo[1:] - 1, len(sel) - 1), n - length)
-    s1, s2 = one.sums(x), two.sums(y)
     if chained:  # the last anchor has no phrase; those past the last string's reach are not needed
         m = min(len(at) - 1, int(np.searchsorted(at, at[hi >= lo][-1] + reach, "right")))
         at, nxt, lo, hi = at[:m], at[1 : m + 1], lo[:m], hi[:m]
@@ -182,15 +193,22 @@ def _anchors(key: int, raw: bytes, length: int, unit: str, chained: bool, one: P
     yield _rows(key, len(kept), **{c: v[kept] for c, v in cols.items()})
 
 
-def anchors(keyed: DataFrame, length: int, unit: str, chained: bool) -> DataFrame:
+def anchors(keyed: DataFrame, asked: list[tuple[int, str, bool]]) -> DataFrame:
+    """Anchors for each of some lengths, each with its unit and whether anchors are chained; ``part`` says which."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = Powers(_M1), Powers(_M2)
         for b in batches:
-            parts = [p for key, text in zip(b["key"], b["text"]) for p in _anchors(key, text.encode(), length, unit, chained, one, two)]
-            if parts:
-                yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+            parts = [[] for _ in asked]
+            for key, text in zip(b["key"], b["text"]):
+                found = symbols(text.encode(), [unit for _, unit, _ in asked], one, two)
+                for part, (length, unit, chained) in zip(parts, asked):
+                    part += _anchors(key, found[unit], length, unit, chained, one, two)
+            for i, part in enumerate(parts):
+                if part:
+                    yield pd.DataFrame({c: np.concatenate([p[c] for p in part]) for c in part[0]}).assign(part=i)
 
-    return keyed.mapInPandas(run, _ANCHORS)
+    return keyed.mapInPandas(run, f"{_ANCHORS}, part int")
 
 
 def doubled(rows: DataFrame) -> DataFrame:
@@ -257,8 +275,8 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, part
         def strings() -> Iterator[dict[str, np.ndarray]]:
             for b in batches:
                 for key, text, los, his, twice in zip(*(b[c] for c in ("key", "text", "lo", "hi", "twice"))):
-                    x, y = symbols(text.encode(), unit, one, two)
-                    s1, s2 = one.sums(x), two.sums(y)
+                    own = symbols(text.encode(), [unit], one, two)[unit]
+                    s1, s2 = own.s1, own.s2
                     at = np.concatenate([np.arange(a, z + 1) for a, z in zip(los, his)])
                     flags = np.repeat(np.asarray(twice, np.uint8), np.asarray(his) - np.asarray(los) + 1)
                     yield {"h1": one.of(s1, at, at + length), "h2": two.of(s2, at, at + length).astype(np.uint32), "key": np.full(len(at), key, np.int64), "at": at.astype(np.int32), "twice": flags}
@@ -268,7 +286,7 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, part
             known = weight[group] > 1
             hit = known & (x["twice"] == 0)
             own = {c: v[hit] for c, v in x.items()}
-            own["h1"] = spread(own["key"])
+            own["h1"] = np.full(len(own["key"]), spread(own["key"][:1])[0] if hit.any() else 0, np.uint64)  # to any one part
             yield from dealt([own], "h1", parts, kind=1)
             _, first = np.unique(group, return_index=True)
             yield from dealt([{c: v[first] for c, v in x.items()} | {"twice": known[first].astype(np.uint8)}], "h1", parts)
@@ -288,9 +306,8 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, part
     return blobs.groupBy("part").applyInPandas(met, "key long, at array<int>")
 
 
-def _cover(long_enough: DataFrame, length: int, unit: str, parts: int, chained: bool = True) -> DataFrame:
-    """(key, lo, hi, at): where repeated strings start in each text, as ranges and as positions."""
-    rows = saved(anchors(long_enough, length, unit, chained), "anchors")
+def _cover(long_enough: DataFrame, rows: DataFrame, length: int, unit: str, parts: int) -> DataFrame:
+    """(key, lo, hi, at): where repeated strings start in each text, as ranges and as positions. ``rows`` are the anchors, a saved table."""
     known = saved(rows.filter("idx = -2").select("key", "lo", "hi"), "known")
     found = doubled(rows)
     blocks = ["core", "b1", "b2"]
@@ -345,7 +362,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     With ``passages``, a number of words, n_passage_words counts a text's words that stand inside a run
     of so many words that also starts anywhere else, whatever ``length`` is. They are found in the
-    same way, but anchors are fewer and ranked by long grams, which need no doubling.
+    same way, but anchors are fewer and ranked by grams, without doubling.
 
     Returns a row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
     ``passages``, n_passage_words, with ``keep_text``, kept: the remaining text without characters that were cut in part; and the columns
@@ -362,12 +379,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if unit not in ("bytes", "words"):
         raise ValueError(f"unit is bytes or words, not {unit}")
     enough = lambda n, unit: keyed.filter(F.octet_length("text") >= (n if unit == "bytes" else 2 * n - 1)).select("key", "text")
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = [(length, unit, True), *([(passages, "words", False)] if passages else [])]
+    least = min(n if u == "bytes" else 2 * n - 1 for n, u, _ in asked)
+    texts = keyed.filter(F.octet_length("text") >= least).select("key", "text")
     with passing() as keep:
-        cover = _cover(enough(length, unit), length, unit, parts)
+        tables = saved_apart(anchors(texts, asked), "anchors", "part", list(range(len(asked))))
+        covers = [_cover(enough(n, u), rows, n, u, parts) for (n, u, _), rows in list(zip(asked, tables))[::-1]][::-1]
+        cover = covers[0]
         if passages:
-            other = _cover(enough(passages, "words"), passages, "words", parts, chained=False)
-            cover = saved(cover.join(other.select("key", *(F.col(c).alias(f"w_{c}") for c in ("lo", "hi", "at"))), "key", "full"), "covers")
+            cover = saved(cover.join(covers[1].select("key", *(F.col(c).alias(f"w_{c}") for c in ("lo", "hi", "at"))), "key", "full"), "covers")
         keep(cover)
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
