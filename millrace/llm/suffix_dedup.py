@@ -176,21 +176,25 @@ def _anchors(key: int, text: Symbols, length: int, unit: str, chained: bool, one
     core[own] = one.of(s1, at[own], at[own] + length - w + 1)
     b1[own], b2[own] = one.of(s1, lo[own], hi[own] + length), two.of(s2, lo[own], hi[own] + length)
 
-    size, place = in_order(b1[own], b2[own])
-    again, asks = own[size > 1], own[place < 2]
+    if len(np.unique(b1[own])) == len(own):  # as in most texts
+        again, asks = own[:0], own
+    else:
+        size, place = in_order(b1[own], b2[own])
+        again, asks = own[size > 1], own[place < 2]
     if len(again):
         cut = np.flatnonzero(lo[again][1:] != hi[again][:-1] + 1) + 1
         a, z = again[np.concatenate([[0], cut])], again[np.append(cut - 1, len(again) - 1)]
         yield _rows(key, len(a), idx=np.full(len(a), -2), lo=lo[a], hi=hi[z])
-    kept = np.zeros(m + 1, np.int64)
-    np.add.at(kept, asks, 1)
-    np.add.at(kept, np.minimum(asks + phrases[asks] + 1, m), -1)
-    kept = np.flatnonzero(np.cumsum(kept)[:m] > 0)
-    only_chain = np.ones(m, bool)
-    only_chain[asks] = False
-    hi = np.where(only_chain, lo - 1, hi)
-    cols = {"idx": np.arange(m), "phrases": phrases, "lo": lo, "hi": hi} | {c: v.view(np.int64) for c, v in (("rank", rank), ("core", core), ("b1", b1), ("b2", b2))}
-    yield _rows(key, len(kept), **{c: v[kept] for c, v in cols.items()})
+    kept = slice(None)
+    if len(again):
+        turns = np.bincount(asks, minlength=m + 1) - np.bincount(np.minimum(asks + phrases[asks] + 1, m), minlength=m + 1)
+        kept = np.flatnonzero(np.cumsum(turns)[:m] > 0)
+        only_chain = np.ones(m, bool)
+        only_chain[asks] = False
+        hi = np.where(only_chain, lo - 1, hi)
+        m = len(kept)
+    cols = {"idx": np.arange(len(at)), "phrases": phrases, "lo": lo, "hi": hi} | {c: v.view(np.int64) for c, v in (("rank", rank), ("core", core), ("b1", b1), ("b2", b2))}
+    yield _rows(key, m, **{c: v[kept] for c, v in cols.items()})
 
 
 def anchors(keyed: DataFrame, asked: list[tuple[int, str, bool]]) -> DataFrame:
@@ -260,7 +264,7 @@ def spread(key: np.ndarray) -> np.ndarray:
 
 
 def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, parts: int) -> DataFrame:
-    """(key, at): the positions inside ``ranges`` whose string of ``length`` symbols occurs twice among them.
+    """(key, at): for each text, the positions inside ``ranges`` whose string of ``length`` symbols occurs twice among them.
 
     Ranges of blocks that are known to be repeated count twice and are not returned. A task sends one of
     the equal strings of each few megabytes that it makes, and says that there are several, so that a
@@ -297,13 +301,19 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, part
         group, weight = weighed(x)
         hit = (weight[group] > 1) & (x["twice"] == 0)
         key, at = np.concatenate([known["key"], x["key"][hit]]), np.concatenate([known["at"], x["at"][hit]])
-        by = np.lexsort((at, key))
-        key, at = key[by], at[by]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
-        return pd.DataFrame({"key": key[cut], "at": pd.Series(np.split(at, cut[1:]) if len(cut) else [], dtype=object)})
+        rows = list(dealt([{"key": key, "at": at, "to": spread(key)}], "to", parts))
+        return pd.concat(rows)[["part", "key", "at"]] if rows else pd.DataFrame({c: pd.Series([], dtype=k) for c, k in (("part", np.int32), ("key", object), ("at", object))})
+
+    def by_text(part: pd.DataFrame) -> pd.DataFrame:
+        x = blobs_of(part, {"key": np.int64, "at": np.int32})
+        order = np.lexsort((x["at"], x["key"]))
+        key, at = x["key"][order], x["at"][order]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return pd.DataFrame({"key": key[cut], "at": pd.Series(np.split(at, cut[1:]), dtype=object)})
 
     blobs = texts.mapInPandas(hashed, "kind tinyint, part int, h1 binary, h2 binary, key binary, at binary, twice binary")
-    return blobs.groupBy("part").applyInPandas(met, "key long, at array<int>")
+    hits = blobs.groupBy("part").applyInPandas(met, "part int, key binary, at binary")
+    return hits.groupBy("part").applyInPandas(by_text, "key long, at array<int>")
 
 
 def _cover(long_enough: DataFrame, rows: DataFrame, length: int, unit: str, parts: int) -> DataFrame:
@@ -318,8 +328,7 @@ def _cover(long_enough: DataFrame, rows: DataFrame, length: int, unit: str, part
     single = saved(_positions(long_enough, ranges, length, unit, parts), "positions")
 
     a = whole.groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    b = single.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"))
-    return saved(a.join(b, "key", "full"), "cover")
+    return saved(a.join(single, "key", "full"), "cover")
 
 
 def _covered(lo, hi, at, length: int) -> int:
