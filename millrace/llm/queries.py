@@ -10,12 +10,14 @@ from .chat_format import chat_digest, chat_examples
 from .common import read
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
-from . import quality_model, toxicity
+from . import languages, quality_model, toxicity
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .url_filter import url_filter
+from .vector_codes import vector_codes
 
 #: The conversation that the contract adds: it holds the template's own control strings.
 PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -88,6 +90,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, url_list(pages))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings")).table
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.col("conv").cast("string")) % 4
+    return prefix_trie(read(spark, sf_dir, "conversations"), every=20, heads=heads, longest=3)
+
+
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), _remainder(5) == 0
+    return languages.predicted(docs, languages.fit(docs, ~held_out), extra={"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score", "languages", "shares")
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -202,5 +218,47 @@ FROM m GROUP BY page_id, url, fetched, host
 """
 
 
+_FAR = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+OP11 = (
+    """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, q[part * len(q) // 4 + 1:(part + 1) * len(q) // 4] AS x FROM v, range(4) AS r(part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p QUALIFY e < 256)"""
+    + "".join(
+        f""",
+n{i} AS MATERIALIZED (SELECT p.vec_id, p.part, min({{'d': {_FAR}, 'e': b.e}}) AS m FROM p JOIN b{i} AS b USING (part) GROUP BY 1, 2),
+s{i} AS (SELECT part, e, list(c ORDER BY j) AS x FROM (SELECT part, e, j, CAST(floor(sum(c) / count(*)) AS BIGINT) AS c
+         FROM (SELECT part, m.e AS e, unnest(x) AS c, generate_subscripts(x, 1) AS j FROM p JOIN n{i} USING (vec_id, part)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(s.x, b.x) AS x FROM b{i} AS b LEFT JOIN s{i} AS s USING (part, e))"""
+        for i in range(4)
+    )
+    + f""",
+n4 AS (SELECT p.vec_id, p.label, p.part, min({{'d': {_FAR}, 'e': b.e}}) AS m FROM p JOIN b4 AS b USING (part) GROUP BY 1, 2, 3),
+c AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM n4 GROUP BY 1, 2),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, books
+"""
+)
+
+_BITS = "list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))"
+_CRC = f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda s, b: {_BITS}))"
+OP12 = rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role[:64], text[:64], key) AS i, key, len(regexp_extract_all(text, '[^ 	-]+')) AS words
+           FROM (SELECT *, sha256(length(role) || ':' || role || text) AS key FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))),
+k AS (SELECT c, count(*) AS n, {_CRC} % 4 AS h, c - c % 20 AS base FROM t GROUP BY c),
+g AS (SELECT k.c, k.h, k.base, least(k.h, coalesce(b.n, 0)) AS given FROM k LEFT JOIN k AS b ON b.c = k.base),
+r AS (SELECT c, i - h + given AS i, key, words FROM t JOIN g USING (c) WHERE i > h UNION ALL SELECT g.c, i, key, words FROM g JOIN t ON t.c = g.base AND i <= given),
+m AS (SELECT c, i AS d, string_agg(key, '') OVER (PARTITION BY c ORDER BY i) AS p, words FROM r UNION ALL SELECT c, 0, '', 0 FROM k),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM m GROUP BY 1, 2),
+kids AS (SELECT left(p, 64 * (d - 1)) AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+w AS (SELECT n.*, n_children FROM n LEFT JOIN kids USING (p)),
+sub AS (SELECT left(p, 64 * a) AS p, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM w, range(0, d + 1) AS x(a) GROUP BY 1),
+ends AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(p, d) AS p FROM m GROUP BY c) GROUP BY p)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, w.n_convs, CAST(coalesce(w.n_children, 0) AS BIGINT) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM w JOIN sub USING (p) LEFT JOIN ends USING (p) LEFT JOIN n AS up ON w.d > 0 AND up.p = left(w.p, 64 * (w.d - 1))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2, "op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_chat_format": OP5, "op9_quality_rules": OP9, "op10_url_filter": OP10}
+    return {"op2_suffix_dedup": OP2, "op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_chat_format": OP5, "op9_quality_rules": OP9, "op10_url_filter": OP10, "op11_vector_codes": OP11, "op12_prefix_trie": OP12}
