@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Labels up to which every text is searched for every label.
 FEW_LABELS = 256
+#: A group counts as heavy with more than one of so many rows, so that there are fewer heavy groups than that.
+HEAVY = 1_000
 
 COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
@@ -66,6 +68,21 @@ def join_back(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFr
     return df.join(df.groupBy(*keys).agg(*(a.alias(n) for n, a in aggs.items())), keys, "left")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, largest: int) -> DataFrame:
+    """The inner join of ``rows`` and one row for each group of them, of which ``size`` says how many rows it has.
+
+    Groups of more than a ``HEAVY``-th of all ``total`` rows, of which there are fewer than ``HEAVY``, are
+    broadcast, so that no task gets such a group whole; the others are shuffled. ``largest`` is the size of
+    the largest group.
+    """
+    least = max(1, total // HEAVY)
+    if largest <= least:
+        return rows.join(groups, keys)
+    heavy = groups.filter(F.col(size) > least)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) <= least), keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(light)
+
+
 def semi_top(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of the n most frequent values of ``key``; ties go by value."""
     top = df.groupBy(key).count().orderBy(F.desc("count"), key).limit(n).select(key)

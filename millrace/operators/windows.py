@@ -111,14 +111,18 @@ def ewm(df: DataFrame, value: str, keys: list[str], order: list[str], span: floa
 
 
 def interpolate(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Fill gaps on the line between neighbours, the ends with the nearest value."""
+    """Fill gaps on the line between neighbours, the ends with the nearest value.
+
+    The next value is the last one of the reverse order, so that either way each row is looked at once.
+    """
     w = _over(keys, order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col(value).isNotNull(), F.col("__i"))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("__i").alias("i")))
     df = df.withColumn("__i", F.row_number().over(w))
-    df = df.withColumns({"__p": F.last(value, True).over(back), "__n": F.first(value, True).over(ahead), "__pi": F.last(known, True).over(back), "__ni": F.first(known, True).over(ahead)})
-    line = F.col("__p") + (F.col("__n") - F.col("__p")) * F.try_divide(F.col("__i") - F.col("__pi"), F.col("__ni") - F.col("__pi"))
-    return df.withColumn(f"{value}_filled", F.coalesce(value, line, "__p", "__n")).drop("__i", "__p", "__n", "__pi", "__ni")
+    so_far = lambda by: F.last(known, True).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("__p", so_far(F.col("__i"))).withColumn("__n", so_far(F.desc("__i")))
+    p, n = F.col("__p"), F.col("__n")
+    line = p["v"] + (n["v"] - p["v"]) * F.try_divide(F.col("__i") - p["i"], n["i"] - p["i"])
+    return df.withColumn(f"{value}_filled", F.coalesce(value, line, p["v"], n["v"])).drop("__i", "__p", "__n")
 
 
 def spine(df: DataFrame, keys: list[str], day: str) -> DataFrame:

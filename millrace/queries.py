@@ -330,12 +330,21 @@ def interpolate_spine(t):
     return df.select(*keys, F.col("d").cast("string").alias("d"), up("v_filled", 2).alias("v"))
 
 
-@query()
-def interpolate_customers(t):
-    """Mean order value of every customer, on each day from the first order to the last."""
+def customer_days(t) -> DataFrame:
+    """Mean order value of every customer on each day from the first order to the last."""
     a = t("orders").groupBy("o_custkey", day("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("v"))
-    df = W.interpolate(W.spine(a, ["o_custkey"], "d").join(a, ["o_custkey", "d"], "left"), "v", ["o_custkey"], ["d"])
-    return df.select("o_custkey", F.col("d").cast("string").alias("d"), up("v_filled", 2).alias("v"))
+    return W.interpolate(W.spine(a, ["o_custkey"], "d").join(a, ["o_custkey", "d"], "left"), "v", ["o_custkey"], ["d"])
+
+
+@query("""WITH a AS (SELECT o_custkey AS c, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
+          e AS (SELECT c, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM a GROUP BY 1), j AS (SELECT e.*, v, row_number() OVER (PARTITION BY e.c ORDER BY e.d) AS i FROM e LEFT JOIN a USING (c, d)),
+          k AS (SELECT c, i, v, lead(i) OVER s AS ni, lead(v) OVER s AS nv FROM j WHERE v IS NOT NULL WINDOW s AS (PARTITION BY c ORDER BY i)),
+          f AS (SELECT j.c, j.v, CASE WHEN j.v IS NOT NULL THEN j.v ELSE k.v + (k.nv - k.v) * (j.i - k.i) / (k.ni - k.i) END AS y FROM j ASOF JOIN k ON j.c = k.c AND j.i >= k.i)
+          SELECT c AS o_custkey, count(*) AS n_days, count(*) - count(v) AS n_filled, round(avg(y) + 1e-7, 2) AS mean, round(max(CASE WHEN v IS NULL THEN y END) + 1e-7, 2) AS highest_filled FROM f GROUP BY 1""")
+def interpolate_customers(t):
+    """``customer_days``, summed up for each customer."""
+    filled = F.when(F.col("v").isNull(), F.col("v_filled"))
+    return customer_days(t).groupBy("o_custkey").agg(F.count("*").alias("n_days"), F.count(filled).alias("n_filled"), up(F.avg("v_filled"), 2).alias("mean"), up(F.max(filled), 2).alias("highest_filled"))
 
 
 @query("""SELECT l_partkey, CAST(min(CAST(l_shipdate AS DATE)) AS VARCHAR) AS first_sale, round(max(l_extendedprice / l_quantity), 4) AS max_price, round(avg(l_extendedprice / l_quantity), 4) AS mean_price,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -49,6 +51,17 @@ def test_rolling_and_expanding(frame, table):
     same(by_t(W.expanding(table, "v", ["g"], ["t"], ["var"]), "v_exp_var"), g.transform(lambda s: s.expanding().var().shift(1)))
 
 
+def test_interpolate_takes_a_long_series_in_linear_time(spark):
+    """Twenty thousand days with a value on every seventh: quadratic work would take minutes."""
+    days = spark.range(20_000).select(F.lit("a").alias("g"), F.col("id").alias("t"), F.when(F.col("id") % 7 == 3, (F.col("id") * 2).cast("double")).alias("v"))
+    began = time.perf_counter()
+    got = W.interpolate(days, "v", ["g"], ["t"]).agg(F.count("v_filled"), F.sum("v_filled"), F.min("v_filled"), F.max("v_filled")).first()
+    assert time.perf_counter() - began < 30
+    known = range(3, 20_000, 7)
+    want = [2 * min(max(t, known[0]), known[-1]) for t in range(20_000)]
+    assert tuple(got) == (20_000, sum(want), 6.0, 2.0 * known[-1])
+
+
 def test_interpolate(frame, table):
     same(by_t(W.interpolate(table, "v", ["g"], ["t"]), "v_filled"), frame.groupby("g")["v"].transform(lambda s: s.interpolate(limit_direction="both")))
 

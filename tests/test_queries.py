@@ -13,7 +13,7 @@ import pytest
 
 import millrace.queries_models  # noqa: F401
 import millrace.queries_tables  # noqa: F401
-from millrace.queries import QUERIES, SQL
+from millrace.queries import QUERIES, SQL, customer_days
 
 DATA = "/root/testdata/sf0.001"
 
@@ -70,8 +70,10 @@ def test_interpolation_covers_all_orders(spark, tmp_path):
     at = lambda n: dt.datetime(2024, 1, n)
     rows = [(1, 7, at(1), 10.0), (2, 7, at(1), 30.0), (3, 7, at(5), 40.0), (4, 8, at(2), 5.0), (5, 8, at(4), 9.0)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {(r.o_custkey, int(r.d[-2:])): r.v for r in QUERIES["interpolate_customers"](spark, str(tmp_path)).collect()}
+    got = {(r.o_custkey, r.d.day): r.v_filled for r in customer_days(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")).collect()}
     assert got == {(7, 1): 20.0, (7, 2): 25.0, (7, 3): 30.0, (7, 4): 35.0, (7, 5): 40.0, (8, 2): 5.0, (8, 3): 7.0, (8, 4): 9.0}
+    sums = {tuple(r) for r in QUERIES["interpolate_customers"](spark, str(tmp_path)).collect()}
+    assert sums == {(7, 5, 3, 30.0, 35.0), (8, 3, 1, 7.0, 7.0)}
 
 
 def test_samples_are_stable(spark):
