@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine
-
-#: Queries of one block, which is broadcast to the table's tasks (about 8 MB of 64 doubles each).
-BLOCK = 10_000
+from .neighbours import by_cosine
 
 
 def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -21,23 +18,8 @@ def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 def nearest(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int, least: float = -1.0, same: str | None = None) -> DataFrame:
     """(q, found, score): the k rows of ``table`` most similar to each query by cosine, itself excluded; with
-    ``same``, of those that have the query's value in that column.
-
-    Queries go in blocks of a stated size, each broadcast; a partition keeps only its own k best of
-    each query before anything is shuffled.
-    """
-    kind = F.col(same) if same else F.lit(0)
-    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv"), kind.alias("qk"))
-    total = q.count()
-    blocks = max(1, -(-total // BLOCK))
-    out = []
-    for b in range(blocks):
-        block = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        met = table.select(F.col(key).alias("found"), F.col(vector).alias("v"), kind.alias("k")).join(F.broadcast(block), (F.col("found") != F.col("q")) & (F.col("k") == F.col("qk") if same else F.lit(True)))
-        scored = met.select("q", "found", F.round(cosine(F.col("v"), F.col("qv")), 6).alias("score")).filter(F.col("score") >= least)
-        order = Window.partitionBy("q").orderBy(F.desc("score"), "found")
-        out.append(scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n"))
-    return reduce(DataFrame.unionAll, out)
+    ``same``, of those that have the query's value in that column. Exact; see ``neighbours.by_cosine``."""
+    return by_cosine(queries, table, key, vector, k, least, same).table
 
 
 def rank_fusion(key: str, *rankings: DataFrame, k: int = 60) -> DataFrame:

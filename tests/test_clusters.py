@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import density as D
+from millrace.operators import linkage as L
 from millrace.operators.graphs import components
 
 
@@ -88,3 +89,52 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     nodes = sorted({n for e in edges if e[0] != e[1] for n in e})
     assert got == plain_components(nodes, [e for e in edges if e[0] != e[1]])
+
+
+def plain_linkage(rows, clusters):
+    """All pairs, the shortest first, until so many groups are left: (key, cluster)."""
+    least = {}
+    for k, v in rows:
+        if v is not None and all(x is not None and math.isfinite(x) for x in v):
+            least[tuple(x + 0.0 for x in v)] = min(k, least.get(tuple(x + 0.0 for x in v), k))
+    points = sorted((k, v) for v, k in least.items())
+    edges = sorted((math.sqrt(sum((x - y) ** 2 for x, y in zip(p, q))), i, j) for i, (_, p) in enumerate(points) for j, (_, q) in enumerate(points) if i < j and len(p) == len(q))
+    of, groups = list(range(len(points))), len(points)
+    for _, i, j in edges:
+        if groups <= clusters:
+            break
+        if of[i] != of[j]:
+            of, groups = [of[i] if r == of[j] else r for r in of], groups - 1
+    name = {}
+    for r, (k, _) in zip(of, points):
+        name[r] = min(k, name.get(r, k))
+    at = {v: name[r] for r, (_, v) in zip(of, points)}
+    return sorted(((k, None if v is None or tuple(v) not in at else at[tuple(v)]) for k, v in rows), key=str)
+
+
+def linked(spark, rows, clusters, **how):
+    df = spark.createDataFrame([(k, v, "x") for k, v in rows], "id long, v array<double>, cluster string").repartition(3)
+    return sorted(map(tuple, L.single_linkage(df, "id", "v", clusters, **how).collect()), key=str)
+
+
+def test_single_linkage_equals_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(10 * (i % 4), 1.5), rng.gauss(0, 1.5), rng.gauss(0, 1)]) for i in range(60)]
+    rows += [(200, None), (201, [float("nan"), 0.0, 0.0]), (202, [None, 1.0, 2.0]), (203, rows[4][1]), (204, rows[4][1])]
+    for clusters, how in ((4, {}), (9, {"pivots": 5, "block": 16})):
+        assert linked(spark, rows, clusters, **how) == plain_linkage(rows, clusters)
+
+
+def test_ties_on_a_lattice(spark):
+    """Every step has the same length, so only the order of ties says what is joined."""
+    rows = [(7 * (i * 6 + j) % 37, [float(i), float(j)]) for i in range(6) for j in range(6)]
+    for clusters, how in ((3, {"pivots": 3, "block": 12}), (20, {})):
+        assert linked(spark, rows, clusters, **how) == plain_linkage(rows, clusters)
+
+
+def test_linkage_of_little(spark):
+    assert linked(spark, [(1, None)], 2) == [(1, None)]
+    assert linked(spark, [(3, [1.0]), (2, [1.0]), (1, [5.0])], 5) == [(1, 1), (2, 2), (3, 2)]
+    assert linked(spark, [(3, [1.0]), (2, [2.0]), (1, [5.0, 1.0])], 1) == [(1, 1), (2, 2), (3, 2)]
+    df = spark.createDataFrame([], "id long, v array<double>")
+    assert L.single_linkage(df, "id", "v", 2).collect() == []

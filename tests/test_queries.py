@@ -12,6 +12,7 @@ import duckdb
 import pytest
 
 import millrace.queries_models  # noqa: F401
+import millrace.queries_patterns  # noqa: F401
 import millrace.queries_tables  # noqa: F401
 from millrace.queries import QUERIES, SQL, customer_days
 
