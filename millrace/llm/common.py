@@ -65,7 +65,8 @@ def row_keys(df: DataFrame, *cols: str, first: Callable[..., Column] = F.xxhash6
     Of 10^10 rows a few would share a 64-bit hash. Such hashes are found first, by a second one, in
     one grouped pass over two numbers a row, and the rows that have them get the second hash as key.
     """
-    key, other = first(*cols), F.xxhash64(F.lit(1), *cols)
+    flags = [F.col(c).isNull() for c in cols]  # hashes pass nulls over, and so would not see which column has one
+    key, other = first(*cols, *flags), F.xxhash64(F.lit(1), *cols, *flags)
     seen = df.select(key.alias("key"), other.alias("other")).groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
     shared = [r.key for r in seen.filter("lo != hi").select("key").limit(MOST_SHARED + 1).collect()]
     if len(shared) > MOST_SHARED:

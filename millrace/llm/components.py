@@ -1,33 +1,5 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table; they are of use outside this subpackage, too, so the core library has them."""
 
-from __future__ import annotations
+from ..operators.graphs import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import discard, saved
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``edges`` (a, b): root is the least node of its component.
-
-    Each round is two grouped minima joined back to the edges, so a node with many edges is summed
-    up before the shuffle and split by the join. Rounds grow with the logarithm of the diameter.
-    """
-    now = saved(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = _least(large)
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        new = saved(small, "edges")
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
-            break
-        discard(now)
-        now = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+__all__ = ["components"]

@@ -29,6 +29,8 @@ PAIRS = 8
 BROADCAST_IDS = 1_000_000
 #: An entry's row holds a set's size and, as a multiple of this, how many entries its links share.
 NEED = 1 << 26
+#: Bytes of texts whose index entries one task compares.
+PART_BYTES = 256 << 20
 #: How a group's size grows from band to band.
 BAND = 1.5
 
@@ -460,9 +462,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = narrowed(docs, id_col, text_col)
     keyed = named.select("doc_id", row_keys(named, "doc_id", "text").alias("key"), "text")
     texts = keyed.select("key", "text")
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size.bytes or 0) // PART_BYTES))
     with passing() as keep:
-        roots, sizes = _linked(texts, words, per_cent, docs.count(), parts)
+        roots, sizes = _linked(texts, words, per_cent, size.n, parts)
         keep(roots, sizes)
 
     ids = keyed.select("doc_id", "key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -38,6 +39,7 @@ class Profiles:
     bits: int
 
 
+@functools.cache
 def letters() -> np.ndarray:
     """Which code points are letters."""
     out = np.zeros(0x110000, bool)

@@ -10,30 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered
+from ..operators.relational import join_groups
 from .common import SPACE, passing, saved, small_batches
 
-#: A group counts as heavy with more than one of so many rows, so that there are fewer heavy groups than that.
-HEAVY = 1_000
 #: Characters of role and text that order turns of one number before their digest does.
 SHOWN = 64
 #: Bits of neighbouring conversation ids whose digest input is put together by one task, and depths that one row is unrolled to.
 ID_BITS, UNROLLED = 12, 10_000
 
 
-def joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, largest: int) -> DataFrame:
-    """The inner join of ``rows`` and one row for each group of them, of which ``size`` says how many rows it has.
-
-    Groups of more than a ``HEAVY``-th of all rows, of which there are fewer than ``HEAVY``, are broadcast,
-    so that no task gets such a group whole; the others are shuffled.
-    """
-    least = max(1, total // HEAVY)
-    if largest <= least:
-        return rows.join(groups, keys)
-    heavy = groups.filter(F.col(size) > least)
-    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) <= least), keys)
-    return rows.join(F.broadcast(heavy), keys).unionByName(light)
-
-
 def turns_in_order(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int, int]:
     """(turns, conversations, rows, rows of the largest conversation): turns are conv, place in the order of all, key and words, conversations conv, first place and n.
 
@@ -60,7 +45,7 @@ def with_shared_heads(turns: DataFrame, convs: DataFrame, total: int, largest: i
     own = convs.select("conv", "first", "n", heads.alias("h"), (F.col("conv") - F.col("conv") % every).alias("base"))
     found = own.join(convs.select(F.col("conv").alias("base"), F.col("n").alias("there")), "base", "left")
     found = saved(found.withColumn("given", F.least("h", F.coalesce("there", F.lit(0)))), "heads")
-    placed = joined(turns, found.select("conv", "first", "n", "h", "given"), ["conv"], "n", total, largest)
+    placed = join_groups(turns, found.select("conv", "first", "n", "h", "given"), ["conv"], "n", total, largest)
     placed = saved(placed.withColumn("pos", F.col("place") - F.col("first") + 1).select("conv", "pos", "key", "words", "h", "given"), "placed")
     rest = placed.filter(F.col("pos") > F.col("h")).select("conv", (F.col("pos") - F.col("h") + F.col("given")).alias("pos"), "key", "words")
     lent = placed.filter(F.col("pos") <= longest).select(F.col("conv").alias("base"), "pos", "key", "words")
@@ -116,7 +101,7 @@ def _levels(turns: DataFrame, convs: DataFrame, root: int) -> tuple[list[DataFra
         if size["most"] == 1:
             return nodes, live
         shared = groups.filter("n > 1").select("node", "key", "least", "n")
-        live.append(saved(joined(met, shared, ["node", "key"], "n", size["all"], size["most"]).select(depth.alias("depth"), "conv", F.col("least").alias("node"), "size"), "live"))
+        live.append(saved(join_groups(met, shared, ["node", "key"], "n", size["all"], size["most"]).select(depth.alias("depth"), "conv", F.col("least").alias("node"), "size"), "live"))
 
 
 def _rolled_up(nodes: list[DataFrame]) -> list[DataFrame]:
@@ -187,6 +172,6 @@ def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
         if every and total:
             turns, convs = with_shared_heads(turns, convs, total, largest, every, heads, longest)
         else:
-            turns = joined(turns, convs, ["conv"], "n", total, largest).select("conv", (F.col("place") - F.col("first") + 1).alias("pos"), "key", "words")
+            turns = join_groups(turns, convs, ["conv"], "n", total, largest).select("conv", (F.col("place") - F.col("first") + 1).alias("pos"), "key", "words")
             convs = convs.select("conv", F.col("n").alias("size"))
         return _trie(turns, convs, keep)

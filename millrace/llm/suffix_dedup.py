@@ -34,6 +34,8 @@ from .common import DEAL_BYTES, SPACE, blobs_of, dealt, discard, passing, row_ke
 _M1, _M2, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 #: Windows of one pass over a long document.
 _PASS = 1 << 20
+#: Strings that one task compares, at 25 bytes each.
+PART = 1 << 22
 
 
 def shape(length: int, longest: int = 16) -> tuple[int, int, int]:
@@ -263,13 +265,16 @@ def spread(key: np.ndarray) -> np.ndarray:
     return (key.view(np.uint64) ^ np.uint64(_MIX)) * np.uint64(_M1)
 
 
-def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, parts: int) -> DataFrame:
+def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str) -> DataFrame:
     """(key, at): for each text, the positions inside ``ranges`` whose string of ``length`` symbols occurs twice among them.
 
     Ranges of blocks that are known to be repeated count twice and are not returned. A task sends one of
     the equal strings of each few megabytes that it makes, and says that there are several, so that a
-    string that very many texts share does not gather in one task.
+    string that very many texts share does not gather in one task. Strings are dealt out to as many parts
+    as their number needs, ``ranges`` being a saved table, so that no part has more than about ``PART`` of them.
     """
+    number = ranges.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
+    parts = max(2 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number // PART))
     asked = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "twice")).alias("ranges"))
     texts = keyed.join(asked, "key").select("key", "text", "ranges.lo", "ranges.hi", "ranges.twice")
 
@@ -316,7 +321,7 @@ def _positions(keyed: DataFrame, ranges: DataFrame, length: int, unit: str, part
     return hits.groupBy("part").applyInPandas(by_text, "key long, at array<int>")
 
 
-def _cover(long_enough: DataFrame, rows: DataFrame, length: int, unit: str, parts: int) -> DataFrame:
+def _cover(long_enough: DataFrame, rows: DataFrame, length: int, unit: str) -> DataFrame:
     """(key, lo, hi, at): where repeated strings start in each text, as ranges and as positions. ``rows`` are the anchors, a saved table."""
     known = saved(rows.filter("idx = -2").select("key", "lo", "hi"), "known")
     found = doubled(rows)
@@ -324,8 +329,8 @@ def _cover(long_enough: DataFrame, rows: DataFrame, length: int, unit: str, part
     counted = saved(found.groupBy(*blocks).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("rep")), "blocks")
     shared = counted.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
     whole = found.join(counted.filter("n > 1").select(*blocks), blocks).select("key", "lo", "hi").unionAll(known)
-    ranges = counted.join(shared, "core").select("rep.key", "rep.lo", "rep.hi", (F.col("n") > 1).cast("byte").alias("twice"))
-    single = saved(_positions(long_enough, ranges, length, unit, parts), "positions")
+    ranges = saved(counted.join(shared, "core").select("rep.key", "rep.lo", "rep.hi", (F.col("n") > 1).cast("byte").alias("twice")), "ranges")
+    single = saved(_positions(long_enough, ranges, length, unit), "positions")
 
     a = whole.groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     return saved(a.join(single, "key", "full"), "cover")
@@ -388,13 +393,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if unit not in ("bytes", "words"):
         raise ValueError(f"unit is bytes or words, not {unit}")
     enough = lambda n, unit: keyed.filter(F.octet_length("text") >= (n if unit == "bytes" else 2 * n - 1)).select("key", "text")
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = [(length, unit, True), *([(passages, "words", False)] if passages else [])]
     least = min(n if u == "bytes" else 2 * n - 1 for n, u, _ in asked)
     texts = keyed.filter(F.octet_length("text") >= least).select("key", "text")
     with passing() as keep:
         tables = saved_apart(anchors(texts, asked), "anchors", "part", list(range(len(asked))))
-        covers = [_cover(enough(n, u), rows, n, u, parts) for (n, u, _), rows in list(zip(asked, tables))[::-1]][::-1]
+        covers = [_cover(enough(n, u), rows, n, u) for (n, u, _), rows in list(zip(asked, tables))[::-1]][::-1]
         cover = covers[0]
         if passages:
             cover = saved(cover.join(covers[1].select("key", *(F.col(c).alias(f"w_{c}") for c in ("lo", "hi", "at"))), "key", "full"), "covers")

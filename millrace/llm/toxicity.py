@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,14 +14,16 @@ from pyspark.sql import functions as F
 
 from .common import narrowed, passing, saved, small_batches
 
-#: Labelled rows that a model is fitted on at most, and words and stems of its lexicon at most.
-SAMPLE, TERMS = 16_000, 10_000
+#: Labelled rows that a model is fitted on at most; all terms found in them make its lexicon.
+SAMPLE = 16_000
 #: Characters of a text that is learned from at most; with the rows it bounds what a model is fitted on.
 SAMPLE_CHARS = 65_536
 #: Words to either side of a term that make its context.
 WINDOW = 10
 EXACT, STEM, FUZZY = 3, 2, 1
 FEATURES = 6
+#: Words that are matched at once, and cells of the table of states from which it is begun anew.
+RUN, MOST_CELLS = 4_096, 1 << 24
 
 #: Marks that open or close a quotation by their kind, and marks whose turn decides.
 OPENING, CLOSING, EITHER = "«“„‹‚", "»”›", "\"`"
@@ -71,10 +74,11 @@ def quoted_terms(start: np.ndarray, end: np.ndarray, words: np.ndarray, marks: t
     return inside & near
 
 
+@functools.cache
 def _letters() -> np.ndarray:
-    """What belongs to a word: letters and digits of the lower code points, and everything beyond."""
-    out = np.ones(0x3000, bool)
-    for c in range(0x3000):
+    """What belongs to a word: letters and digits."""
+    out = np.zeros(0x110000, bool)
+    for c in range(0x110000):
         out[c] = chr(c).isalnum()
     return out
 
@@ -91,7 +95,8 @@ class Automaton:
 
     A state is a set of (trie node, edits so far). Reading a character moves along the trie, or
     spends the one edit on an insertion, a substitution or a deletion. Whole words match with up to
-    one edit from five letters on; stems match the beginning of a word, without edits.
+    one edit from five letters on; stems match the beginning of a word, without edits. Words are runs of
+    letters and digits of any script; where a script parts no words, a whole run counts as one.
     """
 
     def __init__(self, words: tuple[str, ...], stems: tuple[str, ...]):
@@ -109,13 +114,15 @@ class Automaton:
                     node = self.next[node][c]
                 ends[node] = True
         self.chars = sorted({c for n in self.next for c in n})
-        self.classes = np.zeros(0x3000, np.int16)  # 0: not in the lexicon
-        for i, c in enumerate(self.chars):
-            if ord(c) < 0x3000:
-                self.classes[ord(c)] = i + 1
+        self.classes = np.zeros(0x110000, np.int32)  # 0: not in the lexicon
+        self.classes[[ord(c) for c in self.chars]] = np.arange(len(self.chars)) + 1
         self.width = len(self.chars) + 1
+        self._begin()
+
+    def _begin(self) -> None:
+        """No states but the dead one and the first; others come back when words ask for them."""
         self.sets, self.number = [], {}
-        self.table, self.at_end, self.on_way = np.zeros((0, self.width), np.int64), np.zeros(0, np.int8), np.zeros(0, bool)
+        self.table, self.at_end, self.on_way = np.zeros((0, self.width), np.int32), np.zeros(0, np.int8), np.zeros(0, bool)
         self._state(frozenset())  # state 0: dead
         self.start = self._state(frozenset({(0, 0)}))
 
@@ -124,8 +131,8 @@ class Automaton:
             self.number[members] = len(self.sets)
             self.sets.append(members)
             if len(self.sets) > len(self.table):
-                grow = max(256, len(self.table))
-                self.table = np.concatenate([self.table, np.full((grow, self.width), -1)])
+                grow = max(256, len(self.table) // 2)
+                self.table = np.concatenate([self.table, np.full((grow, self.width), -1, np.int32)])
                 self.at_end = np.concatenate([self.at_end, np.zeros(grow, np.int8)])
                 self.on_way = np.concatenate([self.on_way, np.zeros(grow, bool)])
             kinds = [EXACT if e == 0 else FUZZY for n, e in members if self.word[n] and (e == 0 or self.depth[n] >= 5)]
@@ -148,9 +155,18 @@ class Automaton:
         return self._state(frozenset(out))
 
     def match(self, classes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The kind of match of each word, 0 for none: all words go on by one character at a time."""
+        """The kind of match of each word, 0 for none. A table of states that has grown large is begun anew between runs of words."""
+        out = [np.zeros(0, np.int8)]
+        for at in range(0, len(start), RUN):
+            if len(self.sets) * self.width > MOST_CELLS:
+                self._begin()
+            out.append(self._match(classes, start[at : at + RUN], size[at : at + RUN]))
+        return np.concatenate(out)
+
+    def _match(self, classes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """All words go on by one character at a time."""
         out = np.zeros(len(start), np.int8)
-        alive, state = np.arange(len(start)), np.full(len(start), self.start)
+        alive, state = np.arange(len(start)), np.full(len(start), self.start, np.int64)
         place = 0
         while len(alive):
             cls = classes[start[alive] + place].astype(np.int64)
@@ -191,13 +207,12 @@ class Scanner:
     def _features(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
         lowered = [t.lower() for t in texts]
-        x = np.frombuffer(" ".join([*lowered, ""]).encode("utf-32-le"), np.uint32)
-        low = np.minimum(x, 0x2FFF)
-        inside = np.append(self.letters[low], False)
+        x = np.frombuffer(" ".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.append(self.letters[x], False)
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         edge = np.concatenate([[0], edge]) if inside[0] else edge
         start, end = edge[::2], edge[1::2]
-        kind = self.automaton.match(self.automaton.classes[low], start, end - start)
+        kind = self.automaton.match(self.automaton.classes[x], start, end - start)
         limits = np.cumsum([len(t) + 1 for t in lowered])
         doc = np.searchsorted(limits, start, "right")
         n_words = np.bincount(doc, minlength=len(texts))
@@ -227,7 +242,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, trains: Column, size
     return saved(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "label"), "sample")
 
 
-def learn_terms(sample: DataFrame, limit: int = TERMS) -> tuple[tuple[str, ...], tuple[str, ...]]:
+def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """(words, stems) that stand in toxic texts only, as far as chance can't explain it.
 
     A term counts once for each word before it, so that copies of one text don't make terms of its
@@ -244,12 +259,11 @@ def learn_terms(sample: DataFrame, limit: int = TERMS) -> tuple[tuple[str, ...],
         return (), ()
     least = math.ceil(math.log(100 * total[0]) / math.log((total[1] + total[2]) / total[1]))
     sure = (F.col("toxic") >= least) & (F.col("clean") * 50 <= F.col("toxic"))
-    order = [F.desc("toxic"), "word"]
-    found = [r.word for r in by_word.filter(sure & (F.length("word") >= 3)).orderBy(*order).limit(limit).collect()]
+    found = [r.word for r in by_word.filter(sure & (F.length("word") >= 3)).collect()]
     starts = by_word.filter(F.length("word") >= 4).select("toxic", "clean", F.explode(F.transform(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(7))), lambda n: F.substring("word", F.lit(1), n))).alias("word"))
     grouped = starts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum(F.when(F.col("toxic") > 0, 1)).alias("kinds"))
     stems: list[str] = []
-    for r in sorted(grouped.filter(sure & (F.col("kinds") >= 3)).orderBy(*order).limit(limit).collect(), key=lambda r: (len(r.word), r.word)):
+    for r in sorted(grouped.filter(sure & (F.col("kinds") >= 3)).collect(), key=lambda r: (len(r.word), r.word)):
         if not any(r.word.startswith(s) for s in stems):
             stems.append(r.word)
     return tuple(sorted(found)), tuple(sorted(stems))

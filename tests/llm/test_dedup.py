@@ -227,3 +227,11 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 130)] + [(500, 500)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 130)}
+
+
+def test_row_keys_see_which_column_is_null(spark):
+    from millrace.llm.common import row_keys
+
+    df = spark.createDataFrame([("x", None), (None, "x"), (None, None), ("x", "x"), ("x", None)], "id string, text string")
+    keys = [r.k for r in df.select(row_keys(df, "id", "text").alias("k")).collect()]
+    assert len(set(keys)) == 4 and keys[0] == keys[4]

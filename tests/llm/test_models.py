@@ -180,3 +180,36 @@ def test_repeats_are_seen_and_pieces_join():
         Q._PIECE = piece
     b, _ = Q._pooled(net, whole[: 400 * Q.BLOCK + Q.WIDTH - 1])
     assert np.allclose(a, b)
+
+
+def test_terms_of_any_script_are_found():
+    """Characters beyond U+3000 are told apart like all others, with edits too."""
+    s = T.Scanner(("badword", "糞糕的词语", "\U0001d552\U0001d553\U0001d554\U0001d555\U0001d556"), ())
+    texts = ["a badword here", "你 糞糕的词语。 好", "糞糕的词一", "糞糕", "x \U0001d552\U0001d553\U0001d554\U0001d555\U0001d556!", "、。 一二三四五"]
+    counts = np.expm1(s.features(texts)[:, [0, 2]]).round().astype(int).tolist()
+    assert counts == [[1, 0], [1, 0], [0, 1], [0, 0], [1, 0], [0, 0]]
+
+
+def test_table_of_states_stays_small(monkeypatch):
+    rng = random.Random(9)
+    words = tuple(sorted({"".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(5, 9))) for _ in range(400)}))
+    text = " ".join(rng.choice(words) if rng.random() < 0.3 else "".join(rng.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(3000))
+    want = T.Scanner(words, ("abc",)).features([text])
+    monkeypatch.setattr(T, "RUN", 100)
+    monkeypatch.setattr(T, "MOST_CELLS", 20_000)
+    s, most = T.Scanner(words, ("abc",)), 0
+    begin = s.automaton._begin
+    begun = []
+    monkeypatch.setattr(s.automaton, "_begin", lambda: (begun.append(len(s.automaton.sets)), begin()))
+    assert np.array_equal(s.features([text]), want)
+    assert len(begun) > 2 and max(begun) * s.automaton.width < 20_000 + 100 * 12 * s.automaton.width
+
+
+def test_no_term_is_cut_off(spark):
+    """Far more words than any fixed number of terms: all that stand in toxic texts alone are learned."""
+    names = ["w" + "".join(chr(97 + int(d)) for d in f"{i:05d}") + "q" for i in range(12_000)]
+    toxic = [(" ".join(f"c{k}c {n}" for n in names[i : i + 600] for k in (j,)), 1) for i in range(0, 12_000, 600) for j in range(12)]
+    clean = [(" ".join(f"x{i}x y{j}y" for j in range(650)), 0) for i in range(650)]
+    sample = spark.createDataFrame(toxic + clean, "text string, label int").repartition(4)
+    words, _ = T.learn_terms(sample)
+    assert set(names) <= set(words)

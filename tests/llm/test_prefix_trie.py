@@ -9,6 +9,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from millrace.llm import prefix_trie as P
+from millrace.operators import relational as R
 
 SCHEMA = "conv_id long, turn long, role string, text string, node long, depth string, size int"
 
@@ -87,7 +88,7 @@ def test_without_rebuilding(spark):
 
 def test_heavy_groups_are_split(spark, monkeypatch):
     """All of a node's members, a long conversation and its copy: with the bounds low, every way is taken."""
-    monkeypatch.setattr(P, "HEAVY", 5)
+    monkeypatch.setattr(R, "HEAVY", 5)
     monkeypatch.setattr(P, "UNROLLED", 4)
     monkeypatch.setattr(P, "ID_BITS", 2)
     rows = [(c, t, "user", "same words here") for c in range(100, 160) for t in range(2)] + [(c, t, "user", f"turn {t}") for c in (7, 300) for t in range(12)] + [(300, 12, "user", "more"), (300, 13, "x", "y z")]
