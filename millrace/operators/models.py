@@ -29,6 +29,8 @@ ESTIMATORS = {
     "forest_regressor": lambda **p: G.RandomForestRegressor(**({"seed": 42} | p)),
     "boosted_regressor": lambda **p: G.GBTRegressor(**({"seed": 42} | p)),
 }
+#: Clusters whose means are broadcast at most: 8 MB for each 100 components.
+MOST_CLUSTERS = 10_000
 CLUSTERERS = {"kmeans": K.KMeans, "mixture": K.GaussianMixture, "bisecting": K.BisectingKMeans}
 
 
@@ -70,10 +72,12 @@ def cluster_scores(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     All three come from each cluster's size, mean and sum of squares, so no two rows have to meet:
     the mean squared distance of x to a cluster is |x|^2 - 2 x.mean + mean of its squares. A cluster of
     one row has the silhouette 0. Null where there are fewer than two clusters. The clusters' means
-    are broadcast, and grow with the number of clusters alone.
+    are broadcast to all rows, each of which is held against every cluster, so more than ``MOST_CLUSTERS`` are an error.
     """
     rows = df.filter(F.col(cluster).isNotNull() & F.col(vector).isNotNull()).select(F.col(cluster).alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
     sq = lambda v: F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a)
+    if (many := rows.select("c").distinct().limit(MOST_CLUSTERS + 1).count()) > MOST_CLUSTERS:
+        raise ValueError(f"there are over {MOST_CLUSTERS} clusters, {many} or more")
     per = rows.groupBy("c").agg(F.count("*").alias("n"), F.sum(sq(F.col("x"))).alias("squares"))
     mean = rows.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(F.avg("v").alias("m")).groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
     stats = per.join(mean, "c")

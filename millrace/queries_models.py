@@ -109,16 +109,16 @@ def tfidf_of_word_pairs(t):
     return df.select("conv_id", "term", r(F.col("weight") + F.lit(1e-9), 6).alias("weight"))
 
 
-_TITLES = r"""a AS (SELECT doc_id, lang AS label, array_to_string(regexp_extract_all(text, '\S+')[1:12], ' ') AS text, array_to_string(regexp_extract_all(text, '\S+')[2:5], ' ') AS chosen FROM documents),
+_TITLES = r"""a AS (SELECT doc_id, lang AS label, trim(text) AS text, array_to_string(regexp_extract_all(text, '\S+')[2:5], ' ') AS chosen FROM documents),
               x AS (SELECT label, word, count(*) AS n FROM (SELECT label, unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM a) GROUP BY 1, 2 HAVING count(*) >= 3),
               y AS (SELECT label, word, count(*) AS k FROM (SELECT label, unnest(regexp_extract_all(lower(chosen), '\S+')) AS word FROM a) GROUP BY 1, 2),
               imp AS (SELECT label, word, coalesce(k, 0) / n AS importance FROM x LEFT JOIN y USING (label, word))"""
 
 
 def _titles(t):
-    """A title of twelve words for each document, and four of its words as the chosen span."""
+    """Every whole document, and four of its words as the chosen span."""
     words = F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))
-    return t("documents").select("doc_id", F.col("lang").alias("label"), F.array_join(F.slice(words, 1, 12), " ").alias("text"), F.array_join(F.slice(words, 2, 4), " ").alias("chosen"))
+    return t("documents").select("doc_id", F.col("lang").alias("label"), "text", F.array_join(F.slice(words, 2, 4), " ").alias("chosen"))
 
 
 @query(f"WITH {_TITLES} SELECT label, word, round(importance, 6) AS importance FROM imp")
@@ -127,10 +127,9 @@ def word_importances(t):
 
 
 @query(rf"""WITH {_TITLES}, w AS (SELECT doc_id, label, text, regexp_extract_all(text, '\S+') AS w FROM a), o AS (SELECT doc_id, label, unnest(w) AS tok, unnest(range(len(w))) AS i FROM w),
-            v AS (SELECT doc_id, list(coalesce(importance, 0.5) ORDER BY i) AS v FROM o LEFT JOIN imp ON imp.label = o.label AND imp.word = lower(tok) GROUP BY 1),
-            s AS (SELECT doc_id, s.s AS s, e.e AS e, round(list_sum(v[s.s + 1:e.e]) / (e.e - s.s) * (0.7 + 0.3 * (1 - 0.1 * ((e.e - s.s) / len(v)))), 12) AS score FROM v, range(0, len(v)) AS s(s), range(s.s + 1, len(v) + 1) AS e(e)),
-            b AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s, e) AS n FROM s) WHERE n = 1)
-            SELECT w.doc_id, CASE WHEN label = 'en' OR len(w) <= 3 OR b.s IS NULL THEN trim(text) ELSE array_to_string(w[b.s + 1:b.e], ' ') END AS span FROM w LEFT JOIN b USING (doc_id)""")
+            v AS (SELECT doc_id, tok, i, coalesce(importance, 0.5) AS v FROM o LEFT JOIN imp ON imp.label = o.label AND imp.word = lower(tok)),
+            b AS (SELECT doc_id, tok FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, i) AS n FROM v) WHERE n = 1)
+            SELECT w.doc_id, CASE WHEN label = 'en' OR len(w) <= 3 OR label NOT IN (SELECT label FROM imp) THEN text ELSE tok END AS span FROM w LEFT JOIN b USING (doc_id)""")
 def chosen_spans(t):
     titles = _titles(t)
     return T.best_span(titles, ["doc_id"], "text", "label", T.word_importance(titles, "text", "chosen", "label"), neutral="en", short=3)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import density as D
 from .operators import linkage as L
+from .operators import sequences as Q
 from .queries import day, query, r, up
 
 # Clusters
@@ -36,3 +37,41 @@ def linkage_clusters(t):
     """Eight groups of suppliers by balance and nation, nearest groups joined first."""
     at = t("supplier").select("s_suppkey", F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double")).alias("v"))
     return L.single_linkage(at, "s_suppkey", "v", 8)
+
+
+# Sequences
+
+_TERMS = """q AS (SELECT l_orderkey AS id, list(CAST(l_quantity AS HUGEINT) ORDER BY l_linenumber, l_quantity) AS s FROM lineitem GROUP BY 1
+                  UNION ALL SELECT -p_partkey, [p_size, p_size % 7, 3 * (p_size % 7) + 2 * p_size, 11 * (p_size % 7) + 6 * p_size, 39 * (p_size % 7) + 22 * p_size, 139 * (p_size % 7) + 78 * p_size]::HUGEINT[] FROM part)"""
+
+
+@query(f"""WITH {_TERMS}, k AS (SELECT id, s, len(s) AS n, s[2] * s[2] - s[1] * s[3] AS d, s[3] * s[2] - s[1] * s[4] AS c1, s[2] * s[4] - s[3] * s[3] AS c2 FROM q),
+           o AS (SELECT *, CASE WHEN len(list_filter(s, lambda x: x <> 0)) = 0 THEN 0 WHEN n >= 3 AND s[1] <> 0 AND len(list_filter(range(2, n + 1), lambda i: s[i] * s[1] <> s[i - 1] * s[2])) = 0 THEN 1
+                                WHEN n >= 5 AND d <> 0 AND len(list_filter(range(3, n + 1), lambda i: d * s[i] <> c1 * s[i - 1] + c2 * s[i - 2])) = 0 THEN 2 END AS ord FROM k),
+           f AS (SELECT id, ord, n, CASE ord WHEN 1 THEN s[2] WHEN 2 THEN c1 ELSE 0 END AS a, CASE ord WHEN 2 THEN c2 ELSE 0 END AS b, CASE ord WHEN 1 THEN s[1] WHEN 2 THEN d ELSE 1 END AS w, s[n] AS y, s[n - 1] AS z FROM o),
+           g AS (SELECT id, ord, [a, b][1:ord] AS c, w, a * y + b * z AS top FROM f)
+           SELECT id, CAST(ord AS INTEGER) AS recurrence_order, array_to_string(list_transform(c, lambda x: CASE WHEN x % w = 0 THEN CAST(CAST(x / w AS HUGEINT) AS VARCHAR)
+                  ELSE CAST(CAST(sign(w) * x / greatest(gcd(x, w), 1) AS HUGEINT) AS VARCHAR) || '/' || CAST(CAST(abs(w) / gcd(x, w) AS HUGEINT) AS VARCHAR) END), ',') AS coefficients, CASE WHEN top % w = 0 THEN CAST(CAST(top / w AS HUGEINT) AS VARCHAR) END AS following FROM g WHERE ord IS NOT NULL
+           UNION ALL SELECT id, NULL, NULL, NULL FROM g WHERE ord IS NULL""")
+def sequence_recurrences(t):
+    """Quantities of every order's lines, and six terms of s(n) = 3 s(n - 1) + 2 s(n - 2) from every part's size on; orders of two at most."""
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x["l_quantity"].cast("long")).alias("s"))
+    start = F.array(F.col("p_size").cast("long"), (F.col("p_size") % 7).cast("long"))
+    step = lambda s, _: F.concat(s, F.array(3 * F.element_at(s, -1) + 2 * F.element_at(s, -2)))
+    planted = t("part").select((-F.col("p_partkey")).alias("id"), F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, step).alias("s"))
+    found = lines.unionAll(planted).select("id", Q.recurrences("s", most=2).alias("r"))
+    return found.select("id", F.col("r.order").alias("recurrence_order"), F.array_join("r.coefficients", ",").alias("coefficients"), F.col("r.next").alias("following"))
+
+
+_ORDERS_OF = "SELECT c_custkey, c_mktsegment, list(o_orderpriority[1:1] ORDER BY o_orderdate, o_orderkey) AS s FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2"
+
+
+@query(f"""WITH a AS ({_ORDERS_OF}), t AS (SELECT s, array_to_string(s, '') AS x FROM a WHERE c_mktsegment <> 'BUILDING'), q AS (SELECT c_custkey, array_to_string(s, '') AS x FROM a WHERE c_mktsegment = 'BUILDING'),
+           e AS (SELECT left(x, CAST(i AS INTEGER)) AS p, i AS length, x[i + 1] AS follows, count(*) AS n FROM t, range(0, length(x)) AS r(i) GROUP BY 1, 2, 3), k AS (SELECT p, length, sum(n) AS n, min({{'n': -n, 'f': follows}}).f AS follows FROM e GROUP BY 1, 2)
+           SELECT c_custkey, CAST(k.length AS INTEGER) AS length, CAST(k.n AS BIGINT) AS n, k.follows FROM q JOIN k ON starts_with(q.x, k.p) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY k.length DESC) = 1""")
+def prefix_continuations(t):
+    """How customers of other segments went on after what a customer's orders of one segment begin with, by the priorities of their orders in time."""
+    rows = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey", "c_mktsegment")
+    found = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", F.substring("o_orderpriority", 1, 1).alias("p")))), lambda x: x["p"]).alias("s"))
+    own = F.col("c_mktsegment") == "BUILDING"
+    return Q.longest_prefix(found.filter(own), found.filter(~own), "c_custkey", "s").select("c_custkey", "length", "n", F.col("next").alias("follows"))

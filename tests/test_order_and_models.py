@@ -96,14 +96,34 @@ def test_stratified_parts_have_their_share(spark):
     assert len(folds) == 16 and all(abs(r["count"] - got[r.s][0] / 4) < 1 for r in folds)
 
 
-def test_spans_refuse_long_texts(spark):
-    made = lambda *rows: spark.createDataFrame(rows, "id long, t string, s string, l string")
-    df, long = made((1, "a b c d", "b c", "p")), made((2, "w " * 70, "w", "p"))
+def test_word_importance_and_its_best_span(spark):
+    df = spark.createDataFrame([(1, "a b c d", "b c", "p")], "id long, t string, s string, l string")
     imp = T.word_importance(df, "t", "s", "l", least=1)
     assert {r.word: r.importance for r in imp.collect()} == {"a": 0.0, "b": 1.0, "c": 1.0, "d": 0.0}
     assert T.best_span(df, ["id"], "t", "l", imp, "n", 1).first().span == "b"
-    with pytest.raises(Exception, match="over 64 words"):
-        T.best_span(long, ["id"], "t", "l", imp, "n", 1).collect()
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_spans_equal_all_runs(spark, least):
+    """Every run of ``least`` words or more is tried; long texts, ties, and labels without importances among them."""
+    rng = random.Random(least)
+    value = {w: rng.choice([0.0, 0.25, 0.5, 1.0, rng.random()]) for w in "abcdefgh"}
+    imp = spark.createDataFrame([("p", w, v) for w, v in value.items()], "l string, word string, importance double")
+    texts = [" ".join(rng.choice("abcdefghXY") for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 8, 13, 20, 30, 120)] + ["a " * 9, "  b   c\n d "]
+    rows = [(i, t, "p") for i, t in enumerate(texts)] + [(100, "a b c d e", "n"), (101, "a b c d e", "q"), (102, "a b c d e", None), (103, None, "p")]
+
+    def plain(t, label):
+        w = (t or "").split()
+        if label != "p" or len(w) <= 1 or len(w) < least:
+            return (t or "").strip()
+        v, n = [value.get(x.lower(), 0.5) for x in w], len(w)
+        score = lambda a, z: round(sum(v[a:z]) / (z - a) * (0.7 + 0.3 * (1 - 0.1 * ((z - a) / n))), 12)
+        a, z = max(((a, z) for a in range(n) for z in range(a + least, n + 1)), key=lambda r: (score(*r), -r[0], -r[1]))
+        return " ".join(w[a:z])
+
+    df = spark.createDataFrame(rows, "id long, t string, l string").repartition(3)
+    got = {r.id: r.span for r in T.best_span(df, ["id"], "t", "l", imp, "n", 1, least=least).collect()}
+    assert got == {i: plain(t, label) for i, t, label in rows}
 
 
 def test_gcd(spark):
