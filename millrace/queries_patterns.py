@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import holidays as H
+from .operators import asof as B
 from .operators import density as D
 from .operators import linkage as L
 from .operators import sequences as Q
@@ -75,3 +77,27 @@ def prefix_continuations(t):
     found = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", F.substring("o_orderpriority", 1, 1).alias("p")))), lambda x: x["p"]).alias("s"))
     own = F.col("c_mktsegment") == "BUILDING"
     return Q.longest_prefix(found.filter(own), found.filter(~own), "c_custkey", "s").select("c_custkey", "length", "n", F.col("next").alias("follows"))
+
+
+# Time
+
+_RULED = ", ".join(f"('{c}', '{n}', {'NULL, NULL, ' + str(rule) if isinstance(rule, int) else f'{rule[0]}, {rule[1]}, NULL'})" for c, n, rule in H.PUBLIC)
+_HOLIDAYS = f"""years AS (SELECT DISTINCT unnest([year(o_orderdate) - 1, year(o_orderdate), year(o_orderdate) + 1]) AS y FROM orders), e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years),
+           e2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM e1), e3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e2),
+           e4 AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM e3), e5 AS (SELECT y, make_date(y, CAST(n // 31 AS BIGINT), CAST(n % 31 + 1 AS BIGINT)) AS easter FROM e4),
+           hol AS (SELECT country, name, CASE WHEN away IS NULL THEN make_date(y, m, d) ELSE CAST(easter + away AS DATE) END AS date FROM e5, (VALUES {_RULED}) AS r(country, name, m, d, away)),
+           one AS (SELECT country, date, min(name) AS name FROM hol GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_HOLIDAYS}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, ['BE', 'DE', 'ES', 'FR', 'IT', 'PL'][o_custkey % 6 + 1] AS country FROM orders)
+           SELECT o.o_orderkey, date_diff('day', b.date, o.d) AS since, b.name AS last_holiday, date_diff('day', o.d, a.date) AS until, a.name AS next_holiday, CAST(b.date = o.d AS INT) AS is_holiday, CAST(date_diff('day', b.date, o.d) <= 2 OR date_diff('day', o.d, a.date) <= 2 AS INT) AS near
+           FROM o ASOF LEFT JOIN one b ON o.country = b.country AND o.d >= b.date ASOF LEFT JOIN one a ON o.country = a.country AND o.d <= a.date""")
+def holiday_windows(t):
+    """The last public holiday and the next one about every order, in the country that its customer's number stands for."""
+    countries = F.array(*(F.lit(c) for c in ("BE", "DE", "ES", "FR", "IT", "PL")))
+    orders = t("orders").select("o_orderkey", day("o_orderdate").alias("d"), F.get(countries, (F.col("o_custkey") % 6).cast("int")).alias("country"))
+    year = F.year("d")
+    known = H.holidays(orders.select(F.explode(F.array(year - 1, year, year + 1)).alias("year")))
+    df = B.around(orders, "d", known, "date", ["country"], ["name"])
+    since, until = F.datediff("d", "before.date"), F.datediff("after.date", "d")
+    return df.select("o_orderkey", since.cast("long").alias("since"), F.col("before.name").alias("last_holiday"), until.cast("long").alias("until"), F.col("after.name").alias("next_holiday"), (since == 0).cast("int").alias("is_holiday"), ((since <= 2) | (until <= 2)).cast("int").alias("near"))
