@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .functions import holidays as H
 from .operators import asof as B
 from .operators import density as D
+from .operators import forecasting as G
+from .operators import gram as K
 from .operators import linkage as L
 from .operators import sequences as Q
 from .queries import day, query, r, up
@@ -101,3 +103,37 @@ def holiday_windows(t):
     df = B.around(orders, "d", known, "date", ["country"], ["name"])
     since, until = F.datediff("d", "before.date"), F.datediff("after.date", "d")
     return df.select("o_orderkey", since.cast("long").alias("since"), F.col("before.name").alias("last_holiday"), until.cast("long").alias("until"), F.col("after.name").alias("next_holiday"), (since == 0).cast("int").alias("is_holiday"), ((since <= 2) | (until <= 2)).cast("int").alias("near"))
+
+
+# Fits
+
+_CHAIN = "".join(
+    f""", w{i} AS (SELECT regr_slope(q, fp) FILTER (q IS NOT NULL) AS qs, regr_intercept(q, fp) FILTER (q IS NOT NULL) AS qi, regr_slope(p, fq) FILTER (p IS NOT NULL) AS ps, regr_intercept(p, fq) FILTER (p IS NOT NULL) AS pi FROM f{i}),
+           f{i + 1} AS (SELECT l_orderkey, l_linenumber, q, p, coalesce(q, qi + qs * fp) AS fq, coalesce(p, pi + ps * fq) AS fp FROM (SELECT l_orderkey, l_linenumber, q, p, fq, fp FROM f{i}), w{i})"""
+    for i in range(3)
+)
+
+
+@query(f"""WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN (l_orderkey * 7 + l_linenumber) % 10 > 0 THEN l_quantity END AS q, CASE WHEN (l_orderkey * 3 + l_linenumber) % 10 > 1 THEN l_extendedprice END AS p FROM lineitem),
+           f0 AS (SELECT *, coalesce(q, avg(q) OVER ()) AS fq, coalesce(p, avg(p) OVER ()) AS fp FROM g){_CHAIN.replace('coalesce(p, pi + ps * fq) AS fp', 'coalesce(p, pi + ps * fq0) AS fp').replace('SELECT l_orderkey, l_linenumber, q, p, fq, fp FROM f', 'SELECT l_orderkey, l_linenumber, q, p, fq AS fq0, fp FROM f')}
+           SELECT l_orderkey, l_linenumber, round(fq + 1e-7, 4) AS q, round(fp + 1e-7, 2) AS p FROM f3""")
+def chained_imputation(t):
+    """Planted gaps of quantities and prices, filled by each other in three rounds."""
+    gap = lambda a, least, c: F.when((F.col("l_orderkey") * a + F.col("l_linenumber")) % 10 > least, F.col(c))
+    df = t("lineitem").select("l_orderkey", "l_linenumber", gap(7, 0, "l_quantity").alias("q"), gap(3, 1, "l_extendedprice").alias("p"))
+    return K.impute_chained(df, ["q", "p"], rounds=3, still=0.0).select("l_orderkey", "l_linenumber", up("q").alias("q"), up("p", 2).alias("p"))
+
+
+@query()
+def ml_independent_components(t):
+    df = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return K.independent_components(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 4).select("l_orderkey", "l_linenumber", *(f"ica_{i}" for i in range(4)))
+
+
+@query()
+def ml_recursive_forecast(t):
+    """Six months of every supplier's quantities by boosted trees over the four months before and the month of the year."""
+    month = 12 * (F.year("l_shipdate") - 1992) + F.month("l_shipdate") - 1
+    h = t("lineitem").groupBy("l_suppkey", month.cast("long").alias("month")).agg(F.sum("l_quantity").alias("v"))
+    model = G.fit_recursive(h, "l_suppkey", "month", "v", 4, season=12, maxIter=5, maxDepth=3)
+    return G.forecast_recursively(model, h, "l_suppkey", "month", "v", 4, 6, season=12)
