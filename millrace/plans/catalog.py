@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ def operators_table(spark: SparkSession, registry: Registry) -> DataFrame:
     return spark.createDataFrame(rows, "name string, description string, version string, tags array<string>, inputs array<string>, outputs array<string>")
 
 
+def usable_tables(registry: Registry, tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, tags, slot, given, n_rows): the given tables whose schema and values meet an operator's input slot, with their rows.
+
+    Each table is counted once, whatever the number of slots that it fits.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    fits = [(o.name, list(o.tags), slot, name) for o in registry.operators.values() for slot, contract in o.inputs.items() for name, df in tables.items() if not (contract.check_schema(df.schema) or contract.check_rows(df))]
+    counts = reduce(DataFrame.unionAll, (df.agg(F.lit(name).alias("given"), F.count("*").alias("n_rows")) for name, df in tables.items()))
+    return spark.createDataFrame(fits, "name string, tags array<string>, slot string, given string").join(F.broadcast(counts), "given").select("name", "tags", "slot", "given", "n_rows")
+
+
 def steps_table(spark: SparkSession, pipelines: dict[str, list[dict]]) -> DataFrame:
     """(pipeline, step, operator, inputs, outputs) of pipeline specs."""
     rows = [(name, i, s["operator"], sorted(s.get("inputs", {}).values()), sorted(s.get("outputs", {}).values())) for name, spec in pipelines.items() for i, s in enumerate(spec)]

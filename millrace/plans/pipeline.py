@@ -72,6 +72,28 @@ class Registry:
         return {"name": o.name, "description": o.description, "version": o.version, "tags": list(o.tags), "inputs": slots(o.inputs), "outputs": slots(o.outputs)}
 
 
+class Built(dict):
+    """Tables by name. Those that several steps share are kept until ``release``, which the end of a ``with`` block calls, too."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        super().__init__(tables)
+        self.shared: list[DataFrame] = []
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self.shared.append(df.persist())
+        return self.shared[-1]
+
+    def release(self) -> None:
+        while self.shared:
+            self.shared.pop().unpersist()
+
+    def __enter__(self) -> Built:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
 class Pipeline:
     def __init__(self, registry: Registry, steps: list[Step]):
         self.registry, self.steps = registry, steps
@@ -123,11 +145,14 @@ class Pipeline:
             out.append(str(e))
         return out
 
-    def build(self, tables: dict[str, DataFrame], check_values: bool = False) -> dict[str, DataFrame]:
-        """All tables of the pipeline, lazily. Schemas are checked at each step; values only if asked for, since that runs jobs."""
+    def build(self, tables: dict[str, DataFrame], check_values: bool = False) -> Built:
+        """All tables of the pipeline, lazily. Schemas are checked at each step; values only if asked for, since that runs jobs.
+
+        Tables that several steps take are kept in memory until the result is released.
+        """
         if wrong := self.check() + [f"table {t} is not given" for t in sorted(self.external() - set(tables))]:
             raise ContractError("; ".join(wrong))
-        tables = dict(tables)
+        tables = Built(tables)
         uses = Counter(t for s in self.steps for t in s.inputs.values())
         for level in self.levels():
             for i in level:
@@ -139,7 +164,7 @@ class Pipeline:
                 made = made if isinstance(made, dict) else {next(iter(o.outputs)): made}
                 for n, t in s.outputs.items():
                     self._require(f"step {i}, output {n}", o.outputs[n], made[n], check_values)
-                    tables[t] = made[n].persist() if uses[t] > 1 else made[n]
+                    tables[t] = tables.kept(made[n]) if uses[t] > 1 else made[n]
         return tables
 
     @staticmethod

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -19,7 +19,7 @@ from .operators import text as T
 from .operators import vectors as V
 from .operators import windows as W
 from .plans import catalog
-from .plans.features import SPEC, customer_features
+from .plans.features import customer_features
 from .sources.tables import table
 from .streaming import events as E
 
@@ -633,9 +633,14 @@ def blended_predictions(t):
     return M.blend([a, b], "k", "v", weights=[1.0, 3.0]).select("k", up("v").alias("v"))
 
 
-@query("""SELECT * FROM (VALUES ('merge.features', 'rank.in_group', 1, 1), ('rollup.lines', 'rollup.orders', 1, 1), ('rollup.orders', 'merge.features', 1, 1)) AS g(giver, taker, n_edges, n_pipelines)""")
+@query("""WITH s AS (SELECT user_id, event_type AS giver, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS taker FROM events)
+          SELECT giver, taker, count(*) AS n_edges, count(DISTINCT user_id) AS n_pipelines FROM s WHERE taker IS NOT NULL GROUP BY 1, 2""")
 def service_graph(t):
-    return catalog.service_graph(catalog.steps_table(t("region").sparkSession, {"customer_features": SPEC}))
+    """Every user's events as a pipeline of steps, of which each takes what the one before has made."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = t("events").select(F.col("user_id").alias("pipeline"), F.row_number().over(w).alias("step"), F.col("event_type").alias("operator"))
+    name = lambda i: F.array(F.concat(F.lit("made"), i))
+    return catalog.service_graph(steps.withColumns({"inputs": name(F.col("step") - 1), "outputs": name(F.col("step"))}))
 
 
 def _labelled(t) -> DataFrame:

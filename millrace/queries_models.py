@@ -34,7 +34,11 @@ def correlation_matrix(t):
     return P.correlations(t("lineitem"), NUMERIC).select("a", "b", r(F.col("corr") + F.lit(1e-9), 6).alias("corr"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_tax FROM lineitem")
+# What a fit leaves behind is known from SQL, too: its rows are there only if the same columns are chosen.
+
+@query("""WITH c AS (SELECT abs(corr(a, b)) AS ab, abs(corr(a, c)) AS ac, abs(corr(b, c)) AS bc, abs(corr(a, d)) AS ad, abs(corr(b, d)) AS bd, abs(corr(c, d)) AS cd FROM (SELECT l_quantity AS a, l_extendedprice AS b, l_quantity * 2 AS c, l_tax AS d FROM lineitem))
+          SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_tax FROM lineitem, c WHERE ab <= 0.8 AND greatest(ac, bc) > 0.8 AND greatest(ad, bd, cd) <= 0.8
+          UNION ALL SELECT l_orderkey, l_linenumber, l_quantity, NULL, l_tax FROM lineitem, c WHERE ab > 0.8""")
 def uncorrelated_columns(t):
     """The double of a column goes."""
     df = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", (F.col("l_quantity") * 2).alias("double"), "l_tax")
@@ -42,12 +46,14 @@ def uncorrelated_columns(t):
     return df.select("l_orderkey", "l_linenumber", *kept)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity FROM lineitem")
+@query("""WITH v AS (SELECT var_samp(l_quantity) AS q, var_samp(l_extendedprice) AS p, var_samp(l_discount) AS d, var_samp(l_tax) AS x FROM lineitem)
+          SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity FROM lineitem, v WHERE least(p, q) > greatest(d, x)""")
 def varied_columns(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", *P.top_variance(t("lineitem"), NUMERIC, 2))
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders")
+@query("""WITH m AS (SELECT avg(CAST(o_orderkey IS NULL AS INT)) AS k, avg(CAST(o_orderstatus IS NULL AS INT)) AS s, avg(CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END IS NULL AS INT)) AS x FROM orders)
+          SELECT o_orderkey, o_orderstatus FROM orders, m WHERE k <= 0.1 AND s <= 0.1 AND x > 0.1""")
 def filled_columns(t):
     """Columns of which at most a tenth is missing."""
     df = t("orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("x"))
@@ -209,7 +215,10 @@ def recursive_forecast(t):
     return M.forecast(h, "l_suppkey", "month", "v", [0.5, 0.3, 0.1], 2.0, 6).select("l_suppkey", "month", up("v").alias("v"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(2 * l_quantity + l_tax + 1e-7, 4) AS telling FROM lineitem")
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_tax AS x, 2 * l_quantity + l_tax AS t FROM lineitem),
+          w AS (SELECT regr_slope(q - x * b, t) AS wt, b AS wx FROM x, (SELECT (covar_pop(x, q) * var_pop(t) - covar_pop(t, q) * covar_pop(x, t)) / (var_pop(x) * var_pop(t) - covar_pop(x, t) ** 2) AS b FROM x) GROUP BY b),
+          e AS (SELECT max(abs(q - wt * t - wx * x)) AS off, abs(any_value(wt)) * stddev_samp(t) AS by_t, abs(any_value(wx)) * stddev_samp(x) AS by_x FROM x, w)
+          SELECT l_orderkey, l_linenumber, round(t + 1e-7, 4) AS telling FROM x, e WHERE off < 1e-6 AND by_t > by_x""")
 def selected_features(t):
     """Of three columns, the one that says most about the quantity is left."""
     df = t("lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), "l_quantity", "l_tax", (2 * F.col("l_quantity") + F.col("l_tax")).alias("telling"))
@@ -217,9 +226,13 @@ def selected_features(t):
     return df.select("l_orderkey", F.col("line").alias("l_linenumber"), *(up(c).alias(c) for c in kept))
 
 
-@query("""SELECT * FROM (VALUES ('merge.features', 'join'), ('rank.in_group', 'window'), ('rollup.lines', 'aggregate'), ('rollup.orders', 'aggregate'), ('rollup.orders', 'join')) AS o(name, tag)""")
+@query("""WITH t AS (SELECT 'lineitem' AS given, count(*) AS n_rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer)
+          SELECT name, tag, slot, given, n_rows FROM t JOIN (VALUES ('rollup.lines', 'aggregate', 'lines', 'lineitem'), ('rollup.orders', 'aggregate', 'orders', 'orders'), ('rollup.orders', 'join', 'orders', 'orders'),
+          ('merge.features', 'join', 'parent', 'customer'), ('merge.features', 'join', 'child', 'customer')) AS o(name, tag, slot, given) USING (given)""")
 def registered_operators(t):
-    return catalog.operators_table(t("region").sparkSession, REGISTRY).select("name", F.explode("tags").alias("tag"))
+    """Which given tables meet the contracts of registered operators, and how many rows each of them has to work on."""
+    given = {name: t(name) for name in ("lineitem", "orders", "customer", "part", "supplier")}
+    return catalog.usable_tables(REGISTRY, given).select("name", F.explode("tags").alias("tag"), "slot", "given", "n_rows")
 
 
 @query("SELECT CAST(o_orderdate AS DATE)::VARCHAR AS d, count(*) AS n FROM orders GROUP BY 1")

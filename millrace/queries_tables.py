@@ -80,11 +80,11 @@ def scan_folder(spark, sf_dir, t):
     return df.select(F.col("key").alias("r_regionkey"), F.col("name").alias("r_name"), F.element_at(F.split(F.input_file_name(), "/"), -2).alias("kind"))
 
 
-@stored("SELECT 2 AS n_files, 'csv' AS suffix, true AS has_bytes")
+@stored("SELECT CAST(count(DISTINCT n_regionkey) AS INT) AS n_files, 'csv' AS suffix, true AS has_bytes FROM nation")
 def file_inventory(spark, sf_dir, t):
+    """Nations in a file for each region."""
     at = scratch.place(spark, "inventory")
-    for name in ("region", "nation"):
-        D.save(t(name).coalesce(1), f"{at}/{name}", "csv")
+    t("nation").coalesce(1).write.partitionBy("n_regionkey").csv(at)
     return D.inventory(spark, at, "*.csv").groupBy("suffix").agg(F.count("*").cast("int").alias("n_files"), (F.min("length") > 0).alias("has_bytes")).select("n_files", "suffix", "has_bytes")
 
 

@@ -102,3 +102,16 @@ def test_stream_equals_batch(spark, tmp_path):
     keep = lambda df: sorted((r.start, r.event_type, r.n) for r in df.collect())
     assert keep(spark.table("w")) == keep(E.windowed_counts(batch))
     assert E.sessions(batch).agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_shared_tables_are_released(spark):
+    from millrace.plans.contracts import Table
+    from millrace.plans.pipeline import Pipeline, Registry
+
+    registry = Registry()
+    registry.operator("a.make", {"x": Table()}, {"y": Table()})(lambda inputs: inputs["x"].selectExpr("id * 2 AS id"))
+    registry.operator("a.use", {"y": Table()}, {"z": Table()})(lambda inputs: inputs["y"].selectExpr("id + 1 AS id"))
+    spec = [{"operator": "a.make", "inputs": {"x": "t"}, "outputs": {"y": "u"}}, *({"operator": "a.use", "inputs": {"y": "u"}, "outputs": {"z": f"z{i}"}} for i in range(2))]
+    with Pipeline.of(registry, spec).build({"t": spark.range(4)}) as built:
+        assert built["u"].is_cached and sorted(r.id for r in built["z1"].collect()) == [1, 3, 5, 7]
+    assert not built["u"].is_cached and built.shared == []
