@@ -11,7 +11,10 @@ from .operators import forecasting as G
 from .operators import gram as K
 from .operators import linkage as L
 from .operators import sequences as Q
-from .queries import day, query, r, up
+from .queries import DAILY, _daily, day, query, up
+from .queries_tables import stored
+from .sources import scratch
+from .streaming import keyed
 
 # Clusters
 
@@ -137,3 +140,22 @@ def ml_recursive_forecast(t):
     h = t("lineitem").groupBy("l_suppkey", month.cast("long").alias("month")).agg(F.sum("l_quantity").alias("v"))
     model = G.fit_recursive(h, "l_suppkey", "month", "v", 4, season=12, maxIter=5, maxDepth=3)
     return G.forecast_recursively(model, h, "l_suppkey", "month", "v", 4, 6, season=12)
+
+
+# Streams
+
+@stored(f"""WITH {DAILY}, l AS (SELECT l_suppkey, d, v, list(v) OVER (PARTITION BY l_suppkey ORDER BY d ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS y FROM daily)
+            SELECT l_suppkey, CAST(d AS VARCHAR) AS d, count(*) OVER a AS n, round(avg(v) OVER a + 1e-7, 4) AS m, round(var_samp(v) OVER a + 1e-7, 4) AS s, round(list_reduce(y, lambda a, b: a * 0.75 + b * 0.25) + 1e-7, 4) AS ewm
+            FROM l WINDOW a AS (PARTITION BY l_suppkey ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def streamed_features(spark, sf_dir, t):
+    """What is known of a supplier's daily quantities before each day, from state that a stream keeps for each of them."""
+    at = scratch.place(spark, "stream")
+    daily = _daily(t)
+    daily.write.parquet(f"{at}/in")
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.STATE_STORE)
+    out = keyed.series_features(session.readStream.schema(daily.schema).parquet(f"{at}/in"), ["l_suppkey"], "d", "v")
+    sink = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(out.schema).parquet(f"{at}/out")
+    return found.select("l_suppkey", F.col("d").cast("string").alias("d"), F.col("n_before").alias("n"), up("mean_before").alias("m"), up("var_before").alias("s"), up("smooth_before").alias("ewm"))
