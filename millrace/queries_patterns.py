@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import holidays as H
 from .operators import asof as B
+from .operators import ciphers as C
 from .operators import density as D
 from .operators import forecasting as G
 from .operators import gram as K
@@ -159,3 +160,20 @@ def streamed_features(spark, sf_dir, t):
     sink.trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(out.schema).parquet(f"{at}/out")
     return found.select("l_suppkey", F.col("d").cast("string").alias("d"), F.col("n_before").alias("n"), up("mean_before").alias("m"), up("var_before").alias("s"), up("smooth_before").alias("ewm"))
+
+
+# Ciphers
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_SHUFFLED = "".join(_LETTERS[(7 * i + 3) % 26] for i in range(26))
+
+
+@query(f"""WITH c AS (SELECT unnest(string_split(lower(text), '')) AS p FROM documents) SELECT translate(p, '{_LETTERS}', '{_SHUFFLED}') AS cipher, p AS plain FROM c WHERE p BETWEEN 'a' AND 'z' AND length(p) = 1 AND p IN (SELECT unnest(string_split('{_LETTERS}', ''))) GROUP BY 1, 2""")
+def cipher_key(t):
+    """All documents are encrypted, with one character in twenty wrong, and the key is found again from them and the plain ones."""
+    plain = t("documents").select("doc_id", F.lower("text").alias("text"))
+    letter = lambda c, i: F.substring(F.lit(_LETTERS), (F.pmod(F.xxhash64("doc_id", i, F.lit(1)), F.lit(26)) + 1).cast("int"), F.lit(1))
+    wrong = lambda c, i: F.when(F.pmod(F.xxhash64("doc_id", i), F.lit(20)) == 0, letter(c, i)).otherwise(c)
+    secret = plain.select("doc_id", F.array_join(F.transform(F.split(F.translate("text", _LETTERS, _SHUFFLED), ""), wrong), "").alias("text"))
+    key = C.solve(secret, plain, "doc_id", "text").key
+    return key.filter(F.col("plain").isin(*_LETTERS)).select("cipher", "plain")
