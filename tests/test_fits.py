@@ -117,3 +117,69 @@ def test_forecasts_need_a_whole_model(spark, history):
     model = M.train(G.lag_table(history, "k", "t", "y", 2).withColumn("z", (F.col("y") > 10).cast("int")), ["lag_1"], "z", "logistic")
     with pytest.raises(ValueError):
         G.compiled(model)
+
+
+# The queries of models, held against plain computation on the same rows
+
+DATA = "/root/testdata/sf0.001"
+NAMES = ["o_totalprice", "age", "n", "discount"]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    from millrace.queries import _labelled
+
+    return _labelled(lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")).toPandas().sort_values("o_orderkey").reset_index(drop=True)
+
+
+def query(spark, name):
+    from millrace.queries import QUERIES
+
+    return QUERIES[name](spark, DATA).toPandas().sort_values("o_orderkey").reset_index(drop=True)
+
+
+def test_logistic_out_of_fold_equals_newton(spark, labelled):
+    got = query(spark, "ml_logistic_out_of_fold")
+    x, y, fold = labelled[NAMES].to_numpy(float), labelled["y"].to_numpy(float), labelled["fold"].to_numpy()
+    want = np.zeros(len(y))
+    for k in range(3):
+        own = fold != k
+        mean, scale = x[own].mean(0), x[own].std(0)
+        z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+        w = np.zeros(z.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z[own] @ w))
+            w += np.linalg.solve((z[own] * (p * (1 - p) + 1e-12)[:, None]).T @ z[own], z[own].T @ (y[own] - p))
+        want[fold == k] = 1 / (1 + np.exp(-z[fold == k] @ w))
+    assert got["o_orderkey"].tolist() == labelled["o_orderkey"].tolist()
+    np.testing.assert_allclose(got["probability"].to_numpy(float), want, atol=0.02)
+
+
+def test_forest_predicts_held_out_rows_of_its_trees(spark, labelled):
+    got = query(spark, "ml_forest")
+    assert got["o_orderkey"].tolist() == labelled.loc[labelled["fold"] == 0, "o_orderkey"].tolist()
+    assert ((got["probability"] >= 0.5) == (got["prediction"] == 1)).mean() > 0.99
+    again = query(spark, "ml_forest")
+    np.testing.assert_allclose(got["probability"].to_numpy(float), again["probability"].to_numpy(float))
+    y = got["y"].to_numpy(float)
+    assert np.mean((got["probability"] - y) ** 2) <= np.mean((y.mean() - y) ** 2) * 1.05
+
+
+def test_clusters_are_those_of_their_means(spark, labelled):
+    """Each row is in the cluster whose mean, on a common scale, is nearest: nothing moves any more."""
+    got = query(spark, "ml_kmeans")
+    x = labelled[["o_totalprice", "age", "n"]].to_numpy(float)
+    z, c = (x - x.mean(0)) / x.std(0, ddof=1), got["cluster"].to_numpy(int)
+    means = np.stack([z[c == i].mean(0) for i in range(4)])
+    assert sorted(set(c)) == [0, 1, 2, 3] and (((z[:, None] - means) ** 2).sum(2).argmin(1) == c).mean() > 0.97
+
+
+def test_principal_components_equal_eigenvectors(spark, labelled):
+    got = query(spark, "ml_principal_components")
+    x = labelled[NAMES].to_numpy(float)
+    z = x - x.mean(0)
+    values, vectors = np.linalg.eigh(z.T @ z / (len(z) - 1))
+    for i in range(2):
+        want = z @ vectors[:, -1 - i] / np.sqrt(values[-1 - i])
+        own = got[f"pca_{i}"].to_numpy(float)
+        np.testing.assert_allclose(own * np.sign(own @ want), want, atol=1e-6)
