@@ -14,7 +14,7 @@ from .operators import linkage as L
 from .operators import sequences as Q
 from .queries import DAILY, _daily, day, query, up
 from .queries_tables import stored
-from .sources import scratch
+from .sources import connector, scratch
 from .streaming import keyed
 
 # Clusters
@@ -177,3 +177,15 @@ def cipher_key(t):
     secret = plain.select("doc_id", F.array_join(F.transform(F.split(F.translate("text", _LETTERS, _SHUFFLED), ""), wrong), "").alias("text"))
     key = C.solve(secret, plain, "doc_id", "text").key
     return key.filter(F.col("plain").isin(*_LETTERS)).select("cipher", "plain")
+
+
+# Sources
+
+@stored("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 5000 AND c_mktsegment = 'BUILDING'")
+def scan_pushed(spark, sf_dir, t):
+    """Customers by way of a data source of the library's own, which the filters reach: files and rows that they rule out are never made rows."""
+    connector.register(spark)
+    at = scratch.place(spark, "connector")
+    t("customer").repartitionByRange(4, "c_acctbal").write.format("zjsonl").mode("append").save(at)
+    found = spark.read.format("zjsonl").load(at).filter((F.col("c_acctbal") >= 5000) & (F.col("c_mktsegment") == "BUILDING"))
+    return found.select("c_custkey", "c_name", "c_acctbal")
