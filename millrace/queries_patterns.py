@@ -14,7 +14,7 @@ from .operators import linkage as L
 from .operators import sequences as Q
 from .queries import DAILY, _daily, day, query, up
 from .queries_tables import stored
-from .sources import connector, scratch
+from .sources import connector, scratch, tables
 from .streaming import keyed
 
 # Clusters
@@ -181,6 +181,14 @@ def cipher_key(t):
 
 # Sources
 
+@stored("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20")
+def scan_preview(spark, sf_dir, t):
+    """The first rows of a file of all orders, without reading on."""
+    at = scratch.place(spark, "preview")
+    tables.save(t("orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").coalesce(1), at, "csv")
+    return tables.load(spark, at, "csv", schema="o_orderkey long, o_totalprice double", limit=20)
+
+
 @stored("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 5000 AND c_mktsegment = 'BUILDING'")
 def scan_pushed(spark, sf_dir, t):
     """Customers by way of a data source of the library's own, which the filters reach: files and rows that they rule out are never made rows."""
