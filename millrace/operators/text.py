@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import words
 from .relational import BROADCAST_ROWS
 
+#: Starts and lengths of runs in a text: twice ``least`` times its words stays below.
+_PLACES = 10**13
+
 
 def tokens(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     """(ids, i, tok, prev, next, place) of white-space tokens; neighbours come from the row's own array, without a shuffle."""
@@ -62,10 +65,16 @@ def best_span(df: DataFrame, ids: list[str], text: str, label: str, importance:
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     met = opened.join(F.broadcast(table) if small else table, (F.col("__label") == F.col("__l")) & (F.lower("__word") == F.col("__w")), "left").withColumn("__v", F.coalesce("importance", F.lit(unknown)))
     runs, names = Window.partitionBy(*ids).orderBy("__i"), [f"__s{size}" for size in range(least, 2 * least)]
+    # Score, start and length of a run as one number, the better the larger, so that the best one is found by hash, without a sort.
     for size, name in zip(range(least, 2 * least), names):
         total = F.col("__v") if size == 1 else F.sum("__v").over(runs.rowsBetween(0, size - 1))
         value = total / size * (F.lit(0.7) + F.lit(0.3) * (1 - F.lit(0.1) * (F.lit(size) / F.col("__n"))))
-        met = met.withColumn(name, F.when(F.col("__i") + size <= F.col("__n"), F.struct(F.round(value, 12).alias("s"), (-F.col("__i")).alias("a"), F.lit(-size).alias("z"))))
+        place = F.lit(_PLACES - 1) - (F.col("__i").cast("long") * (2 * least) + size)
+        met = met.withColumn(name, F.when(F.col("__i") + size <= F.col("__n"), (F.round(value * 1e12).cast("decimal(23,0)") * F.lit(_PLACES).cast("decimal(14,0)") + place.cast("decimal(14,0)")).cast("decimal(38,0)")))
     best = met.groupBy(*ids).agg(F.max(F.greatest(*names) if least > 1 else F.col(names[0])).alias("__best"))
-    run = F.array_join(F.slice("__words", 1 - F.col("__best.a"), -F.col("__best.z")), " ")
-    return rows.join(best, ids, "left").select(*ids, F.when(whole, F.col("__text")).otherwise(run).alias("span"))
+    place = F.lit(_PLACES - 1) - (F.col("__best") % F.lit(_PLACES).cast("decimal(14,0)")).cast("long")
+    run = F.array_join(F.slice("__words", (F.floor(place / (2 * least)) + 1).cast("int"), (place % (2 * least)).cast("int")), " ")
+    # Texts that stay whole meet nothing more, and the others take no array of words through the join.
+    short_cut = rows.filter(whole).select(*ids, F.col("__text").alias("span"))
+    cut = rows.filter(~whole).select(*ids, "__text").join(best, ids, "left").withColumn("__words", words(F.col("__text")))
+    return short_cut.unionByName(cut.select(*ids, run.alias("span")))
