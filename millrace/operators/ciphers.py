@@ -133,7 +133,7 @@ def solve(ciphers: DataFrame, plain: DataFrame, id_col: str, text_col: str, plai
     asked = ciphers.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = plain.filter(F.col(plain_id or id_col).isNotNull() & (F.length(plain_text or text_col) > 0)).groupBy(F.col(plain_text or text_col).alias("text")).agg(F.min(plain_id or id_col).alias("id"))
     with passing() as keep:
-        known, before = saved(known, "plain"), None
+        asked, known, before = saved(asked, "ciphers"), saved(known, "plain"), None
         for _ in range(rounds):
             read = asked if before is None else asked.withColumn("text", F.translate("text", "".join(before), "".join(before.values())))
             matched = _matched(read, known, padded, patterned=before is None)

@@ -172,9 +172,9 @@ _SHUFFLED = "".join(_LETTERS[(7 * i + 3) % 26] for i in range(26))
 def cipher_key(t):
     """All documents are encrypted, with one character in twenty wrong, and the key is found again from them and the plain ones."""
     plain = t("documents").select("doc_id", F.lower("text").alias("text"))
-    letter = lambda c, i: F.substring(F.lit(_LETTERS), (F.pmod(F.xxhash64("doc_id", i, F.lit(1)), F.lit(26)) + 1).cast("int"), F.lit(1))
-    wrong = lambda c, i: F.when(F.pmod(F.xxhash64("doc_id", i), F.lit(20)) == 0, letter(c, i)).otherwise(c)
-    secret = plain.select("doc_id", F.array_join(F.transform(F.split(F.translate("text", _LETTERS, _SHUFFLED), ""), wrong), "").alias("text"))
+    letter = lambda n: F.substring(F.lit(_LETTERS), (F.col("doc_id") * n % 26 + 1).cast("int"), F.lit(1))
+    run = F.concat(F.lit("(?s)(.{"), (F.col("doc_id") % 21 + 28).cast("string"), F.lit("}).."))  # two of 30 to 50 characters
+    secret = plain.select("doc_id", F.regexp_replace(F.translate("text", _LETTERS, _SHUFFLED), run, F.concat(F.lit("$1"), letter(7), letter(5))).alias("text"))
     key = C.solve(secret, plain, "doc_id", "text").key
     return key.filter(F.col("plain").isin(*_LETTERS)).select("cipher", "plain")
 
