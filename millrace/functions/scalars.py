@@ -45,6 +45,18 @@ def hashed(key: Column | str, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(c.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded as DuckDB rounds doubles: the value times 10^digits as a double, exact halves away from zero.
+
+    Spark's own ``round`` goes by the shortest decimals of the value, which can be half where the scaled double is just below.
+    """
+    scaled = c.cast("double") * F.lit(10.0**digits)
+    even = F.rint(scaled)  # halves to the even neighbour
+    back = scaled - even
+    away = F.when((back == 0.5) & (scaled > 0), F.lit(1.0)).when((back == -0.5) & (scaled < 0), F.lit(-1.0)).otherwise(F.lit(0.0))
+    return (even + away) / F.lit(10.0**digits)
+
+
 def row_values(cols: list[str]) -> Column:
     return F.array_compact(F.array(*(F.col(c).cast("double") for c in cols)))
 

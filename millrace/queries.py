@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 
 def r(c, digits: int = 4):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return S.rounded(F.col(c) if isinstance(c, str) else c, digits)
 
 
 def up(c, digits: int = 4):
@@ -351,7 +351,7 @@ def interpolate_customers(t):
           count(DISTINCT round(l_extendedprice / l_quantity, 2)) AS n_prices FROM lineitem GROUP BY 1""")
 def price_features(t):
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return t("lineitem").groupBy("l_partkey").agg(F.min(day("l_shipdate")).cast("string").alias("first_sale"), r(F.max(price)).alias("max_price"), r(F.avg(price)).alias("mean_price"), F.count_distinct(F.round(price, 2)).alias("n_prices"))
+    return t("lineitem").groupBy("l_partkey").agg(F.min(day("l_shipdate")).cast("string").alias("first_sale"), r(F.max(price)).alias("max_price"), r(F.avg(price)).alias("mean_price"), F.count_distinct(r(price, 2)).alias("n_prices"))
 
 
 @query("""WITH m AS (SELECT l_suppkey, month(l_shipdate) AS mo, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
