@@ -183,9 +183,9 @@ def cipher_key(t):
 
 @stored("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20")
 def scan_preview(spark, sf_dir, t):
-    """The first rows of a file of all orders, without reading on."""
+    """The first rows of the files of all orders, without reading files further on."""
     at = scratch.place(spark, "preview")
-    tables.save(t("orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").coalesce(1), at, "csv")
+    tables.save(t("orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey"), at, "csv")
     return tables.load(spark, at, "csv", schema="o_orderkey long, o_totalprice double", limit=20)
 
 

@@ -34,8 +34,13 @@ _FORMATS: dict[str, tuple[Reader, Writer | None]] = {
 }
 
 
+#: Formats that were registered: their readers need not read files.
+_OWN: set[str] = set()
+
+
 def register(name: str, reader: Reader, writer: Writer | None = None) -> None:
     """Add a format, or replace one."""
+    _OWN.add(name)
     _FORMATS[name] = (reader, writer)
 
 
@@ -43,16 +48,38 @@ def formats() -> list[str]:
     return sorted(_FORMATS)
 
 
-def load(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None, columns: list[str] | None = None, limit: int | None = None, **options) -> DataFrame:
-    """Scan ``path``. With a schema nothing is inferred; ``columns`` and ``limit`` reach the scan."""
+def load(spark: SparkSession, path: str | list[str], fmt: str = "parquet", schema: StructType | str | None = None, columns: list[str] | None = None, limit: int | None = None, **options) -> DataFrame:
+    """Scan ``path``. With a schema nothing is inferred; ``columns`` reach the scan, and ``limit`` is of the first rows of the first files."""
     if fmt not in _FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known: {', '.join(formats())}")
     if schema is not None:
         df = spark.read.format({"tsv": "csv", "jsonl": "json"}.get(fmt, fmt)).schema(schema).options(**({"header": "true"} if fmt in ("csv", "tsv") else {}) | ({"sep": "\t"} if fmt == "tsv" else {}) | ({"multiLine": "true"} if fmt == "json" else {}) | options).load(path)
     else:
         df = _FORMATS[fmt][0](spark, path, options)
-    df = df.select(*columns) if columns else df
-    return df.limit(limit) if limit is not None else df
+    if limit is not None:
+        part = lambda files: load(spark, files, fmt, schema if schema is not None else df.schema, **({"basePath": path} | options))
+        df = df.limit(limit) if fmt in _OWN else _first(df, limit, None if any(c in path for c in "*?[{") else part)
+    return df.select(*columns) if columns else df
+
+
+def _first(df: DataFrame, n: int, read: Callable[[list[str]], DataFrame] | None) -> DataFrame:
+    """The first ``n`` rows in the order of the files' names and of the rows in them, wherever tasks find them first.
+
+    Only as many of the first files are read as have so many rows. Sources without files have no order to go by.
+    """
+    files = sorted(df.inputFiles())
+    if not files or n < 1:
+        return df.limit(n)
+    many, few = 1, df
+    while read and many < len(files):
+        few = read(files[:many])
+        if few.limit(n).count() >= n:
+            break
+        many *= 2
+    else:
+        few = df
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row")]
+    return few.select("*", *place).orderBy("__file", "__block", "__row").limit(n).select(*df.columns)
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:

@@ -33,3 +33,16 @@ def test_prices_round_as_the_sql_rounds(spark, tmp_path):
     halves = spark.createDataFrame([(2.5,), (3.5,), (-2.5,), (-3.5,), (1.005,), (0.49999999999999994,), (None,)], "x double")
     assert [r[0] for r in halves.select(S.rounded(F.col("x"), 0)).collect()] == [3.0, 4.0, -3.0, -4.0, 1.0, 0.0, None]
     assert halves.filter("x = 1.005").select(S.rounded(F.col("x"), 2)).first()[0] == 1.0
+
+
+@pytest.mark.parametrize("n", [3, 7, 5000])
+def test_limit_takes_the_first_rows_of_the_first_files(spark, tmp_path, n):
+    at = str(tmp_path / "files")
+    for low, high in ((0, 5), (5, 3000), (3000, 9000)):  # Spark reads the largest file first
+        spark.range(low, high, 1, 1).write.mode("append").csv(f"{at}/{low:05d}", header=True)
+    (tmp_path / "flat").mkdir()
+    for i, f in enumerate(sorted((tmp_path / "files").glob("*/*.csv"))):
+        f.rename(tmp_path / "flat" / f"part-{i}.csv")
+    got = T.load(spark, str(tmp_path / "flat"), "csv", schema="id long", limit=n)
+    got.write.parquet(str(tmp_path / "out"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(n))
