@@ -125,6 +125,27 @@ def interpolate(df: DataFrame, value: str, keys: list[str], order: list[str]) ->
     return df.withColumn(f"{value}_filled", F.coalesce(value, line, p["v"], n["v"])).drop("__i", "__p", "__n")
 
 
+def interpolate_days(df: DataFrame, value: str, keys: list[str], day: str) -> DataFrame:
+    """(keys, day, value, value_filled): ``interpolate`` over every day from a series' first to its last, of a table with a row for each key and day.
+
+    Every known row makes the days up to the next one itself, so that only given rows are shuffled and sorted, not the days between.
+    """
+    series = Window.partitionBy(*keys)
+    w = series.orderBy(day)
+    ends = {"__lo": F.min(day).over(series), "__hi": F.max(day).over(series), "__known": F.count(value).over(series), "__i": F.row_number().over(w)}
+    rows = df.filter(F.col(day).isNotNull()).select(*keys, F.col(day).alias("__at"), F.col(value).alias("__v"), day, value).withColumns(ends)
+    # A series without any value keeps its first row, which then makes all its days.
+    kept = rows.filter(F.col(value).isNotNull() | ((F.col("__known") == 0) & (F.col("__i") == 1)))
+    kept = kept.withColumns({"__next": F.lead("__at").over(w), "__to": F.lead("__v").over(w), "__i": F.row_number().over(w)})
+    begin = F.when(F.col("__i") == 1, F.col("__lo")).otherwise(F.col("__at"))
+    end = F.coalesce(F.date_sub("__next", 1), F.col("__hi"))
+    made = kept.select(*keys, "__at", "__v", "__next", "__to", F.explode(F.sequence(begin, end, F.expr("interval 1 day"))).alias(day))
+    given = F.col(day) == F.col("__at")
+    line = F.col("__v") + (F.col("__to") - F.col("__v")) * F.try_divide(F.datediff(day, "__at"), F.datediff("__next", "__at"))
+    filled = F.when((F.col(day) <= F.col("__at")) | F.col("__next").isNull(), F.col("__v")).otherwise(line)
+    return made.select(*keys, day, F.when(given, F.col("__v")).alias(value), filled.alias(f"{value}_filled"))
+
+
 def spine(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     """Every day from each group's first to its last."""
     ends = df.groupBy(*keys).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))

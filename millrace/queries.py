@@ -333,7 +333,7 @@ def interpolate_spine(t):
 def customer_days(t) -> DataFrame:
     """Mean order value of every customer on each day from the first order to the last."""
     a = t("orders").groupBy("o_custkey", day("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("v"))
-    return W.interpolate(W.spine(a, ["o_custkey"], "d").join(a, ["o_custkey", "d"], "left"), "v", ["o_custkey"], ["d"])
+    return W.interpolate_days(a, "v", ["o_custkey"], "d")
 
 
 @query("""WITH a AS (SELECT o_custkey AS c, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders GROUP BY ALL),

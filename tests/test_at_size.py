@@ -46,3 +46,20 @@ def test_limit_takes_the_first_rows_of_the_first_files(spark, tmp_path, n):
     got = T.load(spark, str(tmp_path / "flat"), "csv", schema="id long", limit=n)
     got.write.parquet(str(tmp_path / "out"))
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(n))
+
+
+def test_days_between_are_never_shuffled(spark, tmp_path):
+    at = lambda n: dt.datetime(2024, 1, n)
+    spark.createDataFrame([(1, 7, at(1), 10.0), (2, 7, at(5), 40.0)], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    top = plan(QUERIES["interpolate_customers"](spark, str(tmp_path)))
+    assert "Exchange" not in top[: top.index("Generate")]
+
+
+def test_interpolated_days_equal_rows_of_a_spine(spark):
+    d = lambda n: dt.date(2024, 1, n)
+    rows = [(1, d(1), None), (1, d(3), 4.0), (1, d(7), 9.0), (1, d(9), None), (2, d(4), None), (2, d(6), None), (3, d(2), 5.0)]
+    df = spark.createDataFrame(rows, "k long, d date, v double")
+    want = W.interpolate(W.spine(df, ["k"], "d").join(df, ["k", "d"], "left"), "v", ["k"], ["d"])
+    key = lambda r: (r.k, r.d)
+    got = sorted(W.interpolate_days(df, "v", ["k"], "d").collect(), key=key)
+    assert [tuple(r) for r in got] == [tuple(r) for r in sorted(want.select("k", "d", "v", "v_filled").collect(), key=key)]
