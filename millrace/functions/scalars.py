@@ -57,22 +57,49 @@ def rounded(c: Column, digits: int) -> Column:
     return (even + away) / F.lit(10.0**digits)
 
 
+# Statistics across columns are plain arithmetic, not functions of arrays, so that Spark compiles them and finds what they share.
+
+def _filled(cols: list[str]) -> list[Column]:
+    return [F.col(c).cast("double") for c in cols]
+
+
+def _added(values: list[Column]) -> Column:
+    return reduce(lambda a, x: a + F.coalesce(x, F.lit(0.0)), values, F.lit(0.0))
+
+
+def row_count(cols: list[str]) -> Column:
+    """Columns that are not null."""
+    return reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))
+
+
 def row_values(cols: list[str]) -> Column:
-    return F.array_compact(F.array(*(F.col(c).cast("double") for c in cols)))
+    return F.array_compact(F.array(*_filled(cols)))
+
+
+def row_min(cols: list[str]) -> Column:
+    """The least value across columns, without nulls."""
+    return F.least(*_filled(cols)) if len(cols) > 1 else _filled(cols)[0]
 
 
 def row_sum(cols: list[str]) -> Column:
-    return F.aggregate(row_values(cols), F.lit(0.0), lambda a, x: a + x)
+    return _added(_filled(cols))
 
 
 def row_mean(cols: list[str]) -> Column:
-    return F.try_divide(row_sum(cols), F.size(row_values(cols)))
+    return F.try_divide(row_sum(cols), row_count(cols))
+
+
+def _moment(cols: list[str], p: int) -> Column:
+    """The sum of the values' differences from their mean, to the power 2 or 4."""
+    apart = [x - row_mean(cols) for x in _filled(cols)]
+    square = [d * d for d in apart]
+    return _added(square if p == 2 else [q * q for q in square])
 
 
 def row_var(cols: list[str]) -> Column:
     """Sample variance across columns, without nulls."""
-    v, m = row_values(cols), row_mean(cols)
-    return F.when(F.size(v) > 1, F.aggregate(F.transform(v, lambda x: F.pow(x - m, F.lit(2.0))), F.lit(0.0), lambda a, x: a + x) / (F.size(v) - 1))
+    n = row_count(cols)
+    return _moment(cols, 2) / F.when(n > 1, n - 1)
 
 
 def row_std(cols: list[str]) -> Column:
@@ -81,19 +108,19 @@ def row_std(cols: list[str]) -> Column:
 
 def row_kurtosis(cols: list[str]) -> Column:
     """Bias-corrected excess kurtosis across columns, without nulls; null under four values, 0 where all are equal."""
-    v, m = row_values(cols), row_mean(cols)
-    n = F.size(v).cast("double")
-    moment = lambda p: F.aggregate(F.transform(v, lambda x: F.pow(x - m, F.lit(p))), F.lit(0.0), lambda a, x: a + x) / n
-    excess = F.try_divide(moment(4.0), F.pow(moment(2.0), F.lit(2.0))) - 3
-    return F.when(n >= 4, F.coalesce((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * excess + 6), F.lit(0.0)))
+    enough = row_count(cols) >= 4
+    n = F.when(enough, row_count(cols).cast("double"))
+    square = _moment(cols, 2) / n
+    excess = F.try_divide(_moment(cols, 4) / n, square * square) - 3
+    return F.coalesce((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * excess + 6), F.when(enough, F.lit(0.0)))
 
 
 def row_missing(cols: list[str]) -> Column:
-    return F.size(F.filter(F.array(*(F.col(c).isNull() for c in cols)), lambda x: x))
+    return F.lit(len(cols)) - row_count(cols)
 
 
 def row_nonzero(cols: list[str]) -> Column:
-    return F.size(F.filter(row_values(cols), lambda x: x != 0))
+    return reduce(lambda a, x: a + F.coalesce((x != 0).cast("int"), F.lit(0)), _filled(cols), F.lit(0))
 
 
 def row_argmax(cols: list[str]) -> Column:

@@ -133,7 +133,7 @@ def null_filter(t):
 def row_statistics_more(t):
     cols = {"a": F.col("l_quantity"), "b": F.col("l_discount") * 100, "c": F.col("l_tax") * 100, "d": F.col("l_linenumber").cast("double"), "e": F.when(F.col("l_partkey") % 3 != 0, F.col("l_extendedprice") / 1000)}
     df, c = t("lineitem").select("l_orderkey", "l_linenumber", *(v.alias(n) for n, v in cols.items())), list(cols)
-    return df.select("l_orderkey", "l_linenumber", up(S.row_std(c)).alias("std"), F.array_min(S.row_values(c)).alias("low"), S.row_missing(c).alias("missing"), S.row_nonzero(c).alias("nonzero"), up(S.row_kurtosis(c), 3).alias("kurt"))
+    return df.select("l_orderkey", "l_linenumber", up(S.row_std(c)).alias("std"), S.row_min(c).alias("low"), S.row_missing(c).alias("missing"), S.row_nonzero(c).alias("nonzero"), up(S.row_kurtosis(c), 3).alias("kurt"))
 
 
 @query("""SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS position FROM orders""")

@@ -63,3 +63,23 @@ def test_interpolated_days_equal_rows_of_a_spine(spark):
     key = lambda r: (r.k, r.d)
     got = sorted(W.interpolate_days(df, "v", ["k"], "d").collect(), key=key)
     assert [tuple(r) for r in got] == [tuple(r) for r in sorted(want.select("k", "d", "v", "v_filled").collect(), key=key)]
+
+
+def test_row_statistics_are_compiled(spark):
+    top = plan(QUERIES["row_statistics_more"](spark, "/root/testdata/sf0.001"))
+    assert "lambda" not in top and "aggregate(" not in top and "transform(" not in top
+
+
+def test_row_statistics_of_few_and_no_values(spark):
+    rows = [(None, None, None, None, None), (2.0, None, None, None, None), (1.0, 2.0, 4.0, None, None), (1.0, 2.0, 4.0, 9.0, None), (3.0, 3.0, 3.0, 3.0, 3.0), (0.0, 2.0, 4.0, 9.0, -5.0)]
+    df, c = spark.createDataFrame(rows, "a double, b double, c double, d double, e double"), list("abcde")
+    got = df.select(S.row_sum(c), S.row_mean(c), S.row_var(c), S.row_kurtosis(c), S.row_min(c), S.row_missing(c), S.row_nonzero(c)).collect()
+    for row, out in zip(rows, got):
+        v = np.array([x for x in row if x is not None])
+        n, m = len(v), v.mean() if len(v) else None
+        assert out[0] == v.sum() and out[1] == (pytest.approx(m) if n else None) and out[2] == (pytest.approx(v.var(ddof=1)) if n > 1 else None)
+        k = None if n < 4 else 0.0
+        if n >= 4 and v.var():
+            k = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (((v - m) ** 4).mean() / v.var() ** 2 - 3) + 6)
+        assert out[3] == (None if k is None else pytest.approx(k))
+        assert tuple(out[4:]) == (v.min() if n else None, 5 - n, int((v != 0).sum()))
