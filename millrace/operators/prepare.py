@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hashed
 from ..functions.stats import kurtosis, skew, smoothed_mean
-from .order import numbered
+from .order import numbered, quantiles
 
-STATISTICS = {"median": F.median, "mean": F.avg, "mode": lambda c: F.mode(c, True)}
+STATISTICS = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}
 
 
 def fit_impute(df: DataFrame, how: dict[str, str]) -> dict:
     """Fill values by column: median, mean, mode (ties: the smallest), zero."""
     asked = {c: h for c, h in how.items() if h in STATISTICS}
     row = df.agg(*(STATISTICS[h](c).alias(c) for c, h in asked.items())).first().asDict() if asked else {}
-    return row | {c: 0 for c, h in how.items() if h == "zero"}
+    medians = {c: quantiles(df, c, [0.5])[0] for c, h in how.items() if h == "median"}
+    return row | medians | {c: 0 for c, h in how.items() if h == "zero"}
 
 
 def impute(df: DataFrame, values: dict) -> DataFrame:
@@ -29,7 +30,7 @@ def impute(df: DataFrame, values: dict) -> DataFrame:
 def impute_by_group(df: DataFrame, c: str, keys: list[str]) -> DataFrame:
     """Group median, else the median of all; grouped first, so that hot groups stay split."""
     groups = df.groupBy(*keys).agg(F.median(c).alias("__g"))
-    overall = df.agg(F.median(c)).first()[0]
+    overall = quantiles(df, c, [0.5])[0]
     return df.join(groups, keys, "left").withColumn(c, F.coalesce(F.col(c), F.col("__g"), F.lit(overall))).drop("__g")
 
 
@@ -133,8 +134,11 @@ def scale(df: DataFrame, cols: list[str], how: str = "standard", sample_std: boo
     stats = {
         "standard": lambda c: (F.avg(c), (F.stddev_samp if sample_std else F.stddev_pop)(c)),
         "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "robust": lambda c: (F.median(c), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
-    }[how]
+    }
+    if how == "robust":
+        found = {c: quantiles(df, c, [0.25, 0.5, 0.75]) for c in cols}
+        return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(float((high - low) if m is not None and high != low else 1.0)) for c, (low, m, high) in found.items()})
+    stats = stats[how]
     row = df.agg(*(x.alias(f"{i}_{c}") for c in cols for i, x in enumerate(stats(c)))).first()
     return df.withColumns({c: (F.col(c) - F.lit(row[f"0_{c}"])) / F.lit(float(row[f"1_{c}"] or 1.0)) for c in cols})
 
@@ -148,7 +152,7 @@ def cut(c: Column, edges: list[float]) -> Column:
 
 
 def quantile_bins(df: DataFrame, c: str, q: int) -> DataFrame:
-    points = df.agg(F.percentile(c, F.array(*(F.lit(i / q) for i in range(q + 1))))).first()[0]
+    points = quantiles(df, c, [i / q for i in range(q + 1)])
     return df.withColumn(f"{c}_bin", cut(F.col(c), sorted(set(points))))
 
 

@@ -83,3 +83,11 @@ def test_row_statistics_of_few_and_no_values(spark):
             k = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (((v - m) ** 4).mean() / v.var() ** 2 - 3) + 6)
         assert out[3] == (None if k is None else pytest.approx(k))
         assert tuple(out[4:]) == (v.min() if n else None, 5 - n, int((v != 0).sum()))
+
+
+def test_quantiles_without_one_task_for_all_values(spark):
+    x = np.random.default_rng(3).normal(size=1001).round(2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    assert O.quantiles(df, "x", shares) == pytest.approx(list(np.quantile(x, shares)))
+    assert O.quantiles(df.filter("x is null"), "x", [0.5]) == [None]
