@@ -22,6 +22,8 @@ from .order import numbered
 
 #: Pivots at most, rows of a block, queries that meet a block at once, and blocks of a cell that a query may begin with.
 PIVOTS, BLOCK, CHUNK, ENTRIES = 1_024, 4_096, 1_024, 256
+#: Rows whose distances to all pivots, or scores with a whole block, a Python worker holds at once.
+ROWS = 256
 #: Cells in which a query looks for a block to begin with.
 TRIED = 8
 #: Rounding of distances that never rules out a block.
@@ -43,22 +45,41 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
 
 
+def _some(batches: Iterator[pd.Series], pivots: np.ndarray) -> Iterator[np.ndarray]:
+    """Distances to all pivots, ``ROWS`` rows of the batches at a time; 0 for rows of another length."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            b = batch.iloc[at : at + ROWS]
+            out = np.zeros((len(b), len(pivots)))
+            own = [i for i, v in enumerate(b) if len(v) == pivots.shape[1]]
+            if own and len(pivots):
+                out[own] = _distances(np.stack([b.iloc[i] for i in own]), pivots)
+            yield out
+
+
 def _to_pivots(pivots: np.ndarray):
     """An array of distances to all pivots, as a function of a vector column."""
 
     @F.pandas_udf("array<double>")
     def distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            out = [np.zeros(len(pivots))] * len(b)
-            own = [i for i, v in enumerate(b) if len(v) == pivots.shape[1]]
-            if own and len(pivots):
-                for i, d in zip(own, _distances(np.stack([b.iloc[i] for i in own]), pivots)):
-                    out[i] = d
-            yield pd.Series(out)
+        for d in _some(batches, pivots):
+            yield pd.Series(list(d))
 
     return distances
 
 
+def _to_nearest(pivots: np.ndarray):
+    """The distance to the nearest pivot and its cell, counted from 1 (0 without pivots), as a function of a vector column."""
+
+    @F.pandas_udf("dist double, cell long")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for d in _some(batches, pivots):
+            cell = d.argmin(1) if len(pivots) else np.full(len(d), -1)
+            yield pd.DataFrame({"dist": d[np.arange(len(d)), cell] if len(pivots) else np.zeros(len(d)), "cell": cell + 1})
+
+    return nearest
+
+
 def build(table: DataFrame, pivots: int | None = None, block: int = BLOCK) -> Index:
     """Index a table of key, kind and v (array of doubles without nulls) and what else it carries; rows only meet others of their kind and length.
 
@@ -71,9 +92,8 @@ def build(table: DataFrame, pivots: int | None = None, block: int = BLOCK) -> In
     many = pivots or (1 if total <= block else min(PIVOTS, round(sizes[0]["count"] ** 0.5)))
     rows = table.filter(size == sizes[0]["size"]).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(many).collect() if sizes else []
     points = np.array([r.v for r in rows], float).reshape(len(rows), -1 if rows else 1)
-    at = table.withColumn("__d", _to_pivots(points)("v"))
-    dist = F.array_min("__d")
-    placed = at.withColumns({"dist": F.coalesce(dist, F.lit(0.0)), "cell": F.coalesce(F.array_position("__d", dist), F.lit(0))}).drop("__d")
+    at = table.withColumn("__d", _to_nearest(points)("v"))
+    placed = at.withColumns({"dist": F.col("__d.dist"), "cell": F.col("__d.cell")}).drop("__d")
     ordered = numbered(placed, ["kind", size, "cell", "dist", "key"], "place")
     cut = saved(ordered.withColumn("no", F.floor((F.col("place") - 1) / block)).drop("place"), "indexed")
     blocks = saved(cut.groupBy("kind", "cell", "no", size.alias("size")).agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n")), "blocks")
@@ -173,10 +193,13 @@ def _by_cosine(queries: DataFrame, table: DataFrame, kind: str, k: int, least: f
         if len(a) and len(b):
             keys = b["key"].to_numpy(object)
             rank = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
-            exact = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
-            scores = np.sign(exact) * np.floor(np.abs(exact) * ten + 0.5) / ten
+            block = np.stack(b["v"].to_numpy()).T
             for i, (number, name) in enumerate(zip(a["q"], a["name"])):
-                own = np.where((keys == name) | (scores[i] < least), -np.inf, scores[i])
+                if i % ROWS == 0:
+                    exact = np.stack(a["v"].iloc[i : i + ROWS].to_numpy()) @ block
+                    scores = np.sign(exact) * np.floor(np.abs(exact) * ten + 0.5) / ten
+                score = scores[i % ROWS]
+                own = np.where((keys == name) | (score < least), -np.inf, score)
                 at = np.flatnonzero(own >= (np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf))
                 at = at[np.lexsort((rank[at], -own[at]))][:k]
                 out += [(number, keys[j], own[j]) for j in at if own[j] > -np.inf]

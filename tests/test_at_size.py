@@ -6,6 +6,7 @@ import datetime as dt
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ import millrace.queries_models  # noqa: F401
 import millrace.queries_patterns  # noqa: F401
 import millrace.queries_tables  # noqa: F401
 from millrace.functions import scalars as S
+from millrace.operators import neighbours as N
 from millrace.operators import order as O
 from millrace.operators import windows as W
 from millrace.queries import QUERIES, SQL
@@ -91,3 +93,9 @@ def test_quantiles_without_one_task_for_all_values(spark):
     shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
     assert O.quantiles(df, "x", shares) == pytest.approx(list(np.quantile(x, shares)))
     assert O.quantiles(df.filter("x is null"), "x", [0.5]) == [None]
+
+
+def test_distances_to_pivots_come_in_small_parts():
+    x = np.random.default_rng(5).normal(size=(3000, 8))
+    parts = list(N._some(iter([pd.Series(list(x))]), x[:700]))
+    assert max(len(p) for p in parts) <= N.ROWS and np.allclose(np.concatenate(parts), N._distances(x, x[:700]), atol=1e-6)
