@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
 from .order import counts_before
 
 ESTIMATORS = {
@@ -54,7 +55,11 @@ def with_incomplete(out: DataFrame, df: DataFrame, features: list[str], keep: li
 
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, kind: str, fold: str, folds: int, keep: list[str], **params) -> DataFrame:
-    """Each row predicted by a model that has not seen its fold."""
+    """Each row predicted by a model that has not seen its fold.
+
+    Rows are written once: a union of branches that each join or group anew keeps all their sorts in one task.
+    """
+    df = saved(df, "rows")
     parts = [predict(train(df.filter(F.col(fold) != k), features, label, kind, **params), df.filter(F.col(fold) == k), keep) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -20,6 +20,7 @@ from .operators import vectors as V
 from .operators import windows as W
 from .plans import catalog
 from .plans.features import customer_features
+from .sources.scratch import saved
 from .sources.tables import table
 from .streaming import events as E
 
@@ -657,7 +658,7 @@ def ml_logistic_out_of_fold(t):
 
 @query()
 def ml_forest(t):
-    df = _labelled(t)
+    df = saved(_labelled(t), "rows")
     model = M.train(df.filter("fold > 0"), ["o_totalprice", "age", "n", "discount"], "y", "forest", numTrees=10, maxDepth=5)
     return M.predict(model, df.filter("fold = 0"), ["o_orderkey", "y"])
 
