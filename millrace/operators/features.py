@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
 from .models import with_incomplete
 from .order import numbered
 from .relational import COMPARE
@@ -98,7 +99,8 @@ def match_by_position(a: DataFrame, b: DataFrame, order_a: list, order_b: list)
 
 
 def principal_components(df: DataFrame, cols: list[str], k: int, keep: list[str], whiten: bool = False) -> DataFrame:
-    """pca_0 ... of centred columns, null where a column is; with ``whiten`` each has variance 1. Signs are free."""
+    """pca_0 ... of centred columns, null where a column is; with ``whiten`` each has variance 1. Signs are free. Rows are written once, for all passes."""
+    df = saved(df, "rows")
     x = VectorAssembler(inputCols=cols, outputCol="__raw", handleInvalid="skip").transform(df)
     x = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=False).fit(x).transform(x)
     model = PCA(k=k, inputCol="__x", outputCol="__p").fit(x)
