@@ -65,7 +65,8 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, kind: str, fold:
 
 
 def cluster(df: DataFrame, features: list[str], kind: str, k: int, keep: list[str], seed: int = 42) -> DataFrame:
-    """Clusters of standardised features; null where a feature is null."""
+    """Clusters of standardised features; null where a feature is null. Rows are written once, as in ``out_of_fold``."""
+    df = saved(df, "rows")
     steps = [VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip"), StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), CLUSTERERS[kind](k=k, seed=seed, featuresCol="__x")]
     out = Pipeline(stages=steps).fit(df).transform(df).select(*keep, F.col("prediction").alias("cluster"))
     return with_incomplete(out, df, features, keep)

@@ -101,6 +101,6 @@ def test_distances_to_pivots_come_in_small_parts():
     assert max(len(p) for p in parts) <= N.ROWS and np.allclose(np.concatenate(parts), N._distances(x, x[:700]), atol=1e-6)
 
 
-@pytest.mark.parametrize("name", ["ml_logistic_out_of_fold", "ml_principal_components", "ml_forest"])
+@pytest.mark.parametrize("name", ["ml_logistic_out_of_fold", "ml_kmeans", "ml_principal_components", "ml_forest"])
 def test_models_join_their_rows_once(spark, name):
     assert "Join" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
