@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import operator
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Labels up to which every text is searched for every label.
 FEW_LABELS = 256
+#: Labels up to which all of them are sent to all tasks.
+KNOWN_LABELS = 50_000
 #: A group counts as heavy with more than one of so many rows, so that there are fewer heavy groups than that.
 HEAVY = 1_000
 
@@ -93,17 +98,52 @@ def not_in(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(other, on, "left_anti")
 
 
-def mentions(texts: DataFrame, text: str, labels: DataFrame, label: str, few: int = FEW_LABELS) -> DataFrame:
+def _heads(text: str, size: int, weights: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of the ``size`` characters from each place on."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    out = np.zeros(max(0, len(x) - size + 1), np.uint64)
+    for i in range(size if len(out) else 0):
+        out += x[i : i + len(out)] * weights[i]
+    return out ^ (out >> np.uint64(29))
+
+
+def _mentioned(known: list[str], size: int):
+    """The labels that stand in a text, as a function of a text column; each label has ``size`` characters or more."""
+    weights = np.random.default_rng(13).integers(1, 1 << 62, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    by_head: dict[int, list[str]] = {}
+    for label in known:
+        by_head.setdefault(int(_heads(label[:size], size, weights)[0]), []).append(label)
+    bits = np.uint64(len(known)).item().bit_length() + 6
+    filled = np.zeros(1 << bits, bool)
+    filled[(np.fromiter(by_head, np.uint64, len(by_head)) >> np.uint64(64 - bits)).astype(np.int64)] = True
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for text in batch:
+                heads = _heads(text or "", size, weights)
+                met = np.unique(heads[filled[(heads >> np.uint64(64 - bits)).astype(np.int64)]]).tolist()
+                out.append([label for h in met for label in by_head.get(h, ()) if label in text])
+            yield pd.Series(out, dtype=object)
+
+    return found
+
+
+def mentions(texts: DataFrame, text: str, labels: DataFrame, label: str, few: int = FEW_LABELS, known_rows: int = KNOWN_LABELS) -> DataFrame:
     """(texts' columns, label) where a text contains a label, at most once for each row and label.
 
-    Up to ``few`` labels are tried on every text. More of them meet the texts in an equi-join on
-    their first characters, as many as the shortest one has, and what meets is verified. Null and
-    empty labels are in no text.
+    Up to ``few`` labels are tried on every text. Up to ``known_rows`` are sent to all tasks, which look up the first characters at each
+    place of a text, as many as the shortest label has, and try the labels that begin so. More of them meet the texts in an equi-join
+    on these first characters, and what meets is verified. Null and empty labels are in no text.
     """
     known = labels.filter(F.length(label) > 0).select(label).distinct()
     n, shortest = known.agg(F.count("*"), F.min(F.length(label))).first()
     if n <= few:
         return texts.join(F.broadcast(known), F.col(text).contains(F.col(label)), "inner")
+    if n <= known_rows:
+        found = _mentioned([r[0] for r in known.collect()], shortest)
+        return texts.withColumn("__found", found(text)).select(*texts.columns, F.explode("__found").alias(label))
     piece = F.greatest(F.lit(192), F.lit(2 * shortest))
     keyed = texts.withColumn("__key", F.xxhash64(text))
     # Texts are cut into overlapping pieces before they are opened, so that no row carries a whole text.

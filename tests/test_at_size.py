@@ -16,6 +16,7 @@ import millrace.queries_tables  # noqa: F401
 from millrace.functions import scalars as S
 from millrace.operators import neighbours as N
 from millrace.operators import order as O
+from millrace.operators import relational as R
 from millrace.operators import windows as W
 from millrace.queries import QUERIES, SQL
 from millrace.sources import tables as T
@@ -104,3 +105,17 @@ def test_distances_to_pivots_come_in_small_parts():
 @pytest.mark.parametrize("name", ["ml_logistic_out_of_fold", "ml_kmeans", "ml_principal_components", "ml_forest"])
 def test_models_join_their_rows_once(spark, name):
     assert "Join" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_words_are_looked_up_where_texts_stand(spark):
+    assert "Exchange" not in plan(QUERIES["word_mentions"](spark, "/root/testdata/sf0.001"))
+
+
+def test_ways_to_look_for_labels_agree(spark):
+    labels = ["abc", "abcd", "abx", "bcd", "\U0001f600zz", "zz\u00e9", "xxxx", "", None, "abc"]
+    rows = [(1, "abcabcd"), (2, "ab"), (3, ""), (4, None), (5, "--\U0001f600zz\u00e9" + "y" * 500 + "abx"), (6, "xxx"), (7, "x" * 5), (7, "x" * 5)]
+    texts, known = spark.createDataFrame(rows, "id long, t string").repartition(2), spark.createDataFrame([(x,) for x in labels], "w string")
+    want = sorted((i, w) for i, t in rows for w in set(labels) if w and t and w in t)
+    for how in ({}, {"few": 0}, {"few": 0, "known_rows": 0}):
+        assert sorted((r.id, r.w) for r in R.mentions(texts, "t", known, "w", **how).dropDuplicates().collect()) == sorted(set(want))
+    assert sorted(tuple(r)[::2] for r in R.mentions(texts, "t", known, "w", few=0).collect()) == want
