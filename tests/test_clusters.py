@@ -138,3 +138,15 @@ def test_linkage_of_little(spark):
     assert linked(spark, [(3, [1.0]), (2, [2.0]), (1, [5.0, 1.0])], 1) == [(1, 1), (2, 2), (3, 2)]
     df = spark.createDataFrame([], "id long, v array<double>")
     assert L.single_linkage(df, "id", "v", 2).collect() == []
+
+
+def test_only_near_blocks_meet_and_only_once(spark, monkeypatch):
+    """Two far lines of points: a block meets its neighbours, and the lines meet, but most pairs of blocks are ruled out."""
+    rng, met, near = random.Random(12), [], L._near_pairs
+    at = {i: (rng.random() + i + (10_000 if i >= 150 else 0), 0.0) for i in range(300)}
+    monkeypatch.setattr(L, "_near_pairs", lambda blocks: met.append((blocks.count(), near(blocks).select("pair").distinct().count())) or near(blocks))
+    points = spark.createDataFrame([(i, "", list(v)) for i, v in at.items()], "key long, kind string, v array<double>")
+    got = sorted((r.a, r.b) for r in L.spanning_forest(points, pivots=20, block=32).collect())
+    assert got == [(i, i + 1) for i in range(299)]
+    [(blocks, pairs)] = met
+    assert blocks >= 15 and blocks - 1 <= pairs < blocks * (blocks - 1) / 4
