@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import words
+from ..sources.scratch import saved
 from .relational import BROADCAST_ROWS
 
 #: Starts and lengths of runs in a text: twice ``least`` times its words stays below.
@@ -52,8 +53,9 @@ def best_span(df: DataFrame, ids: list[str], text: str, label: str, importance:
     The mean counts times 1 - 0.03 of the run's share in the text. Importances aren't negative, and unknown words have
     that of ``unknown``. Texts of the neutral label, of at most ``short`` or fewer than ``least`` words, or of a label without importances stay
     whole. Of a run of twice ``least`` words or more one half is at least as good, so only shorter
-    ones are tried, and a text of any length is passed over once.
+    ones are tried, and a text of any length is passed over once. Importances are found once, and written.
     """
+    importance = saved(importance.select(label, "word", "importance"), "importance")
     rows = df.select(*ids, F.col(label).alias("__label"), F.trim(F.coalesce(F.col(text), F.lit(""))).alias("__text")).withColumn("__words", words(F.col("__text")))
     table = importance.select(F.col(label).alias("__l"), F.col("word").alias("__w"), "importance")
     known = importance.select(F.col(label).alias("__label")).distinct()

@@ -119,3 +119,8 @@ def test_ways_to_look_for_labels_agree(spark):
     for how in ({}, {"few": 0}, {"few": 0, "known_rows": 0}):
         assert sorted((r.id, r.w) for r in R.mentions(texts, "t", known, "w", **how).dropDuplicates().collect()) == sorted(set(want))
     assert sorted(tuple(r)[::2] for r in R.mentions(texts, "t", known, "w", few=0).collect()) == want
+
+
+def test_importances_are_found_once(spark):
+    """What is left in the plan reads the written importances, and opens no text but that whose span is looked for."""
+    assert "Generate explode(" not in plan(QUERIES["chosen_spans"](spark, "/root/testdata/sf0.001"))
